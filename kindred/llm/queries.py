@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from kindred.llm import media
 from kindred.llm.common import load
 from kindred.llm.sharding import shard_documents
 
 
+def op5_flac_media(spark, sf_dir):
+    return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
+
+
 def op8_rendezvous_sharding(spark, sf_dir):
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op5_flac_media": op5_flac_media,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
 }
 
