@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from kindred.llm import media
 from kindred.llm.common import load
+from kindred.llm.simhash import near_duplicates
 from kindred.llm.sharding import shard_documents
 
 
+def op1_simhash_near_dedup(spark, sf_dir):
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op5_flac_media(spark, sf_dir):
     return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
 
@@ -16,6 +21,7 @@ def op8_rendezvous_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_flac_media": op5_flac_media,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
 }
