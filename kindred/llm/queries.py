@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import media
+from kindred.llm import media, quality
 from kindred.llm.common import load
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.sharding import shard_documents
@@ -20,9 +20,15 @@ def op8_rendezvous_sharding(spark, sf_dir):
     return shard_documents(load(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_flac_media": op5_flac_media,
+    "op9_quality_classifier": op9_quality_classifier,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
 }
 
