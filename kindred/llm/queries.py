@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from kindred.llm import media, quality
-from kindred.llm.common import load
+import public_tokenizers
+
+from kindred.llm import media, quality, tokens
+from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.sharding import shard_documents
 
@@ -25,11 +27,18 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.score_documents(docs, quality.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op10_repair_token_ids(spark, sf_dir):
+    path = scratch_path(spark, "ids")
+    tokens.write_ids(load(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_documents(spark, path)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op5_flac_media": op5_flac_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
+    "op10_repair_token_ids": op10_repair_token_ids,
 }
 
 ORACLES: dict[str, str] = {}
