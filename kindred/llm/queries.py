@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kindred.llm import media, quality, tokens
+from kindred.llm import lm_score, media, quality, tokens
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.sharding import shard_documents
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_cross_entropy_difference(spark, sf_dir):
+    return lm_score.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op5_flac_media(spark, sf_dir):
     return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
 
@@ -35,6 +39,7 @@ def op10_repair_token_ids(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_cross_entropy_difference": op2_cross_entropy_difference,
     "op5_flac_media": op5_flac_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
