@@ -7,6 +7,7 @@ import public_tokenizers
 from kindred.llm import lm_score, media, quality, tokens
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
+from kindred.llm.decontaminate import contaminated
 from kindred.llm.sharding import shard_documents
 
 
@@ -18,6 +19,10 @@ def op2_cross_entropy_difference(spark, sf_dir):
     return lm_score.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op5_flac_media(spark, sf_dir):
     return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
 
@@ -40,6 +45,7 @@ def op10_repair_token_ids(spark, sf_dir):
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_cross_entropy_difference": op2_cross_entropy_difference,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_flac_media": op5_flac_media,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
