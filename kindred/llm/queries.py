@@ -8,6 +8,7 @@ from kindred.llm import lm_score, media, quality, tokens
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.decontaminate import contaminated
+from kindred.llm.mixing import mix_report
 from kindred.llm.sharding import shard_documents
 
 
@@ -27,6 +28,10 @@ def op5_flac_media(spark, sf_dir):
     return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
 
 
+def op6_mixing_tree(spark, sf_dir):
+    return mix_report(load(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_sharding(spark, sf_dir):
     return shard_documents(load(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_cross_entropy_difference": op2_cross_entropy_difference,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_flac_media": op5_flac_media,
+    "op6_mixing_tree": op6_mixing_tree,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op10_repair_token_ids": op10_repair_token_ids,
