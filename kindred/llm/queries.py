@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kindred.llm import lm_score, media, quality, tokens
+from kindred.llm import chat, line_dedup, lm_score, media, quality, tokens
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.decontaminate import contaminated
@@ -20,6 +20,10 @@ def op2_cross_entropy_difference(spark, sf_dir):
     return lm_score.score_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op3_snapshot_collapse(spark, sf_dir):
+    return chat.render(load(spark, sf_dir, "conversations"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -32,6 +36,10 @@ def op6_mixing_tree(spark, sf_dir):
     return mix_report(load(spark, sf_dir, "documents"))
 
 
+def op7_line_chunk_dedup(spark, sf_dir):
+    return line_dedup.report(load(spark, sf_dir, "documents"))
+
+
 def op8_rendezvous_sharding(spark, sf_dir):
     return shard_documents(load(spark, sf_dir, "documents"))
 
@@ -50,12 +58,17 @@ def op10_repair_token_ids(spark, sf_dir):
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_cross_entropy_difference": op2_cross_entropy_difference,
+    "op3_snapshot_collapse": op3_snapshot_collapse,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_flac_media": op5_flac_media,
     "op6_mixing_tree": op6_mixing_tree,
     "op9_quality_classifier": op9_quality_classifier,
+    "op7_line_chunk_dedup": op7_line_chunk_dedup,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op10_repair_token_ids": op10_repair_token_ids,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_snapshot_collapse": chat.ORACLE,
+    "op7_line_chunk_dedup": line_dedup.ORACLE,
+}
