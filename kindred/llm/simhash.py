@@ -4,7 +4,7 @@
    than space and tab..carriage return, and its shingles are `width` words joined by spaces, repeats
    included (fewer words: the whole sequence; none: fingerprint zero). A bit is 1 if it is set in over
    half of the shingles' XXH64 values. Texts are hashed one row at a time in Arrow batches.
-2. Distinct fingerprints. Copies collapse to one row that carries the smallest key before anything
+2. Distinct fingerprints. Copies collapse to one row, which knows its smallest key, before anything
    is linked, so a group of equal texts costs one row however large it is.
 3. Candidate groups. 64 bits are cut into m blocks; two fingerprints within `radius` bits agree on
    at least m - radius blocks, so every choice of m - radius blocks is one table, and each fingerprint
@@ -19,8 +19,9 @@
    of `radius` around a fingerprint (680,000 for 4 bits) can be one dense group.
 5. Components of the links, by star rounds over the shared folder; the class is named by its smallest key.
 
-Nulls: a null text has fingerprint zero; rows with a null key are given back with their fingerprint
-and the component of that fingerprint's smallest non-null key (null if none). Repeated keys are allowed.
+Nulls: a null text has fingerprint zero. Rows with a null key are linked like others; a component is
+named by its smallest key that is not null (null if none). Repeated keys are allowed: classes are of
+fingerprints, so rows of one key with different texts stay apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kindred.llm.common import materialize
+from kindred.llm.common import fresh_name, materialize
 from kindred.llm.components import components
 
 SEED = 42
@@ -60,17 +62,18 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
-    """key and fp (a signed long with the fingerprint's bits) of every row."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 4) -> DataFrame:
+    """The columns keep and fp (a signed long with the fingerprint's bits) of every row."""
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_data"))
+    names = [*keep, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.array([fingerprint(t.as_buffer().to_pybytes(), width) for t in batch.columns[-1]], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=names)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
-    return rows.mapInArrow(run, "key long, fp long")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp long"]))
 
 
 def choose_blocks(count: int, radius: int) -> int:
@@ -201,10 +204,10 @@ def link_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def links(distinct: DataFrame, radius: int, count: int) -> DataFrame:
-    """a, b: links that connect all fingerprints (columns fp, node) within radius, not all their pairs."""
+    """a, b: links that connect all fingerprints (column fp) within radius, not all their pairs."""
     masks = block_masks(choose_blocks(count, radius), radius)
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for t, m in enumerate(masks)]))
-    rows = distinct.select("fp", "node", tables.alias("g")).select("g.t", "g.bits", "fp", "node")
+    rows = distinct.select("fp", tables.alias("g")).select("g.t", "g.bits", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +215,47 @@ def links(distinct: DataFrame, radius: int, count: int) -> DataFrame:
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        t, bits, fp, node = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(4))
+        t, bits, fp = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
         _, group = np.unique(np.stack([t.astype(np.int64), bits], 1), axis=0, return_inverse=True)
         order, label = link_groups(group.ravel(), fp.view(np.uint64), radius)
-        node = node[order]
+        fp = fp[order]
         moved = label != np.arange(len(label))
-        yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], schema=schema)
 
     return rows.repartition("t", "bits").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def classes(prints: DataFrame, radius: int, best) -> DataFrame:
+    """fp, copies, best: for every fingerprint of prints its rows and the best value of its component.
+
+    best is a column of prints, and the least of it stands for a component.
+    """
+    distinct = materialize(prints.groupBy("fp").agg(F.min(best).alias("own"), F.count(F.lit(1)).alias("copies")), "distinct")
+    roots = components(links(distinct, radius, distinct.count()), name="simhash")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", "own", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("own").alias("best")).withColumnRenamed("root", "_root")
+    return rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "copies", "best")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """key, fingerprint (16 hex digits), component_id and copies (rows with the same fingerprint)."""
-    prints = materialize(fingerprints(docs, key, text, width), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"))
-    distinct = materialize(distinct, "distinct")
-    named = distinct.filter("node is not null")
-    roots = components(links(named, radius, named.count()), name="simhash")
-    classes = distinct.join(roots, "node", "left").select("fp", "copies", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(classes, "fp").select(
-        F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies"
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
+    prints = materialize(fingerprints(rows, [key], text, width), "fingerprints")
+    found = classes(prints, radius, F.col(key))
+    return prints.join(found, F.col("fp") == F.col("_fp")).select(
+        key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"), "copies"
     )
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs, all columns, of each component: that with the least key (null keys last)."""
+    who = F.xxhash64(F.col(key).cast("long"), F.col(text))
+    rows = docs.select(F.col(key).cast("long").alias("key"), who.alias("who"), F.col(text).alias("text"))
+    prints = materialize(fingerprints(rows, ["key", "who"], "text", width), "fingerprints")
+    best = F.struct(F.col("key").isNull().alias("none"), "key", "who")
+    kept = classes(prints, radius, best).select(F.col("best.who").alias("_kept")).distinct()
+    own, place = fresh_name(docs, "_who"), fresh_name(docs, "_place")
+    rows = docs.withColumn(own, who).join(kept, F.col(own) == F.col("_kept"), "left_semi")
+    # Rows equal in key and text are one document.
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(own).orderBy(own)))
+    return rows.filter(F.col(place) == 1).select(*docs.columns)

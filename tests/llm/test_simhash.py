@@ -98,3 +98,13 @@ def test_empty_and_null_keys(spark):
     some = spark.createDataFrame([(None, "a b"), (4, "a b"), (2, "a b"), (2, "a b"), (None, "lonely")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(some).collect())
     assert got == [(-1, -1), (-1, 2), (2, 2), (2, 2), (4, 2)]
+
+
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    texts = ["a b c d e f g", "a b c d e f g", "other words stand in this text", None, ""]
+    rows = [(9, texts[0], "x"), (4, texts[1], "y"), (4, texts[2], "z"), (4, texts[2], "z"), (None, texts[0], "n"), (8, texts[3], "p"), (6, texts[4], "q"), (None, "only null", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _who string")
+    got = sorted(map(str, (tuple(r) for r in simhash.deduplicate(df).collect())))
+    assert got == sorted(map(str, [rows[1], rows[2], rows[6], rows[7]]))
+    named = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert len({c for d, f, c in named if f == f"{brute_fingerprint(texts[2]):016x}"}) == 1
