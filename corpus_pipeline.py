@@ -1,13 +1,61 @@
-"""The corpus pipeline: stages that follow one another over documents."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read by the next.
+
+run(spark, sf_dir) gives what the last stage gives: a row for each document of the mix, in the token
+files' order of doc_id. The stages hold fitted models and hashes that SQL has no words for, so there is
+no oracle; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+
+from kindred.llm import quality, tokens
+from kindred.llm.common import load, materialize, scratch_path
+from kindred.llm.decontaminate import clean_documents
+from kindred.llm.mixing import mixed
+from kindred.llm.simhash import deduplicate
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Documents that the classifier does not reject."""
+    return quality.keep_documents(docs, quality.train(docs, load(spark, sf_dir, "labels")))
+
+
+def simhash_near_dedup(spark, docs, sf_dir):
+    """One document, that with the least doc_id, of each group of near copies."""
+    return deduplicate(docs)
+
+
+def benchmark_decontamination(spark, docs, sf_dir):
+    """Documents without a passage of the benchmark."""
+    return clean_documents(docs, load(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark, docs, sf_dir):
+    """Documents as often as the mix of sources takes them."""
+    return mixed(docs).select(*docs.columns)
+
+
+def token_ids(spark, docs, sf_dir):
+    """Token-ID files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    path = scratch_path(spark, "ids")
+    tokens.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_documents(spark, path)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_ids),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
