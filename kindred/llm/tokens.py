@@ -39,12 +39,14 @@ ROUNDS = 4
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
 MAGIC = b"RPG1"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Fixed value: the byte-level BPE's pattern, as in the public tokenizer's description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BLANKS = "\t\n\x0b\x0c\r "
-_ODD_PAIRS = [" " + b for b in _BLANKS] + [b + " " for b in _BLANKS[:-1]]
-_ODD = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0"]
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: By code point below 256: 1 for a blank, 2 for one that the pattern and this module may see differently.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 1
+_KIND[[28, 29, 30, 31, 0x85, 0xA0]] = 2
 
 
 def _alphabet() -> dict[int, str]:
@@ -87,42 +89,85 @@ class Encoder:
         self.flat, self.offsets = array("I"), array("q", [0])
         self.words, self.first, self.pieces = _Words(self, " "), _Words(self, ""), {}
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+            ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
         return ids
 
     def entry(self, text: str) -> int:
-        for piece in self.pattern.findall(text):
-            self.flat.extend(self.piece(piece))
+        core = text.rstrip(_MARKS)
+        if core and core[core[0] == " " :].isalpha():  # a word and marks behind it: two pieces
+            self.flat.extend(self.piece(core))
+            if len(core) < len(text):
+                self.flat.extend(self.piece(text[len(core) :]))
+        else:
+            for piece in self.pattern.findall(text):
+                self.flat.extend(self.piece(piece))
         self.offsets.append(len(self.flat))
         return len(self.offsets) - 2
 
-    def encode(self, text: str) -> np.ndarray:
+    def _way(self, text: str) -> str:
+        """How a text can be cut: at spaces, by the pattern, or by the library alone."""
         if not self.by_word or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return "library"
         try:
-            text.encode("latin-1")
-            odd = any(c in text for c in _ODD)
+            kind = _KIND[np.frombuffer(text.encode("latin-1"), np.uint8)]
         except UnicodeEncodeError:
-            odd = True
-        if odd:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if any(p in text for p in _ODD_PAIRS):
-            return np.array([i for p in self.pattern.findall(text) for i in self.piece(p)], dtype=np.uint32)
+            return "library"
+        if (kind == 2).any():
+            return "library"
+        at = np.flatnonzero(kind)
+        near = at[:-1][np.diff(at) == 1]  # blanks next to each other; a space among them joins no word
+        return "pattern" if any(" " in text[i : i + 2] for i in near.tolist()) else "spaces"
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        numbers: list[int] = []
+        cut, counts = [], []
         if len(self.offsets) > CACHE_WORDS:
             self.reset()
-        parts = text.split(" ")
-        numbers = np.array([self.first[parts[0]], *map(self.words.__getitem__, parts[1:])], dtype=np.int64)
-        offsets = np.frombuffer(self.offsets, np.int64)
-        a = offsets[numbers]
-        size = offsets[numbers + 1] - a
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1]) + np.repeat(a - ends + size, size)
-        ids = np.frombuffer(self.flat, np.uint32)[place] if len(self.flat) else np.zeros(0, np.uint32)
-        del offsets
-        return ids
+        for i, text in enumerate(texts):
+            way = self._way(text)
+            if way == "library":
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            elif way == "pattern":
+                out[i] = np.array([t for p in self.pattern.findall(text) for t in self.piece(p)], dtype=np.uint32)
+            else:
+                first, *rest = text.split(" ")
+                numbers.append(self.first[first])
+                numbers.extend(map(self.words.__getitem__, rest))
+                cut.append(i)
+                counts.append(len(rest) + 1)
+        if cut:
+            number = np.array(numbers, dtype=np.int64)
+            offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+            a = offsets[number]
+            size = offsets[number + 1] - a
+            ends = np.cumsum(size)
+            ids = flat[np.arange(ends[-1]) + np.repeat(a - ends + size, size)]
+            last = ends[np.cumsum(counts) - 1].tolist()
+            for i, start, end in zip(cut, [0, *last], last):  # noqa: B905  one start more
+                out[i] = ids[start:end]
+            del offsets, flat
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The process's encoder for a file; a worker that runs more tasks keeps the words it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _slots(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint32(2654435761)) >> np.uint32(12)
 
 
 def repair(ids: np.ndarray, vocabulary: int, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -145,13 +190,20 @@ def repair(ids: np.ndarray, vocabulary: int, end_id: int = 0) -> tuple[np.ndarra
         if not len(frequent) or room <= 0:
             break
         top = frequent[np.argsort(-count[frequent], kind="stable")[:room]]
-        pairs = np.sort(ordered[at[top]])
-        starts = np.zeros(65536, bool)
-        starts[pairs >> np.uint32(16)] = True
-        maybe = np.flatnonzero(starts[wide[:-1]] & able)
-        found = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
-        hit = pairs[found] == code[maybe]
-        place, rule = maybe[hit], found[hit]
+        pairs = ordered[at[top]]
+        # Pairs by a hash of 20 bits; of two in one place the rarer waits for the next round.
+        slot = _slots(pairs)
+        _, own = np.unique(slot, return_index=True)
+        own = np.sort(own)
+        pairs, slot = pairs[own], slot[own]
+        table = np.full(1 << 20, -1, dtype=np.int32)
+        table[slot] = np.arange(len(pairs))
+        rule = table[_slots(code)]
+        hit = (rule >= 0) & able
+        place = np.flatnonzero(hit)
+        rule = rule[place]
+        same = pairs[rule] == code[place]
+        place, rule = place[same], rule[same]
         if not len(place):
             break
         # Of overlapping places every other one is replaced, from the left.
@@ -240,6 +292,19 @@ class Shard:
         return self._expand(self.symbols[a : z + 1])[start - before : start - before + count]
 
 
+def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Keys and ids of a batch's texts, some texts at a time."""
+    keys, texts = batch.column(0).to_pylist(), batch.column(1)
+    at = 0
+    while at < len(keys):
+        group, size = [], 0
+        while at + len(group) < len(keys) and size < 1 << 20:
+            group.append(texts[at + len(group)].as_py())
+            size += len(group[-1])
+        yield from zip(keys[at : at + len(group)], encoder.encode_batch(group), strict=True)
+        at += len(group)
+
+
 FIELDS = "part int, seq int, before long, n_ids long, doc_ids binary, known binary, blob binary"
 
 
@@ -253,7 +318,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0, 0
         vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         end = np.array([end_id], dtype=np.uint32)
         ids: list[np.ndarray] = []
@@ -270,8 +335,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.concatenate([encoder.encode(text.as_py()), end])
+            for key, own in _encoded(encoder, batch):
+                own = np.concatenate([own, end])
                 if ids and held + len(own) > shard_ids:
                     yield flush()
                     seq, before, ids, keys, held = seq + 1, before + held, [], [], 0

@@ -11,6 +11,7 @@ from kindred.llm.common import scratch_path
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     "", " ", "  ", "a", " a", "a ", "Hello world, it's fine.", "two  spaces", "line\nnext \n more\n\n end ", "tab\t tab", "x<|endoftext|>y",
+    "dogs' don't. it's, end'' _a_ a_ 5th, x5. (a) a) ª.. µm ½ ²",
     "Ünï çödé ñandú ß", "日本語 テスト", "nb\xa0sp   x", "sep\x1cx \x1f y", "!!! wow!!! 123 4567 8a9 'll we'll", "\r\n a\r\n", "“quotes” – dash", "\x85 next", "é" * 50 + " " + "word " * 300,
 ]
 
