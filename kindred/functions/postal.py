@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kindred.functions.constants import STREET_WORDS, UNIT_PHRASES, UNIT_WORDS
 
@@ -109,7 +110,7 @@ def extract_postal_code(address: str | None) -> str:
     return ""
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _postal_batch(addresses: pa.Array) -> pa.Array:
     values = addresses.to_pylist()
     codes = {a: extract_postal_code(a) for a in set(values)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def longest_common_subsequence(a: str, b: str) -> int:
@@ -77,7 +78,7 @@ def _over_pairs(score):
     def batch(a: pa.Array, b: pa.Array) -> pa.Array:
         return run(a, b)
 
-    return F.arrow_udf(batch, "double")
+    return F.arrow_udf(batch, DoubleType())
 
 
 _indel, _jaro_winkler, _token_set = _over_pairs(indel), _over_pairs(jaro_winkler), _over_pairs(token_set)

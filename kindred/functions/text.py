@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from kindred.functions.constants import DERIVED, LEGAL_PREFIXES, LEGAL_SUFFIXES, RECORD, WEB_ENDINGS
 from kindred.functions.postal import postal_code
@@ -30,7 +31,7 @@ def _fold(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(kept))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _fold_batch(texts: pa.Array) -> pa.Array:
     if pc.all(pc.fill_null(pc.string_is_ascii(texts), True)).as_py() is not False:
         return texts

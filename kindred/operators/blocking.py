@@ -11,7 +11,7 @@ kinds: token (a name word, or all name words run together), core, postal, number
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.constants import ADDRESS_NOISE, NAME_NOISE
@@ -40,10 +40,13 @@ def keyed(records: DataFrame, passes=PASSES) -> DataFrame:
         "number": F.when(F.size("address_numbers") > 0, F.array(F.get("address_numbers", F.lit(0)))).otherwise(empty),
         "address": F.filter(addresses, lambda t: (F.length(t) >= 4) & ~t.isin(ADDRESS_NOISE)),
     }
-    tagged = [F.transform(keys[p], lambda k, p=p: F.struct(F.lit(p).alias("kind"), k.alias("key"))) for p in passes]
+
+    def tagged(kind: str) -> Column:
+        return F.transform(keys[kind], lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
     out = df.select(
         F.col(_id(df)).alias("id"), F.col("country_normalized").alias("country"), numbers.alias("_numbers"), addresses.alias("_addresses"),
-        F.array_distinct("business_name_tokens").alias("_names"), F.explode(F.concat(*tagged)).alias("k"),
+        F.array_distinct("business_name_tokens").alias("_names"), F.explode(F.concat(*map(tagged, passes))).alias("k"),
     )
     # Only the kinds that test them carry lists through the shuffle.
     kind = F.col("k.kind")
