@@ -15,7 +15,7 @@ MATCHES, CANDIDATES = "matched_entity_ids", "candidate_entity_ids"
 def parse_lines(lines: DataFrame, column: str) -> DataFrame:
     """source1_entity_id, ids, malformed of raw lines (column value) without the header."""
     parts = F.split("value", "\t", 2)
-    return lines.filter(F.trim("value") != "").select(F.trim(parts[0]).alias("source1_entity_id"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias(column), ~F.contains("value", F.lit("\t")).alias("malformed"))
+    return lines.filter(F.trim("value") != "").select(F.trim(parts[0]).alias("source1_entity_id"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias(column), (~F.contains("value", F.lit("\t"))).alias("malformed"))
 
 
 def read_result(spark: SparkSession, path: str, column: str) -> DataFrame:
