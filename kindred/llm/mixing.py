@@ -6,8 +6,9 @@ A source gives floor(target / size) whole passes over its documents and a part o
 
 Blocks. A source's documents are dealt by hash into about sqrt(rows) / 4 blocks, in an order that is a
 hash too. The part pass takes blocks in that order while they fit; of the first block that does not fit
-it takes documents, in hashed order, while they fit, and goes over the rest three times more for what
-still fits. So only sums of blocks are ordered as a whole, and one block of each source.
+it takes (or, for more than half of it, leaves) documents in hashed order while they fit, and goes over
+the rest four times more, from the longest, for what still fits, and the last one may be over by less
+than would be missing without it. So only sums of blocks are ordered as a whole, and one block of each source.
 
 Tree. What a source gives is a quota of blocks. At each node of a binary tree over the output shards
 half of the node's blocks, drawn without replacement, go left: the counts by source are then multivariate
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 from kindred.llm.common import fresh_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-PASSES = 4
+PASSES = 5
 
 
 def word_count(text: str) -> Column:
@@ -91,16 +92,24 @@ def decide(rows: DataFrame, identity: list[str], shards: int = 16, most: float =
     sums = materialize(sums.withColumn("edge", ~F.col("whole") & (F.col("left") > 0)), "blocks")
 
     # The one block of each source that fits in part: documents in hashed order, then what still fits.
-    edge = sums.filter("edge").select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("left").alias("room"))
-    tried = single.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).select(*identity, "source", "size", "_i", "draw", "room")
-    tried = tried.withColumn("in", F.col("size") == 0)
+    edge = sums.filter("edge").select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("left").alias("room"), F.col("words"))
+    tried = single.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).select(*identity, "source", "size", "_i", "draw", "room", "words")
+    # If more than half of the block goes in, what stays out is chosen: there is then more left to choose from.
+    tried = tried.withColumn("turned", F.col("room") * 2 > F.col("words"))
+    tried = tried.withColumns({"room": F.when(F.col("turned"), F.col("words") - F.col("room")).otherwise(F.col("room")), "picked": F.lit(False)})
     for turn in range(PASSES):
-        fits = ~F.col("in") & (F.col("size") <= F.col("room"))
-        by_turn = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(turn), "draw"), *identity, "_i").rowsBetween(Window.unboundedPreceding, 0)
+        fits = ~F.col("picked") & (F.col("size") <= F.col("room"))
+        first = [F.xxhash64(F.lit(turn), "draw")] if turn == 0 else [F.desc("size")]
+        by_turn = Window.partitionBy("source").orderBy(*first, "draw", *identity, "_i").rowsBetween(Window.unboundedPreceding, 0)
         tried = tried.withColumn("_sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(by_turn))
         tried = tried.withColumn("_new", fits & (F.col("_sum") <= F.col("room")))
         used = F.sum(F.when(F.col("_new"), F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
-        tried = tried.withColumn("room", F.col("room") - used).withColumn("in", F.col("in") | F.col("_new"))
+        tried = tried.withColumn("room", F.col("room") - used).withColumn("picked", F.col("picked") | F.col("_new"))
+    # Last, the document that comes nearest to the words still missing, if that is nearer than none.
+    nearest = Window.partitionBy("source").orderBy("picked", F.abs(F.col("size") - F.col("room")), "draw", *identity, "_i")
+    tried = tried.withColumn("_near", F.row_number().over(nearest))
+    tried = tried.withColumn("picked", F.col("picked") | ((F.col("_near") == 1) & (F.col("size") < F.col("room") * 2)))
+    tried = tried.withColumn("in", F.col("picked") != F.col("turned"))
     chosen = tried.filter("in").select(*[F.col(c).alias("_" + c) for c in identity], F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_i").alias("_j"), F.lit(True).alias("in"))
 
     last = F.when(F.col("whole") | F.col("edge"), F.array(F.col("passes") + 1)).otherwise(F.array().cast("array<int>"))
