@@ -12,7 +12,7 @@ _LETTERS = "translate(md5(concat('{salt}', cast(k as varchar(20)))), '0123456789
 _WORDS = f"concat(substr({_LETTERS}, 1, 6), ' ', substr({_LETTERS}, 7, 5))"
 
 BASE = """
-  SELECT c_custkey AS k, n_name AS nation, r_name AS region,
+  SELECT c_custkey AS k, translate(n_name, '_0123456789', 'xabcdefghij') AS nation, r_name AS region,
          {words} AS words, {other} AS other,
          substr({letters}, 13, 7) AS street,
          cast(10000 + (c_custkey * 37) % 89999 as varchar(10)) AS zip,
