@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
 ROUNDS = 4
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
 MAGIC = b"RPG1"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
+CACHE_PIECES = 20_000
 #: Fixed value: the byte-level BPE's pattern, as in the public tokenizer's description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -64,7 +65,7 @@ class _Words(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = self.encoder.entry(self.lead + word)
+        number = self[word] = self.encoder.entry(self, word)
         return number
 
 
@@ -89,21 +90,30 @@ class Encoder:
         self.flat, self.offsets = array("I"), array("q", [0])
         self.words, self.first, self.pieces = _Words(self, " "), _Words(self, ""), {}
 
-    def piece(self, piece: str) -> array:
+    def ids(self, piece: str) -> list[int]:
+        """Ids of one piece of the pattern, from the model."""
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+
+    def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))])
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces.clear()
+            ids = self.pieces[piece] = self.ids(piece)
         return ids
 
-    def entry(self, text: str) -> int:
-        core = text.rstrip(_MARKS)
-        if core and core[core[0] == " " :].isalpha():  # a word and marks behind it: two pieces
-            self.flat.extend(self.piece(core))
-            if len(core) < len(text):
-                self.flat.extend(self.piece(text[len(core) :]))
-        else:
-            for piece in self.pattern.findall(text):
+    def entry(self, words: _Words, word: str) -> int:
+        """Number of a new word's entry: a plain word is one piece, marks behind it are another."""
+        core = word.rstrip(_MARKS)
+        if not core.isalpha():
+            for piece in self.pattern.findall(words.lead + word):
                 self.flat.extend(self.piece(piece))
+        elif core == word:
+            self.flat.extend(self.ids(words.lead + core))
+        else:
+            known = words[core]
+            self.flat.extend(self.flat[self.offsets[known] : self.offsets[known + 1]])
+            self.flat.extend(self.piece(word[len(core) :]))
         self.offsets.append(len(self.flat))
         return len(self.offsets) - 2
 
