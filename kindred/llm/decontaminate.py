@@ -1,15 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
-A document is contaminated by a benchmark item if some window of as many words as the item has a
-weighted Jaccard similarity of `similarity` or more with it, over shingles of five words (an item with
+A document is contaminated by a benchmark item if some window of as many words as the item (the whole
+text where that has fewer) has a weighted Jaccard similarity of `similarity` or more with it, over shingles of five words (an item with
 fewer words is one shingle), lower-cased; a shingle's weight is how often it stands there.
 
 1. Seeds. A window as similar as that shares at least 2s/(1+s) of the item's weight, so of any
-   floor(W (1-s)/(1+s)) + 1 shingles of an item it holds one at least. Those `anchors` are looked for at
-   every word of every document, inside the row, without a shuffle.
-2. Windows. Where an anchor stands, the windows of the item's size that line up with it, or are off by
-   as many words as the missing weight allows, are cut out. Windows with equal words are one from here on,
-   so a passage that a third of all documents hold is worked on once.
+   floor(W (1-s)/(1+s)) + 1 shingles of an item it holds one at least. A shorter text shares at least s of
+   it and holds one of any floor(W (1-s)) + 1. Those `anchors` are looked for at every word of every
+   document, inside the row, without a shuffle.
+2. Windows. Where an anchor stands, all windows of the item's size that hold it are cut out, in whatever
+   order they have the item's parts; a text shorter than the item is its own window. Windows with equal
+   words are one from here on, so a passage that a third of all documents hold is worked on once.
 3. SimHash. Windows and items get a 64-bit fingerprint of their shingles. Both are cut into radius + 1
    blocks, and equal blocks of windows and items of one size are joined: no pair within `radius` differing
    bits can be missed. At a similarity of 0.8 about 9 bits differ, with a deviation of 3; the default is 20.
@@ -88,21 +89,23 @@ def _items(bench: DataFrame) -> DataFrame:
 
 
 def _anchors(items: DataFrame, width: int, similarity: float) -> DataFrame:
-    """s (hash), ipos, n, slack of every place where one of an item's anchor shingles stands."""
+    """s (hash), n, core of each anchor shingle; texts of n words or more need those of the core only."""
     own = items.filter(F.col("width") == width)
-    allowed = F.floor((F.col("n") - width + 1) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-9)).cast("int")
-    places = own.select("item_id", "words", "n", allowed.alias("slack"), F.posexplode(_let(_hashed(F.col("words")), lambda h: F.transform(_positions(F.size(h), width), lambda i: _shingle_hash(h, i, width)))).alias("ipos", "s"))
+    missing = lambda share: F.floor((F.col("n") - width + 1) * F.lit(share) + F.lit(1e-9)).cast("int")
+    hashes = _let(_hashed(F.col("words")), lambda h: F.transform(_positions(F.size(h), width), lambda i: _shingle_hash(h, i, width)))
+    places = own.select("item_id", "words", "n", missing((1 - similarity) / (1 + similarity)).alias("slack"), missing(1 - similarity).alias("short"), F.explode(hashes).alias("s"))
     # Of an item's distinct shingles those with the least hashes; items are short, so a window is small.
     rank = F.dense_rank().over(Window.partitionBy("item_id", "words").orderBy("s"))
-    return places.withColumn("rank", rank).filter(F.col("rank") <= F.col("slack") + 1).select("s", "ipos", "n", "slack").distinct()
+    places = places.withColumn("rank", rank).filter(F.col("rank") <= F.col("short") + 1)
+    return places.groupBy("s", "n").agg(F.max(F.col("rank") <= F.col("slack") + 1).alias("core"))
 
 
 def _seeds(docs: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
-    """doc_id, words, n, start of windows that an anchor points to."""
+    """doc_id, n, start, window of all windows that hold an anchor; n is the items' size."""
     words = words_of("text")
     bounded = [r.s for r in anchors.select("s").distinct().limit(INLINE_ANCHORS + 1).collect()]
     if not bounded:
-        return docs.select("doc_id", words.alias("words"), F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
+        return docs.select("doc_id", words.alias("words"), F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0).withColumnRenamed("words", "window").select("doc_id", "n", "start", "window")
     if len(bounded) <= INLINE_ANCHORS:
         hits = _let(_hashed(words), lambda h: F.transform(F.filter(_positions(F.size(h), width), lambda i: _shingle_hash(h, i, width).isin(bounded)), lambda i: F.struct(i.alias("pos"), _shingle_hash(h, i, width).alias("s"))))
         found = docs.select("doc_id", "text", hits.alias("hits")).filter(F.size("hits") > 0)
@@ -114,9 +117,13 @@ def _seeds(docs: DataFrame, anchors: DataFrame, width: int) -> DataFrame:
         found = marked.select("doc_id", "mark", every.alias("pos", "s")).join(anchors, "s").drop("s").distinct()
         rows = marked.dropDuplicates(["doc_id", "mark"]).withColumn("words", words_of("text")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "words")
         places = found.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
-    near = F.explode(F.sequence(F.col("pos") - F.col("ipos") - F.col("slack"), F.col("pos") - F.col("ipos") + F.col("slack")))
-    windows = places.select("doc_id", "words", "n", near.alias("start"))
-    return windows.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("words")))
+    size, whole = F.size("words"), F.size("words") < F.col("n")
+    low = F.when(whole, 0).otherwise(F.greatest(F.col("pos") - F.col("n") + width, F.lit(0)))
+    high = F.when(whole, 0).otherwise(F.least(F.col("pos"), size - F.col("n")))
+    # The words around the anchor, so that the rows of its windows are small.
+    near = places.filter(F.col("core") | whole).select("doc_id", "n", low.alias("low"), high.alias("high"), F.slice("words", low + 1, high - low + F.col("n")).alias("near"))
+    windows = near.select("doc_id", "n", "low", "near", F.explode(F.sequence("low", "high")).alias("start"))
+    return windows.select("doc_id", "n", "start", F.slice("near", F.col("start") - F.col("low") + 1, F.col("n")).alias("window"))
 
 
 def _blocks(fp: Column, radius: int) -> Column:
@@ -135,24 +142,23 @@ def contaminated(docs: DataFrame, bench: DataFrame, similarity: float = 0.8, rad
         own = items.filter(F.col("width") == width).select("item_id", F.col("n").alias("size"), _shingles(F.col("words"), width).alias("item"))
         own = own.withColumn("item_fp", simhash(F.col("item")))
         windows = _seeds(docs, _anchors(items, width, similarity), width)
-        windows = windows.select("doc_id", "start", "n", F.expr("slice(words, start + 1, n)").alias("window"))
-        windows = windows.withColumn("key", F.sha2(F.array_join("window", " "), 256)).distinct()
+        windows = windows.withColumn("key", F.sha2(F.concat_ws(" ", F.col("n").cast("string"), "window"), 256)).distinct()
         kinds = windows.groupBy("key").agg(F.first("n").alias("n"), F.first("window").alias("window"))
-        kinds = kinds.select("key", "n", _shingles(F.col("window"), width).alias("shingles"))
+        kinds = kinds.select("key", "n", F.size("window").alias("held"), _shingles(F.col("window"), width).alias("shingles"))
         kinds = kinds.withColumn("fp", simhash(F.col("shingles")))
         left = kinds.select("*", _blocks(F.col("fp"), radius).alias("b"))
         right = own.select("*", _blocks(F.col("item_fp"), radius).alias("ib"))
         pairs = left.join(right, (F.col("n") == F.col("size")) & (F.col("b.block") == F.col("ib.block")) & (F.col("b.value") == F.col("ib.value")))
         bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
-        pairs = pairs.select("key", "item_id", "n", "shingles", "item", bits.alias("differing_bits")).filter(F.col("differing_bits") <= radius)
-        pairs = pairs.groupBy("key", "item_id", "n", "differing_bits").agg(F.first("shingles").alias("shingles"), F.first("item").alias("item"))
+        pairs = pairs.select("key", "item_id", "held", "shingles", "item", bits.alias("differing_bits")).filter(F.col("differing_bits") <= radius)
+        pairs = pairs.groupBy("key", "item_id", "held", "differing_bits").agg(F.first("shingles").alias("shingles"), F.first("item").alias("item"))
         pairs = pairs.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("item"))).filter(F.col("similarity") >= similarity - 1e-9)
-        pairs = pairs.select("key", "item_id", "n", "differing_bits", "similarity")
+        pairs = pairs.select("key", "item_id", "held", "differing_bits", "similarity")
         # As each window's own row meets only the items it matches, the join cannot make pairs of documents.
         best = windows.select("doc_id", "start", "key").join(pairs, "key").groupBy("doc_id", "item_id").agg(
-            F.max(F.struct("similarity", (-F.col("start")).alias("at"), F.col("n"), F.col("differing_bits"))).alias("w")
+            F.max(F.struct("similarity", (-F.col("start")).alias("at"), F.col("held"), F.col("differing_bits"))).alias("w")
         )
-        found.append(best.select("doc_id", "item_id", (-F.col("w.at")).alias("start"), F.col("w.n").alias("n_words"), "w.differing_bits", F.round("w.similarity", 6).alias("similarity")))
+        found.append(best.select("doc_id", "item_id", (-F.col("w.at")).alias("start"), F.col("w.held").alias("n_words"), "w.differing_bits", F.round("w.similarity", 6).alias("similarity")))
     return functools.reduce(DataFrame.unionByName, found)
 
 

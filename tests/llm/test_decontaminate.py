@@ -69,6 +69,33 @@ def test_as_brute_force(spark):
     assert decontaminate.clean_documents(d, b).columns == d.columns
 
 
+def test_shorter_texts_and_moved_parts(spark, monkeypatch):
+    _, bench = case()
+    docs = []
+    for i, item in bench[1:5]:
+        w = item.split()
+        half = len(w) // 2
+        docs += [(10 + i, " ".join(w[:-1])), (20 + i, " ".join(w[2:])), (30 + i, " ".join(w[: -len(w) // 6])), (40 + i, " ".join(w[:half]))]
+        docs += [(50 + i, " ".join(["to", *w[half:], *w[:half], "end"])), (60 + i, " ".join([*w[-9:], *w[:-9]]))]
+    want = {}
+    for d, text in docs:
+        for i, item in bench:
+            w, iw = words(text), words(item)
+            width = min(5, len(iw))
+            for s in range(max(1, len(w) - len(iw) + 1)) if iw else ():
+                a, b = shingles(w[s : s + len(iw)], width), shingles(iw, width)
+                sim = sum((a & b).values()) / sum((a | b).values())
+                if sim >= 0.8 - 1e-9:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (sim, len(w[s : s + len(iw)])))
+    assert {(14, 4), (24, 4), (34, 4), (53, 3), (54, 4), (64, 4)} <= set(want) and len(want) < len(docs)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for anchors in (decontaminate.INLINE_ANCHORS, 2):
+        monkeypatch.setattr(decontaminate, "INLINE_ANCHORS", anchors)
+        got = {(r.doc_id, r.item_id): (r.similarity, r.n_words) for r in decontaminate.contaminated(d, b).collect()}
+        assert set(got) == set(want)
+        assert all(abs(got[k][0] - want[k][0]) < 1e-5 and got[k][1] == want[k][1] for k in want)
+
+
 def test_many_anchors_are_joined(spark, monkeypatch):
     docs, bench = case()
     docs = [r for r in docs if r[0] is None or r[0] < 300]
