@@ -6,7 +6,8 @@ is cut into bins. score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_
 half of (sum v_i x_i)^2 - sum (v_i x_i)^2, so scoring takes time in proportion to the words.
 
 The model is fitted on a bounded sample of labelled rows: the `train_rows` (default 8,000) rows
-with the least hash of their doc_id among those that may be learnt from. It has a fixed size
+with the least hash of their doc_id among those that may be learnt from, of rows of one doc_id the one
+with the least text hash. It has a fixed size
 (2**bits + statistics places of 1 + rank numbers, 0.6 MB) whatever the corpus is, so it goes to the executors
 with the function. Everything is scored.
 
@@ -132,7 +133,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, bits: int, train_rows: int
     known = labels.filter("doc_id is not null and quality is not null").filter(bucket(F.col("doc_id")) != 0)
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    texts = _inputs(docs).join(F.broadcast(chosen), F.col("key") == F.col("id")).select("key", "data", "n_chars", "y")
+    # One row an id, so that the bound holds for rows: that with the least text hash.
+    joined = _inputs(docs).join(F.broadcast(chosen), F.col("key") == F.col("id"))
+    least = F.struct(F.xxhash64("data").alias("hash"), F.col("data"), F.col("n_chars"))
+    texts = joined.groupBy("key", "y").agg(F.min(least).alias("least")).select("key", "least.data", "least.n_chars", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +148,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bits: int, train_rows: int
 
     rows = texts.mapInArrow(run, "key long, place binary, value binary, y double").collect()
     rows.sort(key=lambda r: (r.key, bytes(r.place), bytes(r.value)))
-    return [(np.frombuffer(r.place, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(np.float64), r.y) for r in rows[:train_rows]]
+    return [(np.frombuffer(r.place, "<i4").astype(np.int64), np.frombuffer(r.value, "<f4").astype(np.float64), r.y) for r in rows]
 
 
 def _inputs(docs: DataFrame) -> DataFrame:

@@ -38,3 +38,13 @@ def test_edges(spark):
     kept = quality.keep_documents(docs, model, 0.0)
     assert kept.columns == docs.columns and kept.count() == 4 and quality.keep_documents(docs, model, 1.1).count() == 0
     assert quality.score_documents(docs.drop("n_chars").limit(0), model).count() == 0
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids[0], f"copy {k}", 6) for k in range(300)] + [(i, f"text of {i}", 9) for i in ids[1:]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    got = quality.training_rows(docs, labels, 14, 50)
+    assert len(got) == len(ids) and [y for *_, y in got] == [i % 2 for i in ids]
+    assert len(quality.training_rows(docs, labels, 14, 10)) == 10
