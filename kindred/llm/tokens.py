@@ -1,53 +1,66 @@
 """Token-ID files: tokenised documents in doc_id order, compressed with a Re-Pair grammar per shard.
 
 `write_ids` deals documents to ranges of doc_id, tokenises each range in order, appends the end id to
-each document and packs runs of documents into shards of about `SHARD_IDS` ids (a longer document is a
-shard of its own). A shard's ids are replaced by a grammar: in each round the most frequent pairs of
-neighbouring symbols become nonterminals, all at once, and the next round counts pairs of the shorter
-sequence. No rule starts with the end id, so documents begin and end between symbols. A shard stores
-its rules, the length every rule expands to, its symbols, and each document's symbol and id counts:
+each document and packs runs of documents into shards of up to `SHARD_IDS` ids; a longer document goes
+on over several shards. A shard's ids are replaced by a grammar: in each round the most frequent pairs of
+neighbouring symbols, those that stand `LEAST_COUNT` times or more, become nonterminals, all at once, and
+the next round counts pairs of the shorter sequence. Rounds go on until there is no such pair or all 65,536
+symbols are used. No rule starts with the end id, so documents begin and end between symbols. A shard
+stores its rules, the length every rule expands to, its symbols, and each document's symbol and id counts:
 enough to decode any document, or any range of ids, without the rest (`decode_document`, `decode_range`).
 
 Shards are rows of a Parquet dataset: a driver and executors need no other shared place, a lost task
 is written again, and a partial write is never read.
 
-Tokens are those of the tokenizers library. Its BPE model is called once for each new word and the
-ids are kept; a text goes to the library as a whole if it holds code points or special tokens for which
-cutting at single spaces might differ from the library's own cut.
+Tokens are those of the tokenizers library. Texts are cut into words in Arrow, and its BPE model gets each
+new word once, many at a time. Up to `CACHE_WORDS` words are kept with their ids; when there are more, the
+half that was used last stays. A text goes to the library as a whole if it holds code points or special tokens for which cutting it here might
+differ from the library's own cut.
+
+Memory: a text, its ids (two bytes each), slices of 8 million code points cut into words, and one
+shard's Re-Pair; what is cut and packed does not grow with the text. Texts for the library alone are held
+with its own encoding of them.
 
 Nulls: a null text is empty (its ids are the end id alone); rows with a null doc_id come first. Rows
-with equal doc_id are ordered by a hash of their text. An empty table gives no shards and no rows.
+with equal doc_id are ordered by a hash of their text, equal rows follow each other. An empty table gives
+no shards and no rows. Only doc_id (as a long) and text are read; other columns, whatever their names,
+are left alone.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 SHARD_IDS = 1 << 18
-ROUNDS = 4
-PAIRS_A_ROUND = 2048
 LEAST_COUNT = 8
-MAGIC = b"RPG1"
-CACHE_WORDS = 150_000
-CACHE_PIECES = 20_000
+MAGIC = b"RPG2"
+CACHE_WORDS = 800_000
+SLICE = 1 << 23
+SHORT = 64
 #: Fixed value: the byte-level BPE's pattern, as in the public tokenizer's description.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-#: By code point below 256: 1 for a blank, 2 for one that the pattern and this module may see differently.
-_KIND = np.zeros(256, dtype=np.uint8)
-_KIND[[9, 10, 11, 12, 13, 32]] = 1
-_KIND[[28, 29, 30, 31, 0x85, 0xA0]] = 2
+#: Its letters and numbers among the code points below 256; these texts are cut here, others by the library.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+#: Code points below 256 that the pattern and the library may see differently; the other blanks.
+DOUBTFUL, BLANKS = bytes([28, 29, 30, 31, 0x85, 0xA0]), bytes.maketrans(b"\t\x0b\x0c\r", b"\n\n\n\n")
+LONE_SPACE = re.compile(r"(?<!\s) (?!\s)")
+#: Between pieces on their way to the model; no text that is cut here has it.
+DELIMITER = "\u2000"
 
 
 def _alphabet() -> dict[int, str]:
@@ -57,113 +70,133 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Word -> number of its entry; a new word is tokenised on the way. Words stand behind a space."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = self.encoder.entry(self, word)
-        return number
-
-
 class Encoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library."""
+    """Ids of texts, below 65,536, by a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if size > 65536:
+            raise ValueError("ids must be below 65,536")
         with open(path) as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.by_word = bool(plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE")
+        # The library's model over pieces that are cut and spelled in the byte-level alphabet already.
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.table = _alphabet()
-        self.pattern = regex.compile(PATTERN)
-        self.reset()
-
-    def reset(self) -> None:
-        self.flat, self.offsets = array("I"), array("q", [0])
-        self.words, self.first, self.pieces = _Words(self, " "), _Words(self, ""), {}
-
-    def ids(self, piece: str) -> list[int]:
-        """Ids of one piece of the pattern, from the model."""
-        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
-
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) > CACHE_PIECES:
-                self.pieces.clear()
-            ids = self.pieces[piece] = self.ids(piece)
-        return ids
-
-    def entry(self, words: _Words, word: str) -> int:
-        """Number of a new word's entry: a plain word is one piece, marks behind it are another."""
-        core = word.rstrip(_MARKS)
-        if not core.isalpha():
-            for piece in self.pattern.findall(words.lead + word):
-                self.flat.extend(self.piece(piece))
-        elif core == word:
-            self.flat.extend(self.ids(words.lead + core))
-        else:
-            known = words[core]
-            self.flat.extend(self.flat[self.offsets[known] : self.offsets[known + 1]])
-            self.flat.extend(self.piece(word[len(core) :]))
-        self.offsets.append(len(self.flat))
-        return len(self.offsets) - 2
+        self.mark = DELIMITER.encode().decode("latin-1").translate(self.table)
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self.pattern = re.compile(PATTERN.replace(r"^\s\p{L}\p{N}", f"^\\s{LETTERS}{NUMBERS}").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]"))
+        # Words met behind a space, where their ids stand in flat, and the last turn that used them.
+        self.known = pa.array([], pa.string())
+        self.flat = np.zeros(0, np.uint16)
+        self.start, self.size, self.used, self.turn = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def _pieces(self, pieces: list[str]) -> np.ndarray:
+        """Ids of pieces of the pattern, all at once."""
+        spelled = DELIMITER.join(pieces).encode().decode("latin-1").translate(self.table).replace(self.mark, " ")
+        return np.array(self.pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=np.uint16)
+
+    def _ends(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the ids of each of some strings end, from the strings' sizes in bytes."""
+        return np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes), side="right").astype(np.int32)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Tokenise new words at once: each behind a space, so that no piece belongs to two of them."""
+        ids = self._pieces(self.pattern.findall(" " + " ".join(words.to_pylist())))
+        ends = self._ends(ids, pc.binary_length(words).to_numpy() + 1)
+        size = np.diff(ends, prepend=np.int32(0))
+        self.start = np.concatenate([self.start, np.int32(len(self.flat)) + ends - size])
+        self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.known = pa.concat_arrays([self.known, words])
+
+    def _forget(self) -> None:
+        """Keep the words used last, half as many as may be held."""
+        self.turn += 1
+        if len(self.known) > CACHE_WORDS:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2])
+            self.flat = _gather(self.flat, self.start[keep], self.size[keep])
+            self.known, self.size, self.used = self.known.take(pa.array(keep)), self.size[keep], self.used[keep]
+            self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def _by_words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that are cut at spaces; only words that are not known go to the model."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        number, kinds = coded.indices.to_numpy(), coded.dictionary
+        found = pc.index_in(kinds, value_set=self.known)
+        place = found.fill_null(-1).to_numpy().copy()
+        if found.null_count:
+            place[place < 0] = np.arange(len(self.known), len(self.known) + found.null_count)
+            self._learn(kinds.filter(found.is_null()))
+        self.used[place] = self.turn
+        start, size = self.start[place][number], self.size[place][number]
+        # A text's first word has no space in front.
+        first = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+        ids = self._pieces([p for word in first for p in self.pattern.findall(word)])
+        ends = self._ends(ids, np.array([len(word.encode()) for word in first]))
+        size[offsets[:-1]] = np.diff(ends, prepend=np.int32(0))
+        start[offsets[:-1]] = len(self.flat) + ends - size[offsets[:-1]]
+        flat = np.concatenate([self.flat, ids])
+        self._forget()
+        return [_gather(flat, start[a:z], size[a:z]) for a, z in zip(offsets, offsets[1:])]  # noqa: B905  one offset more
 
     def _way(self, text: str) -> str:
         """How a text can be cut: at spaces, by the pattern, or by the library alone."""
         if not self.by_word or any(s in text for s in self.special):
             return "library"
         try:
-            kind = _KIND[np.frombuffer(text.encode("latin-1"), np.uint8)]
+            raw = text.encode("latin-1")
         except UnicodeEncodeError:
             return "library"
-        if (kind == 2).any():
+        if len(raw.translate(None, DOUBTFUL)) < len(raw):
             return "library"
-        at = np.flatnonzero(kind)
-        near = at[:-1][np.diff(at) == 1]  # blanks next to each other; a space among them joins no word
-        return "pattern" if any(" " in text[i : i + 2] for i in near.tolist()) else "spaces"
+        # Blanks next to each other: a space among them joins no word.
+        blank = raw.translate(BLANKS)
+        return "pattern" if any(pair in blank for pair in (b"  ", b" \n", b"\n ")) else "spaces"
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        numbers: list[int] = []
-        cut, counts = [], []
-        if len(self.offsets) > CACHE_WORDS:
-            self.reset()
+        """Ids of some texts; longer ones are cut into words a slice at a time."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, owner = [], []
         for i, text in enumerate(texts):
             way = self._way(text)
             if way == "library":
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-            elif way == "pattern":
-                out[i] = np.array([t for p in self.pattern.findall(text) for t in self.piece(p)], dtype=np.uint32)
-            else:
-                first, *rest = text.split(" ")
-                numbers.append(self.first[first])
-                numbers.extend(map(self.words.__getitem__, rest))
-                cut.append(i)
-                counts.append(len(rest) + 1)
-        if cut:
-            number = np.array(numbers, dtype=np.int64)
-            offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
-            a = offsets[number]
-            size = offsets[number + 1] - a
-            ends = np.cumsum(size)
-            ids = flat[np.arange(ends[-1]) + np.repeat(a - ends + size, size)]
-            last = ends[np.cumsum(counts) - 1].tolist()
-            for i, start, end in zip(cut, [0, *last], last):  # noqa: B905  one start more
-                out[i] = ids[start:end]
-            del offsets, flat
-        return out
+                out[i].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint16))
+                continue
+            at = 0
+            while at < len(text):
+                # Up to the next lone space behind the slice; the next slice starts with it.
+                lone = LONE_SPACE.search(text, at + SLICE) if len(text) > at + SLICE else None
+                end = lone.start() if lone else len(text)
+                if way == "pattern":
+                    out[i].append(self._pieces(self.pattern.findall(text[at:end])))
+                elif len(text) > SLICE:
+                    out[i] += self._by_words([text[at:end]])
+                else:
+                    parts.append(text)
+                    owner.append(i)
+                at = end
+        for i, ids in zip(owner, self._by_words(parts) if parts else [], strict=True):
+            out[i].append(ids)
+        return [ids[0] if len(ids) == 1 else np.concatenate([np.zeros(0, np.uint16), *ids]) for ids in out]
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of flat at start, one after the other."""
+    ends = np.cumsum(size)
+    return flat.take(np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -184,64 +217,57 @@ def repair(ids: np.ndarray, vocabulary: int, end_id: int = 0) -> tuple[np.ndarra
     """Rules (rows of two symbols; rule r stands for symbol vocabulary + r) and the symbols left."""
     wide = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    base = vocabulary
-    for _ in range(ROUNDS):
-        if len(wide) < 2:
+    base = fresh = vocabulary
+    near = np.arange(len(wide) - 1)
+    table = np.zeros(1 << 20, dtype=np.uint16)
+    ending = np.array([end_id, end_id + 1], dtype=np.uint32) << np.uint32(16)
+    while len(near) >= LEAST_COUNT and base < 65536:
+        code = (wide.take(near) << np.uint32(16)) | wide.take(near + 1)
+        ordered = np.sort(code)
+        # A pair that stands LEAST_COUNT times is equal to what stands so many places on.
+        frequent = ordered.take(np.flatnonzero(ordered[LEAST_COUNT - 1 :] == ordered[: 1 - LEAST_COUNT]))
+        frequent = frequent[np.flatnonzero(np.diff(frequent, prepend=~frequent[:1]))]
+        a, z = np.searchsorted(frequent, ending)
+        frequent = np.concatenate([frequent[:a], frequent[z:]])
+        if not len(frequent):
             break
-        code = (wide[:-1] << np.uint32(16)) | wide[1:]
-        able = wide[:-1] != end_id
-        ordered = np.sort(code[able])
-        if not len(ordered):
-            break
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(at, len(ordered)))
-        frequent = np.flatnonzero(count >= LEAST_COUNT)
-        room = min(PAIRS_A_ROUND, 65536 - base)
-        if not len(frequent) or room <= 0:
-            break
-        top = frequent[np.argsort(-count[frequent], kind="stable")[:room]]
-        pairs = ordered[at[top]]
+        count = np.searchsorted(ordered, frequent, "right") - np.searchsorted(ordered, frequent)
+        pairs = frequent[np.argsort(-count, kind="stable")[: 65536 - base]]
         # Pairs by a hash of 20 bits; of two in one place the rarer waits for the next round.
         slot = _slots(pairs)
         _, own = np.unique(slot, return_index=True)
-        own = np.sort(own)
+        own.sort()
+        waiting = len(own) < len(frequent)
         pairs, slot = pairs[own], slot[own]
-        table = np.full(1 << 20, -1, dtype=np.int32)
-        table[slot] = np.arange(len(pairs))
-        rule = table[_slots(code)]
-        hit = (rule >= 0) & able
-        place = np.flatnonzero(hit)
-        rule = rule[place]
-        same = pairs[rule] == code[place]
-        place, rule = place[same], rule[same]
-        if not len(place):
-            break
+        table[slot] = np.arange(1, len(pairs) + 1)
+        rule = table.take(_slots(code))
+        table[slot] = 0
+        found = np.flatnonzero(rule)
+        rule = rule.take(found).astype(np.int64) - 1
+        same = pairs.take(rule) == code.take(found)
+        place, rule = near.take(np.compress(same, found)), np.compress(same, rule)
         # Of overlapping places every other one is replaced, from the left.
-        new = np.concatenate([[True], np.diff(place) != 1])
+        new = np.diff(place, prepend=-2) != 1
         run = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
         take = (np.arange(len(place)) - run) % 2 == 0
-        place, rule = place[take], rule[take]
-        wide[place] = base + rule
+        place, rule = np.compress(take, place), np.compress(take, rule)
+        # Pairs that overlaps have left without a place are no rules.
+        used = np.bincount(rule, minlength=len(pairs)) > 0
+        pairs, number = pairs[used], np.cumsum(used) - 1
+        wide[place] = base + number.take(rule)
         keep = np.ones(len(wide), bool)
         keep[place + 1] = False
-        wide = wide[keep]
+        wide = np.compress(keep, wide)
         rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1))
-        base += len(pairs)
+        # A place that is not replaced has lost a symbol, so only pairs with a new symbol can be frequent now.
+        fresh, base = vocabulary if waiting else base, base + len(pairs)
+        is_new = wide >= fresh
+        near = np.arange(len(wide) - 1) if waiting else np.flatnonzero(is_new[:-1] | is_new[1:])
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), wide
 
 
-def expansions(rules: np.ndarray, vocabulary: int) -> list[list[int]]:
-    """What each rule stands for, in ids."""
-    out: list[list[int]] = []
-    for a, b in rules.tolist():
-        out.append((out[a - vocabulary] if a >= vocabulary else [a]) + (out[b - vocabulary] if b >= vocabulary else [b]))
-    return out
-
-
 def pack(ids: np.ndarray, lengths: np.ndarray, vocabulary: int, end_id: int = 0) -> bytes:
     """A shard: magic, counts, rules, expansion lengths, symbols, and per document ids and symbols."""
-    if vocabulary > 65536:
-        raise ValueError("ids must be below 65,536")
     rules, symbols = repair(ids, vocabulary, end_id)
     length = np.ones(vocabulary + len(rules), dtype=np.int64)
     for r, (a, b) in enumerate(rules.tolist()):
@@ -273,18 +299,30 @@ class Shard:
         self.lengths, self.symbol_counts = take("<u4", docs), take("<u4", docs)
         if at != len(blob):
             raise ValueError("the shard's size is wrong")
-        self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.size = np.concatenate([np.ones(self.vocabulary, np.int64), self.sizes.astype(np.int64)])
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _halved(self, symbols: np.ndarray, most: int) -> np.ndarray:
+        """Symbols with those that stand for more than `most` ids replaced by their halves, as often as need be."""
+        while (long := self.size[symbols] > most).any():
+            place = np.cumsum(long + 1) - long - 1
+            wider = np.empty(len(symbols) + int(long.sum()), np.int64)
+            wider[place[~long]] = symbols[~long]
+            halves, at = self.rules[symbols[long] - self.vocabulary], place[long]
+            wider[at], wider[at + 1] = halves[:, 0], halves[:, 1]
+            symbols = wider
+        return symbols
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of symbols: long rules are halved until they are short, short ones are looked up."""
         if self._table is None:
-            long = expansions(self.rules, self.vocabulary)
-            size = np.concatenate([np.ones(self.vocabulary, np.int64), self.sizes.astype(np.int64)])
-            flat = np.concatenate([np.arange(self.vocabulary), np.array([i for e in long for i in e], dtype=np.int64)]).astype(np.uint32)
-            self._table = size, np.cumsum(size) - size, flat
-        size, first, flat = self._table
-        own = size[symbols]
-        ends = np.cumsum(own)
-        return flat[np.arange(ends[-1]) + np.repeat(first[symbols] - ends + own, own)] if len(own) else np.zeros(0, np.uint32)
+            held = np.where(self.size <= SHORT, self.size, 0)
+            short = np.flatnonzero(self.sizes <= SHORT) + self.vocabulary
+            flat = np.concatenate([np.arange(self.vocabulary), self._halved(short, 1)]).astype(np.uint32)
+            self._table = np.cumsum(held) - held, flat
+        first, flat = self._table
+        symbols = self._halved(symbols.astype(np.int64), SHORT)
+        return _gather(flat, first[symbols], self.size[symbols])
 
     def decode(self) -> np.ndarray:
         return self._expand(self.symbols)
@@ -295,8 +333,7 @@ class Shard:
 
     def decode_range(self, start: int, count: int) -> np.ndarray:
         """ids start .. start + count, expanding only the symbols that cover them."""
-        size = np.concatenate([np.ones(self.vocabulary, np.int64), self.sizes.astype(np.int64)])
-        ends = np.cumsum(size[self.symbols])
+        ends = np.cumsum(self.size[self.symbols])
         a, z = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + count)
         before = int(ends[a - 1]) if a else 0
         return self._expand(self.symbols[a : z + 1])[start - before : start - before + count]
@@ -308,14 +345,36 @@ def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | No
     at = 0
     while at < len(keys):
         group, size = [], 0
-        while at + len(group) < len(keys) and size < 1 << 20:
+        while at + len(group) < len(keys) and size < SLICE:
             group.append(texts[at + len(group)].as_py())
             size += len(group[-1])
         yield from zip(keys[at : at + len(group)], encoder.encode_batch(group), strict=True)
         at += len(group)
 
 
-FIELDS = "part int, seq int, before long, n_ids long, doc_ids binary, known binary, blob binary"
+def _shift_crc(crc: int, zeros: int) -> int:
+    """A CRC-32's register after so many zero bytes more, by squaring the one-bit step."""
+    step = [0xEDB88320, *[1 << i for i in range(31)]]  # image of each bit under one zero bit
+    apply = lambda m, v: functools.reduce(operator.xor, (m[i] for i in range(32) if v >> i & 1), 0)
+    bits = zeros * 8
+    while bits:
+        if bits & 1:
+            crc = apply(step, crc)
+        step = [apply(step, column) for column in step]
+        bits >>= 1
+    return crc
+
+
+def joined_crc(parts: list[tuple[int, int]]) -> int:
+    """CRC-32 of bytes from the lengths and CRC-32s of their parts, in order."""
+    out = 0
+    for length, crc in parts:
+        out = _shift_crc(out, length) ^ crc
+    return out
+
+
+#: A row a shard: before is the ids of the part before it, within the ids of its first document before it.
+FIELDS = "part int, seq int, before long, within long, n_ids long, open boolean, doc_ids binary, known binary, blob binary"
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
@@ -326,58 +385,82 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     # The last key tells repeated rows apart, so that a hot doc_id is dealt to many ranges.
     rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FIELDS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, before = encoder_of(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
-        end = np.array([end_id], dtype=np.uint32)
+        end = np.array([end_id], dtype=np.uint16)
         ids: list[np.ndarray] = []
         keys: list[int | None] = []
-        held = 0
+        seq = before = within = held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(open_end: bool) -> pa.RecordBatch:
             lengths = np.array([len(x) for x in ids], dtype=np.int64)
             blob = pack(np.concatenate(ids), lengths, vocabulary, end_id)
             known = np.array([k is not None for k in keys])
             raw = np.array([k or 0 for k in keys], dtype="<i8")
-            values = [[part], [seq], [before], [held], [raw.tobytes()], [np.packbits(known).tobytes()], [blob]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=[f.split()[0] for f in FIELDS.split(", ")])
+            values = [part, seq, before, within, held, open_end, raw.tobytes(), np.packbits(known).tobytes(), blob]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for key, own in _encoded(encoder, batch):
                 own = np.concatenate([own, end])
                 if ids and held + len(own) > shard_ids:
-                    yield flush()
-                    seq, before, ids, keys, held = seq + 1, before + held, [], [], 0
-                ids.append(own)
+                    yield flush(False)
+                    seq, before, within, ids, keys, held = seq + 1, before + held, 0, [], [], 0
+                done = 0
+                while len(own) - done > shard_ids:  # a long document: full shards of its own
+                    ids, keys, held, within = [own[done : done + shard_ids]], [key], shard_ids, done
+                    yield flush(True)
+                    done += shard_ids
+                    seq, before, within, ids, keys, held = seq + 1, before + held, done, [], [], 0
+                ids.append(own[done:])
                 keys.append(key)
-                held += len(own)
+                held += len(own) - done
         if ids:
-            yield flush()
+            yield flush(False)
 
     rows.mapInArrow(run, FIELDS).write.parquet(path)
 
 
+@F.arrow_udf(LongType())
+def _joined_crc(parts: pa.Array) -> pa.Array:
+    return pa.array([joined_crc([(4 * p["n"], p["crc"]) for p in own]) for own in parts.to_pylist()], pa.int64())
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written shards alone."""
     stored = spark.read.schema(FIELDS).parquet(path)
     # Ids before each part: one row a part, as many as there are write tasks.
     totals = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     firsts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    rows = stored.join(F.broadcast(firsts), "part").select((F.col("first") + F.col("before")).alias("start"), "doc_ids", "known", "blob")
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
+    start = F.col("first") + F.col("before")
+    rows = stored.join(F.broadcast(firsts), "part").select(start.alias("start"), "within", "open", "doc_ids", "known", "blob")
+    out = "doc_id long, start long, n_tokens long, ids_crc32 long, at long, whole boolean"
+    types = [pa.int64()] * 5 + [pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                start, doc_ids, known, blob = (c[i].as_py() for c in batch.columns)
+                start, within, open_end, doc_ids, known, blob = (c[i].as_py() for c in batch.columns)
                 shard = Shard(blob)
                 ids, lengths = shard.decode().astype("<u4"), shard.lengths.astype(np.int64)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[z - n : z]) for z, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 there = np.unpackbits(np.frombuffer(known, np.uint8), count=len(lengths)).astype(bool)
-                keys = pa.array(np.frombuffer(doc_ids, "<i8"), mask=~there)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], schema=pa.schema(fields))
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                first, at = start + ends - lengths, np.zeros(len(lengths), np.int64)
+                whole = np.ones(len(lengths), bool)
+                first[0], at[0], whole[0] = start - within, within, not within
+                whole[-1] &= not open_end
+                values = [pa.array(np.frombuffer(doc_ids, "<i8"), mask=~there), first, lengths, crc, at, whole]
+                names = [f.split()[0] for f in out.split(", ")]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    found = rows.mapInArrow(run, out).filter("whole").select(*columns)
+    # Documents that go on over shards: only these shards are read again, a row each, joined in order; start names the document.
+    part = F.struct("at", F.col("n_tokens").alias("n"), F.col("ids_crc32").alias("crc"))
+    long = rows.filter("open or within > 0").mapInArrow(run, out).filter("not whole").groupBy("start", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("parts"))
+    return found.unionByName(long.select("doc_id", "start", "n_tokens", _joined_crc("parts").alias("ids_crc32")))

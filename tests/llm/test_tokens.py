@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -55,3 +56,39 @@ def test_written_and_read_back(spark, monkeypatch):
     empty = scratch_path(spark, "ids")
     tokens.write_ids(df.limit(0), empty, PATH)
     assert tokens.read_documents(spark, empty).count() == 0
+
+
+def test_grammar_goes_on_to_the_end():
+    rng = np.random.default_rng(1)
+    for ids in (np.tile([7, 8, 9, 7], 5000), rng.zipf(1.3, 30000) % 50000, np.repeat(rng.integers(1, 9, 900), rng.integers(1, 30, 900)), np.ones(9000), np.tile(rng.integers(1, 50000, 99), 90)):
+        ids = ids.astype(np.uint32)
+        rules, left = tokens.repair(ids, 50257)
+        pairs = Counter((a, b) for a, b in zip(left.tolist(), left[1:].tolist(), strict=False) if a)
+        assert len(rules) + 50257 == 65536 or max(pairs.values()) < tokens.LEAST_COUNT
+        assert (tokens.Shard(tokens.pack(ids, np.array([len(ids)]), 50257)).decode() == ids).all()
+
+
+def test_crc_of_parts():
+    data = np.random.default_rng(0).bytes(5000)
+    for cuts in ([0, 5000], [0, 1, 4999, 5000], [0, 17, 17, 900, 5000]):
+        parts = [(z - a, zlib.crc32(data[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)]
+        assert tokens.joined_crc(parts) == zlib.crc32(data)
+
+
+def test_long_texts_and_a_small_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    library, encoder = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        words = ["".join(rng.choice(list("abé,."), rng.integers(1, 6))) for _ in range(rng.integers(1, 200))]
+        text = rng.choice([" ", "\n", "  "]).join(words) + " ".join(words)
+        assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_clashing_columns_and_null_rows(spark):
+    rows = [(1, "a b", 1, 2, 3), (1, "a b", 1, 2, 3), (None, None, None, None, None)]
+    path = scratch_path(spark, "ids")
+    tokens.write_ids(spark.createDataFrame(rows, "doc_id long, text string, tie int, row int, part int"), path, PATH)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.read_documents(spark, path).collect())
+    assert got == [(0, None, 1), (1, 1, 3), (4, 1, 3)]
