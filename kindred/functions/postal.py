@@ -1,122 +1,85 @@
-"""Postal codes in free-form addresses, as a table of shapes tried in order.
-
-A shape has a pattern with the code in a group, what must hold of the text around the code, and the
-form it is given back in. Most shapes refuse a number that reads like a street, unit or phone number.
-The neighbourhood tests look at words before and after a match, which no builtin expresses well, so the
-whole table runs in one Arrow UDF; an address is worked on once, and repeats in a batch only once.
+"""Postal codes in free-form addresses: one regular expression a rule, tried in order, inside the JVM.
+
+What a rule asks of the text around a code is a look-around of its expression. Most rules refuse a number
+that reads like a street, unit or phone number: one behind a unit word, one that begins an address which
+goes on, and one with a street word among the next five words. The rules are:
+
+1. ZIP+4; 2. a code behind a label (pin code, postal code, zip), of any shape, not refused for its
+neighbours; 3. Canadian; 4. British; 5. six digits behind a dash or comma, or at the end, or before the
+country; 6. five digits behind a state, comma or dash, at the end, before the country or before a plain
+word; 7. five digits at the very end behind two letters, a comma or a dash. Rules 1 to 4 look at the first
+number of their shape only, the others at all. Blanks between a code and what a rule looks at behind it
+may be 99 at most.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-from kindred.functions.constants import STREET_WORDS, UNIT_PHRASES, UNIT_WORDS
-
-# The shapes of codes.
-ZIP, ZIP4, PIN = r"\d{5}", r"\d{5}-\d{4}", r"[1-9]\d{5}"
-CANADIAN, BRITISH = r"[A-Za-z]\d[A-Za-z][ -]?\d[A-Za-z]\d", r"[A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2}"
-LABEL = r"(?i)\b(?:pin\s*code|pincode|pin|postal\s*code|postal|zip\s*code|zipcode|zip)\s*[:#-]?\s*([A-Za-z0-9\s-]{3,10})\b"
-
-
-@dataclass
-class Found:
-    code: str
-    before: str
-    after: str
-
-
-def reads_like_number(found: Found) -> bool:
-    """Whether the words around a number make it a street, unit or phone number."""
-    lead, tail = found.before.strip(), found.after.strip()
-    words = [w.lower() for w in re.findall(r"[a-zA-Z0-9.]+", lead)]
-    if words:
-        last = words[-1].rstrip(".")
-        if last in UNIT_WORDS or " ".join([*words[-2:-1], last]) in UNIT_PHRASES:
-            return True
-    elif not lead.strip("#,- \t\n\r\f\v") and tail:
-        return True
-    return any(w.lower().strip(".,;:-()[]") in STREET_WORDS for w in tail.split()[:5])
-
-
-def _only(names: str) -> Callable[[str], bool]:
-    shape = re.compile(rf",?\s*(?:{names})?", re.I)
-    return lambda text: not text or shape.fullmatch(text) is not None
-
 
-_ends_in_india, _ends_in_us = _only("India|IN|Bharat"), _only("USA?|United States|US")
+from kindred.functions.constants import STREET_WORDS, UNIT_WORDS
 
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+SOLID = r"[^\s\x1c-\x1f\x85\p{Z}]"
+LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+EDGE = r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
 
-def _pin_fits(found: Found) -> bool:
-    return found.before.rstrip().endswith(("-", ",")) or _ends_in_india(found.after.lstrip())
+# The shapes of codes and the labels before them.
+ZIP, ZIP4, PIN = "[0-9]{5}", "[0-9]{5}-[0-9]{4}", "[1-9][0-9]{5}"
+CANADIAN = "[A-Za-z][0-9][A-Za-z][ -]?[0-9][A-Za-z][0-9]"
+BRITISH = rf"[A-Z]{{1,2}}[0-9][A-Z0-9]?{BLANK}+[0-9][A-Z]{{2}}"
+LOOSE_BRITISH = rf"[A-Za-z]{{1,2}}[0-9][A-Za-z0-9]?{BLANK}*[0-9][A-Za-z]{{2}}"
+LABELS = rf"pin{BLANK}*code|pincode|pin|postal{BLANK}*code|postal|zip{BLANK}*code|zipcode|zip"
 
 
-def _zip_fits(found: Found) -> bool:
-    tail = found.after.strip()
-    if found.code.startswith("00"):
-        return False
-    if _ends_in_us(tail):
-        return True
-    word = tail.split()[0].strip(".,;")
-    return word.isalpha() and word.lower() not in STREET_WORDS
+def _any(words: list[str]) -> str:
+    return "|".join(sorted({re.escape(w) for w in words}, key=lambda w: (-len(w), w)))
 
 
-def _labelled(text: str) -> str:
-    """The form of a code that follows a label, or nothing."""
-    text = text.strip()
-    if re.fullmatch(rf"{ZIP}(?:-\d{{4}})?|{PIN}", text):
-        return text
-    if re.fullmatch(CANADIAN, text):
-        return text.replace(" ", "").upper()
-    return text.upper() if re.fullmatch(r"[A-Za-z]{1,2}\d[A-Za-z\d]?\s*\d[A-Za-z]{2}", text) else ""
+#: In front of a code: no unit word, and not the beginning of an address that goes on behind the code.
+_NO_UNIT = rf"(?<!(?:^|[^a-zA-Z0-9.])(?i:{_any([w.rstrip('.') for w in UNIT_WORDS])})\.{{0,9}}[^a-zA-Z0-9.]{{0,99}})"
+_NOT_FIRST = rf"(?:(?<!^[\s#,-]{{0,99}})|(?=%s{BLANK}*$))"
+#: Behind it: none of the next five words is a street word.
+_PUNCTUATION = r"[.,;:\-()\[\]]*"
+_NO_STREET = rf"(?!{BLANK}*(?:{SOLID}+{BLANK}+){{0,4}}{_PUNCTUATION}(?i:{_any(STREET_WORDS)}){_PUNCTUATION}(?:{BLANK}|$))"
 
 
-@dataclass
-class Shape:
-    pattern: re.Pattern
-    fits: Callable[[Found], bool] = lambda found: True
-    form: Callable[[str], str] = str
-    guarded: bool = True
-    every: bool = False  # all places are tried, not just the first
+def _guarded(code: str, before: str = "", after: str = "") -> str:
+    return before + _NO_UNIT + _NOT_FIRST.replace("%s", code) + f"({code})" + _NO_STREET + after
 
 
-SHAPES = [
-    Shape(re.compile(rf"\b({ZIP4})\b")),
-    Shape(re.compile(LABEL), form=_labelled, guarded=False),
-    Shape(re.compile(rf"\b({CANADIAN})\b"), form=lambda c: c.replace(" ", "").upper()),
-    Shape(re.compile(rf"\b({BRITISH})\b"), form=str.upper),
-    Shape(re.compile(rf"\b({PIN})\b"), fits=_pin_fits, every=True),
-    Shape(re.compile(rf"(?:\b[A-Z]{{2}}\s+|,\s*|-\s*)\b({ZIP})\b"), fits=_zip_fits, every=True),
-    Shape(re.compile(rf"(?:[A-Za-z]{{2,}}|,|-)\s*({ZIP})$"), fits=lambda found: not found.code.startswith("00")),
-]
+def _first(code: str) -> str:
+    """Only the first place of the shape counts: the search for it is not taken back."""
+    return rf"(?s)^(?>.*?(?={LEFT}{code}{RIGHT}))" + _guarded(code, after=RIGHT)
 
 
-def extract_postal_code(address: str | None) -> str:
-    text = (address or "").strip()
-    for shape in SHAPES if text else []:
-        for place in shape.pattern.finditer(text):
-            found = Found(place.group(1), text[: place.start(1)], text[place.end(1) :])
-            code = shape.form(found.code)
-            if code and shape.fits(found) and not (shape.guarded and reads_like_number(found)):
-                return code
-            if not shape.every:
-                break
-    return ""
+def _country(names: str) -> str:
+    return rf"(?={BLANK}*,?{BLANK}*(?i:{names})?$)"
 
 
-@F.arrow_udf(StringType())
-def _postal_batch(addresses: pa.Array) -> pa.Array:
-    values = addresses.to_pylist()
-    codes = {a: extract_postal_code(a) for a in set(values)}
-    return pa.array([codes[a] for a in values], pa.string())
+_PIN = _guarded(PIN, before=LEFT, after=RIGHT + rf"(?:(?<=[-,]{BLANK}{{0,99}}[0-9]{{6}})|{_country('India|IN|Bharat')})")
+_ZIP_INSIDE = _guarded(
+    rf"(?!00){ZIP}",
+    before=rf"{LEFT}(?<=(?:{LEFT}[A-Z]{{2}}{BLANK}{{1,99}}|[-,]{BLANK}{{0,99}}))",
+    after=RIGHT + rf"(?:{_country('USA?|United States|US')}|(?={BLANK}*[.,;]*\p{{L}}+[.,;]*(?:{BLANK}|$)))",
+)
+_ZIP_LAST = _guarded(rf"(?!00){ZIP}", before=rf"(?<=(?:[A-Za-z]{{2}}|[-,]){BLANK}{{0,99}})", after="$")
+_LABELLED = rf"(?i){LEFT}(?:{LABELS}){BLANK}*[:#-]?{BLANK}*([A-Za-z0-9\s-]{{3,10}}){EDGE}"
 
 
 def postal_code(address: Column) -> Column:
     """The address's postal code, empty if there is none."""
-    return _postal_batch(address)
+    text = F.regexp_replace(F.coalesce(address, F.lit("")), rf"^{BLANK}+|{BLANK}+$", "")
+    found = lambda pattern: F.regexp_extract(text, pattern, 1)
+    compact = lambda code: F.upper(F.replace(code, F.lit(" "), F.lit("")))
+    label = F.trim(F.regexp_replace(found(_LABELLED), BLANK, " "))
+    labelled = (
+        F.when(label.rlike(f"^(?:{ZIP}(?:-[0-9]{{4}})?|{PIN})$"), label)
+        .when(label.rlike(f"^{CANADIAN}$"), compact(label))
+        .when(label.rlike(f"^{LOOSE_BRITISH}$"), F.upper(label))
+        .otherwise("")
+    )
+    rules = [found(_first(ZIP4)), labelled, compact(found(_first(CANADIAN))), F.upper(found(_first(BRITISH))), found(_PIN), found(_ZIP_INSIDE), found(_ZIP_LAST)]
+    return F.coalesce(*[F.nullif(code, F.lit("")) for code in rules], F.lit(""))

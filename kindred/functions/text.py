@@ -22,8 +22,6 @@ from kindred.functions.postal import postal_code
 WORD = r"\p{L}\p{N}_"
 BLANK = r"\s\x1c-\x1f\x85\p{Z}"
 INDIC = r"\x{0900}-\x{0D7F}"
-#: Passes over the suffix list that suffice for any run of suffixes in practice.
-SUFFIX_ROUNDS = 8
 
 
 def _fold(text: str) -> str:
@@ -81,9 +79,8 @@ def core_name(normalized: Column, suffixes: list[str] | None = None, prefixes: l
     """A normalised name without the legal forms at its end, and one at its start; never empty."""
     ordered = sorted({s.lower().strip() for s in (LEGAL_SUFFIXES if suffixes is None else suffixes)}, key=lambda s: (-len(s), s))
     ending = "(?:" + "|".join(rf"(?: {re.escape(s)})+" for s in ordered) + ")$"
-    core = normalized
-    for _ in range(SUFFIX_ROUNDS):
-        core = F.regexp_replace(core, ending, "")
+    # A round takes at least one word or changes nothing, so as many rounds as words reach the end of it.
+    core = F.aggregate(F.split(normalized, " "), normalized, lambda left, _: F.regexp_replace(left, ending, ""))
     starts = "|".join(map(re.escape, LEGAL_PREFIXES if prefixes is None else prefixes))
     core = F.regexp_replace(core, f"^(?:{starts}) (?=.)", "")
     return F.when(core == "", normalized).otherwise(core)

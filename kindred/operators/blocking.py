@@ -2,9 +2,11 @@
 
 Every record becomes rows (country, kind, key); equal rows of both sides meet in one equi-join, which
 hashes on all three, so a country is no unit of work. What a pass asks beyond its key is tested on
-the joined rows, and one aggregate per pair unites the passes and counts shared address words. Hot keys
-are left to the skew-join rule (the join has plain shuffles below it); max_token_df, off by default, drops name words
-that more target records than that share.
+the joined rows, and one aggregate per pair unites the passes and counts shared address words. One
+aggregate counts each key on both sides. A key with more than HOT_KEY rows of a side is cut: that side's
+rows are dealt over as many cells as it takes, the other side's rows go to each of them, so that no task
+joins more than HOT_KEY by HOT_KEY rows of a key. max_token_df, off by default, drops name words that more
+target records than that share.
 
 kinds: token (a name word, or all name words run together), core, postal, number (first of the address), address.
 """
@@ -19,6 +21,8 @@ from kindred.functions.similarity import overlap
 from kindred.functions.text import enriched, strip_web_domain
 
 PASSES = ("token", "core", "postal", "number", "address")
+HOT_KEY = 10_000
+KEY = ["country", "kind", "key"]
 
 
 def _id(df: DataFrame) -> str:
@@ -58,22 +62,38 @@ def keyed(records: DataFrame, passes=PASSES) -> DataFrame:
     )
 
 
-def candidate_pairs(source1: DataFrame, target: DataFrame, passes=PASSES, max_df: int = 100, max_token_df: int | None = None, target_source: str | None = None) -> DataFrame:
+def _celled(side: DataFrame, marks: DataFrame, own: str, other: str, dealt: str, copied: str) -> DataFrame:
+    """side with the cell of each row: by hash over its own cells, and once in each cell of the other side."""
+    out = side.join(marks, KEY, "left").filter(~F.coalesce("common", F.lit(False)))
+    out = out.withColumn(dealt, F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1).cast("long"))))
+    return out.withColumn(copied, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1))).drop(own, other, "common")
+
+
+def candidate_pairs(
+    source1: DataFrame, target: DataFrame, passes=PASSES, max_df: int = 100, max_token_df: int | None = None, target_source: str | None = None,
+    hot: int = HOT_KEY, address_counts: DataFrame | None = None,
+) -> DataFrame:
     """source1_entity_id, candidate_entity_id[, target_source] of the records that some pass brings together.
 
-    Address words that more than max_df target records of the country have are no keys; the count is over the whole target.
+    Address words that more than max_df target records of the country have are no keys; the count is over the whole
+    of target, or is taken from address_counts (country, key, n), where target is only a part of a larger table.
     """
     left, right = keyed(source1, passes), keyed(target, passes)
-    limits = {"address": max_df} if "address" in passes else {}
-    if max_token_df is not None and "token" in passes:
-        limits["token"] = max_token_df
-    if limits:
-        limited = right.filter(F.col("kind").isin(list(limits)))
-        most = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in limits.items()])
-        common = limited.groupBy("country", "kind", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("country", "kind", "key")
-        right = right.join(common, ["country", "kind", "key"], "left_anti")
-    r = right.select("country", "kind", "key", *[F.col(c).alias(f"t_{c}") for c in ("id", "numbers", "addresses", "names")])
-    met = left.join(r, ["country", "kind", "key"])
+    side = lambda df, l, r: df.select(*KEY, F.lit(l).alias("l"), F.lit(r).alias("r"))
+    counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    limits = {"token": max_token_df} if max_token_df is not None else {}
+    limits |= {"address": max_df} if address_counts is None else {}
+    common = F.lit(False)
+    for kind, most in limits.items():
+        common = common | ((F.col("kind") == kind) & (F.col("r") > most))
+    cells = lambda n: F.ceil(F.col(n) / F.lit(hot)).cast("long")
+    marks = counts.select(*KEY, common.alias("common"), F.greatest(cells("l"), F.lit(1)).alias("lc"), F.greatest(cells("r"), F.lit(1)).alias("rc")).filter("common or lc > 1 or rc > 1")
+    if address_counts is not None:
+        known = address_counts.filter(F.col("n") > max_df).select("country", F.lit("address").alias("kind"), "key")
+        right = right.join(known, KEY, "left_anti")
+    left, right = _celled(left, marks, "lc", "rc", "lcell", "rcell"), _celled(right, marks, "rc", "lc", "rcell", "lcell")
+    r = right.select(*KEY, "lcell", "rcell", *[F.col(c).alias(f"t_{c}") for c in ("id", "numbers", "addresses", "names")])
+    met = left.join(r, [*KEY, "lcell", "rcell"])
     shared_numbers = overlap(F.col("numbers"), F.col("t_numbers"))
     two_words = F.size(F.array_intersect("addresses", "t_addresses")) >= 2
     direct = (
@@ -97,3 +117,8 @@ def all_candidates(source1: DataFrame, targets: dict[str, DataFrame], **options)
         own = candidate_pairs(source1, target, target_source=name, **options)
         out = own if out is None else out.unionByName(own)
     return out
+
+
+def address_word_counts(target: DataFrame) -> DataFrame:
+    """country, key, n: how many target records have each address word, for candidate_pairs on parts of target."""
+    return keyed(target, ("address",)).groupBy("country", "key").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kindred.sources.tsv import write_tsv
+
 PAIR = ["source1_entity_id", "target_entity_id"]
 
 
@@ -50,6 +52,13 @@ def audit(enriched: DataFrame) -> DataFrame:
     return enriched.agg(total.alias("n_records"), *[F.count_if(v).alias(k) for k, v in counters.items()], *[v.alias(k) for k, v in share.items()])
 
 
+def write_audit(enriched: DataFrame, path: str, n: int = 500) -> None:
+    """The audit's counters as JSON at path/audit, and the first n records by id with their derived columns as TSV at path/sample."""
+    audit(enriched).coalesce(1).write.mode("overwrite").json(f"{path}/audit")
+    flat = enriched.orderBy("entity_id").limit(n).select(*[F.array_join(c, " ").alias(c) if kind.startswith("array") else F.col(c) for c, kind in enriched.dtypes])
+    write_tsv(flat.coalesce(1), f"{path}/sample")
+
+
 def profile(records: DataFrame) -> DataFrame:
     """One row: sizes, distinct values, missing addresses and lengths of a source."""
     name, address = F.col("business_name"), F.col("business_address")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions.constants import DERIVED, FEATURES
 from kindred.functions.text import enriched
+from kindred.operators.validate import require
 
 
 def _side(records: DataFrame, mark: str) -> DataFrame:
@@ -22,6 +23,7 @@ def pair_features(pairs: DataFrame, source1: DataFrame, target: DataFrame) -> Da
     Pairs with an id that its side does not have are left out.
     """
     other = "target_entity_id" if "target_entity_id" in pairs.columns else "candidate_entity_id"
+    require(pairs, ["source1_entity_id", other], "pairs")
     both = pairs.join(_side(source1, "a_"), F.col("source1_entity_id") == F.col("a_id")).join(_side(target, "b_"), F.col(other) == F.col("b_id"))
     a, b = (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
     name, core, address = "business_name_normalized", "business_name_core", "business_address_normalized"

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.functions.constants import FEATURES
+from kindred.operators.validate import require
 
 
 def numeric(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -18,28 +22,61 @@ def numeric(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in columns})
 
 
-def train(df: DataFrame, trees: int = 60, depth: int = 5, rate: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Fit on label; where is_validation is given, those rows stop the growth and are not fitted."""
+@dataclass
+class TreeConfig:
+    """How trees are grown: up to `trees`, fewer where held-out rows stop gaining by `tolerance`.
+
+    Leaves have at least `min_rows` rows; a tree sees shares of the rows and, at each node, of the features. There is
+    no L1 or L2 term in these trees; min_rows, depth and rate hold them back.
+    """
+
+    trees: int = 2000
+    depth: int = 6
+    rate: float = 0.05
+    min_rows: int = 100
+    row_share: float = 0.8
+    feature_share: float = 0.8
+    tolerance: float = 0.001
+    seed: int = 42
+
+
+def train(df: DataFrame, config: TreeConfig | None = None, **changes) -> PipelineModel:
+    """Fit on label; where is_validation is given, those rows stop the growth and are not fitted. changes: fields of TreeConfig."""
+    config = TreeConfig(**(asdict(config or TreeConfig()) | changes))
+    require(df, [*FEATURES, "label"], "training rows")
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="features")]
-    options = {"validationIndicatorCol": "is_validation"} if "is_validation" in df.columns else {}
-    stages.append(GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=5, seed=seed, **options))
+    options = {"validationIndicatorCol": "is_validation", "validationTol": config.tolerance} if "is_validation" in df.columns else {}
+    stages.append(GBTClassifier(
+        featuresCol="features", labelCol="label", maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate, subsamplingRate=config.row_share,
+        featureSubsetStrategy=str(config.feature_share), minInstancesPerNode=config.min_rows, seed=config.seed, **options,
+    ))
     return Pipeline(stages=stages).fit(numeric(df).withColumn("label", F.col("label").cast("double")))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """df with prediction_probability."""
+    require(df, FEATURES, "rows to score")
     keep = [c for c in df.columns if c not in ("features", "rawPrediction", "probability", "prediction")]
     return model.transform(numeric(df)).select(*keep, vector_to_array("probability")[1].alias("prediction_probability"))
 
 
-def save(model: PipelineModel, path: str) -> None:
+def save(model: PipelineModel, path: str, metrics: dict | None = None, config: TreeConfig | None = None) -> None:
+    """The model at path, and features, parameters, importances and metrics as JSON text at path-metadata."""
     model.write().overwrite().save(path)
+    trees = model.stages[-1]
+    about = {"features": FEATURES, "trees": trees.getNumTrees, "parameters": asdict(config) if config else {}, "importances": dict(importances(model)), "metrics": metrics or {}}
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}-metadata")
 
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def load_metadata(path: str) -> dict:
+    return json.loads(SparkSession.active().read.text(f"{path.rstrip('/')}-metadata").first().value)
+
+
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(FEATURES, map(float, values), strict=True), key=lambda p: (-p[1], p[0]))

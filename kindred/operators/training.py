@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from kindred.operators.blocking import candidate_pairs
 from kindred.operators.features import pair_features
+from kindred.operators.validate import require
 
 SEED = 42  # fixed value
 NEGATIVES = 20  # fixed value: negatives kept for an entity
@@ -31,16 +32,24 @@ def required_targets(truth_pairs: DataFrame, prefix: str) -> DataFrame:
     return truth_pairs.filter(F.col("target_entity_id").startswith(prefix)).select(F.col("target_entity_id").alias("entity_id")).distinct()
 
 
-def sample_targets(targets: DataFrame, required: DataFrame, n: int, seed: int = SEED) -> DataFrame:
-    """The required records and, up to n in all, others drawn uniformly from the whole table."""
+def sample_targets(targets: DataFrame, required: DataFrame, n: int = 0, seed: int = SEED, share: float | None = None) -> DataFrame:
+    """The required records and, up to n in all, others drawn uniformly from the whole table.
+
+    With share, as many others as that share of the required ones. Others are counted off in 4,096 ranges of their
+    draw, whose sizes are ordered in one task, and by rank in the one range where the sample ends.
+    """
     marked = targets.dropDuplicates(["entity_id"]).join(required.withColumn("_needed", F.lit(True)), "entity_id", "left")
+    marked = marked.withColumn("_draw", draw(F.col("entity_id"), seed=seed)).withColumn("_range", F.substring("_draw", 1, 3))
     needed = marked.filter("_needed")
-    others = marked.filter("_needed is null").orderBy(draw(F.col("entity_id"), seed=seed), "entity_id").limit(n)
-    # Of the others as many as are left of n; their number is at most n, so they are numbered in one window.
-    room = needed.agg(F.greatest(F.lit(0), F.lit(n) - F.count(F.lit(1))).alias("_room"))
-    numbered = others.withColumn("_at", F.row_number().over(Window.orderBy(draw(F.col("entity_id"), seed=seed), "entity_id")))
-    taken = numbered.join(F.broadcast(room), F.col("_at") <= F.col("_room")).select(*targets.columns)
-    return needed.select(*targets.columns).unionByName(taken)
+    others = marked.filter("_needed is null")
+    have = F.count(F.lit(1))
+    room = needed.agg((F.floor(have * F.lit(share)) if share is not None else F.greatest(F.lit(0), F.lit(n) - have)).cast("long").alias("_room"))
+    sizes = others.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_range", before.alias("_before")).join(F.broadcast(room), F.lit(True)).filter("_before < _room")
+    ranked = others.join(F.broadcast(sizes), "_range")
+    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy("_draw", "entity_id")) + F.col("_before"))
+    return needed.select(*targets.columns).unionByName(ranked.filter("_at <= _room").select(*targets.columns))
 
 
 def positives(truth_pairs: DataFrame, source1: DataFrame, target: DataFrame) -> DataFrame:
@@ -75,6 +84,7 @@ def training_pairs(source1: DataFrame, targets: dict[str, DataFrame], truth_pair
 
 def training_features(pairs: DataFrame, source1: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     """The features of training pairs, with label and source."""
+    require(pairs, [*PAIR, "label", "source"], "training pairs")
     out = None
     for name, target in targets.items():
         own = pair_features(pairs.filter(F.col("source") == name), source1, target)
@@ -82,6 +92,11 @@ def training_features(pairs: DataFrame, source1: DataFrame, targets: dict[str, D
     return out
 
 
+def composition(pairs: DataFrame) -> DataFrame:
+    """source, label, n_pairs, n_entities of training pairs."""
+    return pairs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(PAIR[0]).alias("n_entities"))
+
+
 def grouped_split(pairs: DataFrame, percent: int = 20, seed: int = SEED, group: str = PAIR[0]) -> DataFrame:
     """pairs with is_validation, the same for all rows of an entity."""
     bucket = F.conv(F.substring(draw(F.col(group), seed=seed), 1, 8), 16, 10).cast("long") % 100

@@ -12,6 +12,14 @@ from kindred.sources.tsv import split_ids
 MATCHES, CANDIDATES = "matched_entity_ids", "candidate_entity_ids"
 
 
+def require(df: DataFrame, columns: list[str], what: str = "table") -> DataFrame:
+    """df, or ValueError that names the columns it lacks."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"{what}: no column {', '.join(lacking)}")
+    return df
+
+
 def parse_lines(lines: DataFrame, column: str) -> DataFrame:
     """source1_entity_id, ids, malformed of raw lines (column value) without the header."""
     parts = F.split("value", "\t", 2)

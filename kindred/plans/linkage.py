@@ -1,4 +1,4 @@
-"""The linkage pipeline from raw records to matches, as one lazy plan."""
+"""The linkage pipeline from raw records to matches."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from kindred.functions.text import enriched
 from kindred.operators import matching, model, threshold, training
 from kindred.operators.blocking import PASSES, all_candidates
 from kindred.operators.features import pair_features
+from kindred.sources.scratch import written
 
 
 def rule_predictions(pairs: DataFrame, source1: DataFrame, target: DataFrame) -> DataFrame:
@@ -42,12 +43,14 @@ def train_and_match(source1: DataFrame, targets: dict[str, DataFrame], truth: Da
     source1 = enriched(source1)
     targets = {k: enriched(v) for k, v in targets.items()}
     pairs = training.training_pairs(source1, targets, truth)
-    rows = training.grouped_split(training.training_features(pairs, source1, targets))
-    fitted = model.train(rows, **options)
-    if path:
-        model.save(fitted, path)
+    # Fitting passes over the rows once a tree: they are written once, in shared storage.
+    rows = written(training.grouped_split(training.training_features(pairs, source1, targets)), "training-rows")
+    config = model.TreeConfig(**options)
+    fitted = model.train(rows, config)
     held = model.score(fitted, rows.filter("is_validation"))
     best = threshold.best(threshold.sweep(held, truth)).first().asDict()
+    if path:
+        model.save(fitted, path, best, config)
     scored = None
     for name, target in targets.items():
         features = pair_features(all_candidates(source1, {name: target}), source1, target)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from kindred.functions import similarity as sim
 from kindred.functions import text as fn
-from kindred.functions.constants import DERIVED, FEATURES
+from kindred.functions.constants import DERIVED, FEATURES, RECORD
+from kindred.functions.postal import postal_code
 from kindred.operators import blocking, evaluate, matching, model, threshold, training, validate
 from kindred.operators.features import pair_features
 from kindred.plans import sql
 from kindred.plans.linkage import match_by_rule, rule_predictions, train_and_match
-from kindred.sources import testrecords
+from kindred.sources import testrecords, tsv
+from kindred.sources.scratch import scratch_path, written
 from kindred.sources.tsv import truth_pairs
 
 QUERIES: dict = {}
@@ -82,6 +84,15 @@ _column_query("norm_address", ["business_address_normalized"])
 _column_query("address_tokens", ["address_tokens"])
 _column_query("address_numbers", ["address_numbers"])
 _column_query("postal_code", ["postal_code"])
+
+
+@query(testrecords.with_base(testrecords.SHAPED_CODES))
+def postal_shapes(spark, d):
+    """Codes of every rule, and numbers that each of the refusals holds back."""
+    rows = testrecords.shaped_addresses(spark, d)
+    return rows.select("k", "business_address", postal_code(F.col("business_address")).alias("postal_code"))
+
+
 _column_query("norm_country", ["country_normalized"])
 _column_query("enrich", DERIVED)
 
@@ -198,6 +209,12 @@ def positive_pairs(spark, d):
 _LABELLED = """lab AS (SELECT coalesce(p.source1_entity_id, t.source1_entity_id) AS source1_entity_id, coalesce(p.candidate_entity_id, t.target_entity_id) AS target_entity_id,
   CASE WHEN t.target_entity_id IS NULL THEN 0 ELSE 1 END::TINYINT AS label
   FROM p2 p FULL JOIN (SELECT * FROM truth_e WHERE target_entity_id LIKE 'S2%') t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.candidate_entity_id)"""
+
+
+def _labelled(pairs: str, prefix: str, out: str) -> str:
+    return _LABELLED.replace("lab AS", f"{out} AS").replace("FROM p2 p", f"FROM {pairs} p").replace("'S2%'", f"'{prefix}%'")
+
+
 _PAIRS2 = sql.pairs("s2", blocking.PASSES, "p2")
 
 
@@ -225,13 +242,33 @@ def sample_entities(spark, d):
     return training.sample_ids(testrecords.records(spark, d, "s1"), 100)
 
 
+@query(sql.over("""SELECT source, label, count(*) AS n_pairs, count(DISTINCT source1_entity_id) AS n_entities FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, source1_entity_id, label ORDER BY md5(concat_ws('|', source1_entity_id, target_entity_id, '42')), target_entity_id) AS n FROM labs) WHERE label = 1 OR n <= 2 GROUP BY source, label""", "s1", "s2", "s3", more=[*_BOTH, _labelled("p2", "S2", "lab2"), _labelled("p3", "S3", "lab3"), "labs AS (SELECT *, 'S2' AS source FROM lab2 UNION ALL SELECT *, 'S3' FROM lab3)"], truth=True))
+def training_composition(spark, d):
+    """Pairs by source and label, of both targets, with two negatives an entity."""
+    s1, s2, s3 = _records(spark, d, "s1", "s2", "s3")
+    return training.composition(training.training_pairs(s1, {"S2": s2, "S3": s3}, _truth(spark, d), 2))
+
+
+@query(sql.over(f"""SELECT source, label, count(*) AS n, round(avg(name_token_jaccard), 6) AS name_token_jaccard, sum(postal_code_match)::BIGINT AS postal_code_match, sum(is_address_missing)::BIGINT AS is_address_missing FROM (
+  SELECT l.source, l.label, {sql.jaccard('x.business_name_tokens', 'y.business_name_tokens')} AS name_token_jaccard, CASE WHEN x.postal_code = y.postal_code AND x.postal_code <> '' THEN 1 ELSE 0 END AS postal_code_match,
+    CASE WHEN x.business_address_normalized = '' OR y.business_address_normalized = '' THEN 1 ELSE 0 END AS is_address_missing
+  FROM labs l JOIN s1_e x ON x.entity_id = l.source1_entity_id JOIN (SELECT * FROM s2_e UNION ALL SELECT * FROM s3_e) y ON y.entity_id = l.target_entity_id) GROUP BY source, label""", "s1", "s2", "s3",
+  more=[*_BOTH, _labelled("p2", "S2", "lab2"), _labelled("p3", "S3", "lab3"), "labs AS (SELECT *, 'S2' AS source FROM lab2 UNION ALL SELECT *, 'S3' FROM lab3)"], truth=True))
+def training_features(spark, d):
+    """Features of all training pairs of both targets (all negatives), summed up by source and label."""
+    s1, s2, s3 = _records(spark, d, "s1", "s2", "s3")
+    targets = {"S2": s2, "S3": s3}
+    rows = training.training_features(training.training_pairs(s1, targets, _truth(spark, d), 1 << 30), s1, targets)
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("name_token_jaccard"), 6).alias("name_token_jaccard"), total("postal_code_match"), total("is_address_missing"))
+
+
 @query(sql.over("""SELECT entity_id FROM (SELECT entity_id, entity_id IN (SELECT target_entity_id FROM truth_e) AS needed, row_number() OVER (PARTITION BY entity_id IN (SELECT target_entity_id FROM truth_e) ORDER BY md5(concat_ws('|', entity_id, '42')), entity_id) AS n,
   count(*) FILTER (WHERE entity_id IN (SELECT target_entity_id FROM truth_e)) OVER () AS have FROM s2_e) WHERE needed OR n <= have / 10""", "s2", truth=True))
 def target_sample(spark, d):
     s2, truth = testrecords.records(spark, d, "s2"), _truth(spark, d)
-    needed = training.required_targets(truth, "S2")
-    have = needed.count()
-    return training.sample_targets(s2, needed, have + have // 10).select("entity_id")
+    return training.sample_targets(s2, training.required_targets(truth, "S2"), share=0.1).select("entity_id")
 
 
 # Thresholds, matches, evaluation ------------------------------------------------------------------
@@ -397,6 +434,55 @@ def validate_submission(spark, d):
     return validate.issues(faulty, s1, known=s2.unionByName(s3))
 
 
+# Files: written, read again and checked -----------------------------------------------------------
+
+@query(sql.over("SELECT entity_id, business_name, business_address, country FROM s2_e", "s2"))
+def tsv_records(spark, d):
+    """Records through a TSV sink and source."""
+    path = scratch_path(spark, "records")
+    tsv.write_tsv(testrecords.records(spark, d, "s2").select(*RECORD), path)
+    return tsv.read_records(spark, path)
+
+
+@query(sql.over("SELECT entity_id, business_name FROM s2_e WHERE entity_id IN (SELECT target_entity_id FROM truth_e) ORDER BY entity_id LIMIT 500", "s2", truth=True))
+def tsv_scan_ids(spark, d):
+    """The first 500 records of a TSV file whose ids stand in the id file of the true targets."""
+    records, ids = scratch_path(spark, "records"), scratch_path(spark, "ids")
+    s2 = testrecords.records(spark, d, "s2").select(*RECORD)
+    tsv.write_tsv(s2.unionByName(s2), records)
+    tsv.write_tsv(_truth(spark, d).select("target_entity_id", "source1_entity_id"), ids)
+    return tsv.head(tsv.with_ids(tsv.read_records(spark, records), tsv.read_id_set(spark, ids)), 500).select("entity_id", "business_name")
+
+
+_WRITTEN = "SELECT source1_entity_id, matched_entity_ids, k % 20 = 3 AS broken FROM ({truth}) f".format(truth="SELECT k, " + testrecords.TRUTH.strip().removeprefix("SELECT").strip())
+_READ = [f"written AS ({_WRITTEN})", "good AS (SELECT source1_entity_id, unnest(list_filter(string_split(matched_entity_ids, ','), lambda i: i <> '')) AS id FROM written WHERE NOT broken)"]
+
+
+@query(sql.over(" UNION ALL ".join([
+    _issue_sql("malformed row", "SELECT source1_entity_id || ' ' || matched_entity_ids AS e FROM written WHERE broken"),
+    _issue_sql("duplicate entity", "SELECT '' AS e FROM written WHERE false"),
+    _issue_sql("duplicate id in list", "SELECT '' AS e FROM written WHERE false"),
+    _issue_sql("match within source 1", "SELECT '' AS e FROM written WHERE false"),
+    _issue_sql("wrong prefix", "SELECT '' AS e FROM written WHERE false"),
+    _issue_sql("missing entity", "SELECT source1_entity_id AS e FROM written WHERE broken"),
+    _issue_sql("extra entity", "SELECT '' AS e FROM written WHERE false"),
+    _issue_sql("empty list", "SELECT source1_entity_id AS e FROM written WHERE matched_entity_ids = '' AND NOT broken"),
+    _issue_sql("match is no candidate", "SELECT source1_entity_id || '>' || id AS e FROM good WHERE id LIKE 'S3%'"),
+]), "s1", more=_READ))
+def validate_files(spark, d):
+    """A result file with rows that lack their tab, checked against a candidate file without source 3."""
+    results, offered = scratch_path(spark, "results"), scratch_path(spark, "offered")
+    rows = testrecords._run(spark, d, testrecords.with_base(_WRITTEN))
+    head = spark.createDataFrame([("source1_entity_id\tmatched_entity_ids",)], "value string")
+    lines = rows.select(F.concat("source1_entity_id", F.when(F.col("broken"), " ").otherwise("\t"), "matched_entity_ids").alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(results)
+    s1 = testrecords.records(spark, d, "s1").select("entity_id")
+    pairs = _truth(spark, d).filter(F.col("target_entity_id").startswith("S2"))
+    tsv.write_tsv(matching.lists(s1, pairs, "candidate_entity_ids"), offered)
+    candidates = tsv.read_tsv(spark, offered, ["source1_entity_id", "candidate_entity_ids"])
+    return validate.issues(validate.read_result(spark, results, validate.MATCHES), s1, candidates=candidates)
+
+
 # Models --------------------------------------------------------------------------------------------
 
 _SCORED = "scored AS (SELECT l.quality AS label, round(d.n_chars / (d.n_chars + 1500.0), 4) AS s FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
@@ -417,9 +503,22 @@ def average_precision(spark, d):
     return _rounded(model.average_precision(_scored(spark, d)))
 
 
+def _trained(spark, d):
+    s1, s2 = _records(spark, d, "s1", "s2")
+    return train_and_match(s1, {"S2": s2}, _truth2(spark, d), trees=20, rate=0.1, depth=5, min_rows=5)
+
+
 @query()
 def gbt_score(spark, d):
     """Trained from the records themselves; no engine gives the same trees, so rows only."""
-    s1, s2 = _records(spark, d, "s1", "s2")
-    scored, _, _ = train_and_match(s1, {"S2": s2}, _truth2(spark, d), trees=20)
-    return scored
+    return _trained(spark, d)[0]
+
+
+@query(sql.over("SELECT (SELECT count(*) FROM p2) AS n_scored, true AS auc_at_least_95, true AS f05_at_least_90", "s1", "s2", more=_PAIRS2))
+def gbt_quality(spark, d):
+    """What holds of any good trees: all candidates scored, the truth ranked first, the best threshold worth it."""
+    scored, best, _ = _trained(spark, d)
+    marked = scored.join(_truth2(spark, d).withColumn("label", F.lit(1)), ["source1_entity_id", "target_entity_id"], "left").na.fill(0, ["label"])
+    marked = written(marked.select("label", "prediction_probability"), "scored")
+    total = marked.agg(F.count(F.lit(1)).alias("n_scored"))
+    return total.join(F.broadcast(model.roc_auc(marked)), F.lit(True)).select("n_scored", (F.col("auc") >= 0.95).alias("auc_at_least_95"), F.lit(best["macro_f05"] >= 0.9).alias("f05_at_least_90"))

@@ -32,9 +32,7 @@ def name(normalized: str) -> str:
 def core(normalized: str) -> str:
     ordered = sorted(set(LEGAL_SUFFIXES), key=lambda s: (-len(s), s))
     ending = "(?:" + "|".join(f"(?: {s.replace('.', chr(92) + '.')})+" for s in ordered) + ")$"
-    e = normalized
-    for _ in range(8):
-        e = f"regexp_replace({e}, '{ending}', '')"
+    e = f"list_reduce(list_concat([{normalized}], string_split({normalized}, ' ')), lambda a, w: regexp_replace(a, '{ending}', ''))"
     return f"regexp_replace({e}, '^(?:{'|'.join(LEGAL_PREFIXES)}) (.)', '\\1')"
 
 

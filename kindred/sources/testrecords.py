@@ -16,7 +16,7 @@ BASE = """
          {words} AS words, {other} AS other,
          substr({letters}, 13, 7) AS street,
          cast(10000 + (c_custkey * 37) % 89999 as varchar(10)) AS zip,
-         CASE c_custkey % 5 WHEN 0 THEN ' LLC' WHEN 1 THEN ' Pvt. Ltd.' WHEN 2 THEN ' Inc' WHEN 3 THEN ' Corp' ELSE '' END AS form
+         CASE WHEN c_custkey % 50 = 6 THEN ' Ltd Inc Ltd Inc Ltd Inc Ltd Inc Ltd Inc Ltd Inc' ELSE CASE c_custkey % 5 WHEN 0 THEN ' LLC' WHEN 1 THEN ' Pvt. Ltd.' WHEN 2 THEN ' Inc' WHEN 3 THEN ' Corp' ELSE '' END END AS form
   FROM (SELECT *, c_custkey AS k FROM customer) c
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """.format(words=_WORDS.format(salt="a"), other=_WORDS.format(salt="z"), letters=_LETTERS.format(salt="s"))
@@ -49,6 +49,43 @@ TRUTH = """
 """
 
 
+#: Addresses of every shape of postal code, and of numbers that are none: (address, code), by k modulo their number.
+_SHAPES = [
+    ("concat(nation, ' ', zip, '-', substr(zip, 1, 4), ' ', street, ' Way')", "''"),
+    ("concat('Box Hall, ', nation, ', TX ', zip, '-', substr(zip, 1, 4))", "concat(zip, '-', substr(zip, 1, 4))"),
+    ("concat(street, ' near tower, pin code: ', six, ' ', nation)", "six"),
+    ("concat(street, ' zip ', zip, ', Road')", "zip"),
+    ("concat(street, ' zip ', zip, ' Road')", "''"),
+    ("concat(street, ' postal code ', substr(ca, 1, 3), ' ', substr(ca, 4, 3))", "upper(ca)"),
+    ("concat(nation, ', ON ', substr(ca, 1, 3), ' ', substr(ca, 4, 3))", "upper(ca)"),
+    ("concat(nation, ', ', ca, ' ', street, ' Avenue')", "''"),
+    ("concat(nation, ', EC1A ', substr(zip, 5, 1), 'BB')", "concat('EC1A ', substr(zip, 5, 1), 'BB')"),
+    ("concat(nation, ', ec1a ', substr(zip, 5, 1), 'bb')", "''"),
+    ("concat(street, ', ', nation, ' - ', six)", "six"),
+    ("concat(street, ' ', nation, ' ', six, ', India')", "six"),
+    ("concat(street, ' ', nation, ' ', six, ' ', street)", "''"),
+    ("concat('Plot ', six, ', ', nation)", "''"),
+    ("concat(street, ', ', nation, ', NY ', zip, ', USA')", "zip"),
+    ("concat(street, ', ', zip, ' ', nation)", "zip"),
+    ("concat(street, ', ', zip, ' Lane ', nation)", "''"),
+    ("concat(street, ', ', zip, ' old ', nation, ' mill lane')", "''"),
+    ("concat(street, ', 00', substr(zip, 1, 3), ' ', nation)", "''"),
+    ("concat(nation, zip)", "zip"),
+    ("concat(zip, ' ', nation)", "''"),
+    ("concat(nation, ', unit ', zip)", "''"),
+    ("concat('# ', zip)", "''"),
+]
+_SHAPED = "SELECT k, street, nation, zip, concat(zip, '7') AS six, concat('k', substr(zip, 1, 1), 'a', substr(zip, 2, 1), 'b', substr(zip, 3, 1)) AS ca FROM base"
+
+
+def _by_shape(at: int) -> str:
+    return f"CASE k % {len(_SHAPES)} " + " ".join(f"WHEN {i} THEN {s[at]}" for i, s in enumerate(_SHAPES)) + " END"
+
+
+SHAPED_ADDRESSES = f"SELECT k, {_by_shape(0)} AS business_address FROM ({_SHAPED})"
+SHAPED_CODES = f"SELECT k, {_by_shape(0)} AS business_address, {_by_shape(1)} AS postal_code FROM ({_SHAPED})"
+
+
 def with_base(sql: str, *more: str) -> str:
     """A statement over `base` and the named sources, complete for either engine."""
     parts = [f"base AS ({BASE})", *[f"{name} AS ({SOURCES[name]})" for name in more]]
@@ -66,5 +103,9 @@ def records(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     return _run(spark, sf_dir, with_base(SOURCES[source]))
 
 
+def shaped_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, with_base(SHAPED_ADDRESSES))
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, with_base(TRUTH))

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 from kindred.functions import text as fn
 from kindred.functions.constants import ADDRESS_NOISE, FEATURES, NAME_NOISE
 from kindred.operators import evaluate, matching, model, threshold, training, validate
-from kindred.operators.blocking import candidate_pairs
+from kindred.operators.blocking import address_word_counts, candidate_pairs
 from kindred.operators.features import pair_features
 from kindred.plans.linkage import match_by_rule, train_and_match
 from kindred.sources import testrecords, tsv
 
 SF = "/root/testdata/sf0.001"
 ROWS = [
-    ("S1-1", "Acme Industrial Solutions Inc.", "123 Main St, Springfield, IL 62701", "US"), ("S1-2", "Rajesh Enterprises Pvt Ltd", "45 M.G. Road, Bangalore - 560001", "India"),
-    ("S1-3", "Lumière Boulangerie SARL", "12 Rue de la Paix, 75002 Paris", "France"), ("S2-101", "Acme Industrial Solutions LLC", "123 Main Street, Springfield, IL 62701", "US"),
-    ("S2-102", "Rajesh Enterprises", "45 MG Road, Bengaluru 560001", "India"), ("S2-103", "Lumiere Boulangerie", "12 Rue de la Paix, Paris 75002", "France"),
-    ("S2-104", "Random Unrelated Company", "999 Other St, London", "UK"),
-]
+    ("S1-1", "Quartz Valley Bakers Ltd", "18 Orchard Ave, Salem, OR 97301", "US"),
+    ("S1-2", "Nandini Textiles Private Limited", "7 Temple Road, Mysore - 570004", "India"),
+    ("S1-3", "Café Étoile SAS", "3 Quai Nord, 69002 Lyon", "France"),
+    ("S2-101", "Quartz Valley Bakers", "18 Orchard Avenue, Salem, OR 97301", "US"),
+    ("S2-102", "Nandini Textiles", "7 Temple Rd, Mysuru 570004", "India"),
+    ("S2-103", "Cafe Etoile", "3 Quai Nord, Lyon 69002", "France"),
+    ("S2-104", "Blue Heron Shipping", "55 Dock Lane, Hull", "UK"),
+]
 COLUMNS = "entity_id string, business_name string, business_address string, country string"
 
 
@@ -75,6 +78,38 @@ def test_blocking_as_brute_force(spark, max_df):
     assert got == brute_pairs(s1.collect(), s2.collect(), max_df)
 
 
+def test_hot_keys_are_cut_and_lose_nothing(spark):
+    rows = lambda mark, n: spark.createDataFrame([(f"{mark}-{i}", f"common word{i % 9}", f"{i % 4} Long Meadow, X", "US") for i in range(n)], COLUMNS)
+    s1, s2 = rows("S1", 60), rows("S2", 90)
+    want = set(map(tuple, candidate_pairs(s1, s2).collect()))
+    assert len(want) == 60 * 90
+    assert set(map(tuple, candidate_pairs(s1, s2, hot=7).collect())) == want
+
+
+def test_parts_of_a_target_give_the_pairs_of_the_whole(spark):
+    s1, s2 = (fn.enrich(testrecords.records(spark, SF, s)) for s in ("s1", "s2"))
+    counts = address_word_counts(s2)
+    parts = [candidate_pairs(s1, s2.filter(F.expr(f"pmod(hash(entity_id), 3) = {i}")), max_df=5, address_counts=counts) for i in range(3)]
+    whole = candidate_pairs(s1, s2, max_df=5)
+    assert set(map(tuple, parts[0].union(parts[1]).union(parts[2]).collect())) == set(map(tuple, whole.collect()))
+
+
+def test_required_columns(spark):
+    df = spark.createDataFrame([("a", 1)], "source1_entity_id string, label int")
+    with pytest.raises(ValueError, match="name_jaro_winkler"):
+        model.train(df)
+    with pytest.raises(ValueError, match="training pairs: no column target_entity_id, source"):
+        training.training_features(df, df, {})
+
+
+def test_audit_files(spark, tmp_path):
+    s2 = fn.enrich(testrecords.records(spark, SF, "s2"))
+    evaluate.write_audit(s2, str(tmp_path / "a"), 50)
+    assert spark.read.json(str(tmp_path / "a/audit")).first().n_records == s2.count()
+    sample = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "a/sample"))
+    assert sample.count() == 50 and sample.columns == s2.columns
+
+
 def test_entity_scores(spark):
     truth = spark.createDataFrame([("S1-1", "S2-00047"), ("S1-1", "S3-00812"), ("S1-3", "S2-1"), ("S1-4", "S2-2")], "source1_entity_id string, target_entity_id string")
     said = spark.createDataFrame([("S1-1", "S2-00047"), ("S1-1", "S2-00193"), ("S1-1", "S3-00812"), ("S1-4", "S2-9"), ("S1-5", "S2-8")], "source1_entity_id string, target_entity_id string")
@@ -145,11 +180,13 @@ def test_training_sets(spark):
 def test_train_and_match_finds_the_truth(spark, tmp_path):
     s1, s2 = (testrecords.records(spark, SF, s) for s in ("s1", "s2"))
     truth = tsv.truth_pairs(testrecords.truth(spark, SF)).filter("target_entity_id like 'S2%'")
-    scored, best, fitted = train_and_match(s1, {"S2": s2}, truth, str(tmp_path / "model"), trees=10)
+    scored, best, fitted = train_and_match(s1, {"S2": s2}, truth, str(tmp_path / "model"), trees=10, rate=0.1, min_rows=5)
     assert best["macro_f05"] > 0.9
     said = matching.accepted(scored, best["threshold"])
     assert threshold.macro(threshold.entity_f05(said, truth, s1.select("entity_id"))).first().macro_f05 > 0.85
     assert len(model.importances(fitted)) == 12
+    about = model.load_metadata(str(tmp_path / "model"))
+    assert about["features"] == FEATURES and about["metrics"] == best and about["parameters"]["min_rows"] == 5
     again = model.load(str(tmp_path / "model"))
     features = pair_features(candidate_pairs(s1, s2), s1, s2)
     assert model.score(again, features).count() == features.count()
@@ -177,7 +214,7 @@ def test_recall_and_profiles(spark, fixture):
     truth = spark.createDataFrame([("S1-1", "S2-101"), ("S1-2", "S2-104")], "source1_entity_id string, target_entity_id string")
     row = evaluate.blocking_recall(candidate_pairs(s1, s2), truth, s1).first()
     assert (row.n_truth, row.n_found, row.recall, row.n_candidates, row.candidates_per_entity) == (2, 1, 0.5, 3, 1.0)
-    assert [r.target_name for r in evaluate.missed_report(candidate_pairs(s1, s2), truth, s1, s2).collect()] == ["Random Unrelated Company"]
+    assert [r.target_name for r in evaluate.missed_report(candidate_pairs(s1, s2), truth, s1, s2).collect()] == ["Blue Heron Shipping"]
 
 
 def test_stream(spark, tmp_path):
