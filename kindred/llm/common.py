@@ -42,7 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing that is still to be computed reads it."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,3 +75,26 @@ def fresh_name(df: DataFrame, name: str) -> str:
 def identity(*columns: str) -> Column:
     """32 bytes that tell rows apart by columns; a null is a value of its own, as JSON writes it."""
     return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}), 256))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with groups, a table with one row a key and how many rows have it (size; total in all).
+
+    Keys with over a ten-thousandth of all rows (1,000 at least) are no more than 10,000 keys, as their sizes add up
+    to total at most; that part of groups is broadcast, so that a hot key's rows stay where they are.
+    """
+    limit = max(1000, total // 10_000)
+    hot = groups.filter(F.col(size) > limit)
+    if not hot.limit(1).count():
+        return rows.join(groups, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= limit), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def numbered(df: DataFrame, first: Column, count: str, out: str, step: int = 4096) -> DataFrame:
+    """df with a row for each of count numbers from first on, made in ranges so that no array holds them all."""
+    span = fresh_name(df, "_span")
+    start = fresh_name(df, "_start")
+    ranges = df.withColumn(start, first).withColumn(span, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / step))))
+    low = F.col(start) + F.col(span) * step
+    return ranges.withColumn(out, F.explode(F.sequence(low, F.least(low + step - 1, F.col(start) + F.col(count) - 1)))).drop(span, start)
