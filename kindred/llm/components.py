@@ -1,31 +1,37 @@
 """Connected components of a link table: alternating large-star and small-star rounds.
 
-Nodes are longs. Each round replaces a node's links by links to the least node it sees, through
-partial aggregates and equi-joins only; a hub with very many links is one aggregate row, and the
-join it takes part in can be split by the skew-join rule, as both sides are plain shuffles. Every
-round is a checkpoint in the shared folder, so a lost executor costs a re-read, not the history.
+Nodes are values of one type that can be ordered, such as longs. Each round replaces a node's links by links
+to the least node it sees, through partial aggregates and equi-joins only; the links of a hub are not shuffled
+for the join with its aggregate row (join_groups). Every round is a table in the shared folder, so a lost
+executor costs a re-read, not the history; the round before is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialize
+from kindred.llm.common import discard, join_groups, materialize
+
+
+def _larger(both: DataFrame, rows: DataFrame, own: Column) -> DataFrame:
+    """rows (a, b) with the least node m that a sees."""
+    total = both.count()
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", own.alias("m"), "n"), "least")
+    return join_groups(rows, least, "a", "n", total)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    larger = both.filter("b > a")
-    return larger.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    met = _larger(both, both.filter("b > a"), F.least("a", "m"))
+    return met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    met = _larger(down, down, F.col("m"))
+    moved = met.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(met.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -33,11 +39,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
 
     Links may repeat, run either way or join a node to itself; rows with a null end are no links.
     """
-    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
-    now = materialize(now, name)
+    now = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), name)
     mark = None
     while True:
-        now = materialize(_small_star(_large_star(now)), name)
+        large = materialize(_large_star(now), name)
+        after = materialize(_small_star(large), name)
+        discard(now)
+        discard(large)
+        now = after
         # Stars are the fixed point: the same rows after a round means every root is reached.
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

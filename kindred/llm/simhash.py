@@ -3,7 +3,8 @@
 1. Fingerprints. A text's ASCII letters are lower-cased, its words are the runs of other code points
    than space and tab..carriage return, and its shingles are `width` words joined by spaces, repeats
    included (fewer words: the whole sequence; none: fingerprint zero). A bit is 1 if it is set in over
-   half of the shingles' XXH64 values. Texts are hashed one row at a time in Arrow batches.
+   half of the shingles' XXH64 values. Texts are hashed one row at a time in Arrow batches, some shingles
+   at a time; a text's words are held at once.
 2. Distinct fingerprints. Copies collapse to one row, which knows its smallest key, before anything
    is linked, so a group of equal texts costs one row however large it is.
 3. Candidate groups. 64 bits are cut into m blocks; two fingerprints within `radius` bits agree on
@@ -15,8 +16,9 @@
    bits both have fixed, and a child pair adds only the bits its parents had not fixed to the
    differences counted so far. Beyond `radius` the whole pair of groups is pruned; if the bits that are
    still free cannot bring it beyond `radius`, all below are linked at once; and a pair whose members are
-   linked already is skipped, so a dense group costs a chain of links and not its pairs. At most the ball
-   of `radius` around a fingerprint (680,000 for 4 bits) can be one dense group.
+   linked already is skipped, so a dense group costs a chain of links and not its pairs. A task holds about
+   ROWS_AT_ONCE rows, or one group. Distinct fingerprints share a block value by chance only, or within a
+   dense group, and m grows with their number: a group has some hundred of them on average, 24 bytes each.
 5. Components of the links, by star rounds over the shared folder; the class is named by its smallest key.
 
 Nulls: a null text has fingerprint zero. Rows with a null key are linked like others; a component is
@@ -36,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import fresh_name, materialize
+from kindred.llm.common import identity, join_groups, materialize
 from kindred.llm.components import components
 
 SEED = 42
 LEAF = FAN = 16
 PAIRS_AT_ONCE = 1 << 19
+SLICE = 1 << 16
+ROWS_AT_ONCE = 1 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -50,16 +54,19 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     words = text.translate(_LOWER).split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes).tolist()
-    ends = ends.tolist()[min(width, len(words)) - 1 :]
+    size, ones, total = min(width, len(words)), np.zeros(64, np.int64), 0
     digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)])  # noqa: B905  starts is longer
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+    for at in range(0, len(words) - size + 1, SLICE):  # a slice of shingles at a time
+        part = words[at : at + SLICE + size - 1]
+        joined = b" ".join(part)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        ends = np.cumsum(sizes + 1) - 1
+        starts = (ends - sizes).tolist()
+        raw = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends.tolist()[size - 1 :])])  # noqa: B905  starts is longer
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(0, dtype=np.int64)
+        total += len(bits)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: int = 4) -> DataFrame:
@@ -210,19 +217,35 @@ def links(distinct: DataFrame, radius: int, count: int) -> DataFrame:
     rows = distinct.select("fp", tables.alias("g")).select("g.t", "g.bits", "fp")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
+    def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         t, bits, fp = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(3))
-        _, group = np.unique(np.stack([t.astype(np.int64), bits], 1), axis=0, return_inverse=True)
-        order, label = link_groups(group.ravel(), fp.view(np.uint64), radius)
+        group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (bits[1:] != bits[:-1])]))
+        order, label = link_groups(group, fp.view(np.uint64), radius)
         fp = fp[order]
         moved = label != np.arange(len(label))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[label[moved]])], schema=schema)
 
-    return rows.repartition("t", "bits").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by group. Whole groups are linked once enough rows are held; only a group is held as a whole.
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size > ROWS_AT_ONCE:
+                t, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                edges = np.flatnonzero((t[1:] != t[:-1]) | (bits[1:] != bits[:-1])) + 1
+                if len(edges):
+                    cut = int(edges[-1])
+                    yield linked([*held[:-1], batch.slice(0, cut)])
+                    held, size = [batch.slice(cut)], batch.num_rows - cut
+        if held:
+            yield linked(held)
+
+    return rows.repartition("t", "bits").sortWithinPartitions("t", "bits").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def classes(prints: DataFrame, radius: int, best) -> DataFrame:
@@ -231,10 +254,12 @@ def classes(prints: DataFrame, radius: int, best) -> DataFrame:
     best is a column of prints, and the least of it stands for a component.
     """
     distinct = materialize(prints.groupBy("fp").agg(F.min(best).alias("own"), F.count(F.lit(1)).alias("copies")), "distinct")
-    roots = components(links(distinct, radius, distinct.count()), name="simhash")
+    count = distinct.count()
+    roots = components(links(distinct, radius, count), name="simhash")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", "own", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("own").alias("best")).withColumnRenamed("root", "_root")
-    return rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "copies", "best")
+    rooted = materialize(rooted, "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("size")), "classes")
+    return join_groups(rooted, least, "root", "size", count).select(F.col("fp").alias("_fp"), "copies", "best")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -242,20 +267,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
     prints = materialize(fingerprints(rows, [key], text, width), "fingerprints")
     found = classes(prints, radius, F.col(key))
-    return prints.join(found, F.col("fp") == F.col("_fp")).select(
+    found = materialize(found, "found")
+    return join_groups(prints, found.withColumnRenamed("_fp", "fp"), "fp", "copies", prints.count()).select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"), "copies"
     )
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of docs, all columns, of each component: that with the least key (null keys last)."""
-    who = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    rows = docs.select(F.col(key).cast("long").alias("key"), who.alias("who"), F.col(text).alias("text"))
+    """One row of docs, all columns, of each component: that with the least key (null keys last).
+
+    Of rows equal in key and text that with the least identity of all columns stays. Columns may have any names.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), identity(key, text).alias("who"), F.col(text).alias("text"))
     prints = materialize(fingerprints(rows, ["key", "who"], "text", width), "fingerprints")
     best = F.struct(F.col("key").isNull().alias("none"), "key", "who")
-    kept = classes(prints, radius, best).select(F.col("best.who").alias("_kept")).distinct()
-    own, place = fresh_name(docs, "_who"), fresh_name(docs, "_place")
-    rows = docs.withColumn(own, who).join(kept, F.col(own) == F.col("_kept"), "left_semi")
-    # Rows equal in key and text are one document.
-    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(own).orderBy(own)))
-    return rows.filter(F.col(place) == 1).select(*docs.columns)
+    kept = classes(prints, radius, best).select(F.col("best.who").alias("who")).distinct()
+    rows = docs.select(identity(key, text).alias("who"), identity(*docs.columns).alias("own"), F.struct("*").alias("row"))
+    rows = rows.join(kept, "who", "left_semi")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("who").orderBy("own")))
+    return rows.filter("place = 1").select("row.*")
