@@ -3,6 +3,13 @@
 run(spark, sf_dir) gives what the last stage gives: a row for each document of the mix, in the token
 files' order of doc_id. The stages hold fitted models and hashes that SQL has no words for, so there is
 no oracle; tests hold them against brute force.
+
+Every stage but the last returns whole rows of its input, with all their columns, whatever their names. Nulls:
+a null text is an empty one for the classifier, has fingerprint zero, holds no benchmark passage, has size 0 and
+the end id alone as its ids; rows with a null doc_id are rows like others, a null source is a source of its own.
+Repeated rows share the classifier's and the decontamination's decision, the near-dedup keeps one of them. Ties
+go to the least doc_id, then to the least hash. Of a very long text each stage works on some part at a time, save
+its list of words. An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from kindred.llm import quality, tokens
-from kindred.llm.common import load, materialize, scratch_path
+from kindred.llm.common import fresh_name, load, materialize, scratch_path
 from kindred.llm.decontaminate import clean_documents
 from kindred.llm.mixing import mixed
 from kindred.llm.simhash import deduplicate
@@ -36,7 +43,7 @@ def benchmark_decontamination(spark, docs, sf_dir):
 
 def source_mixing(spark, docs, sf_dir):
     """Documents as often as the mix of sources takes them."""
-    return mixed(docs).select(*docs.columns)
+    return mixed(docs, shard=fresh_name(docs, "shard"), place=fresh_name(docs, "place")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def token_ids(spark, docs, sf_dir):

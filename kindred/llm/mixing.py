@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import fresh_name, materialize
+from kindred.llm.common import identity, materialize, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 PASSES = 5
@@ -69,21 +69,21 @@ def _split(tickets: DataFrame, levels: int, seed: int) -> DataFrame:
     return out
 
 
-def decide(rows: DataFrame, identity: list[str], shards: int = 16, most: float = 3.0, seed: int = 0) -> DataFrame:
-    """identity, source, size, source_size, target and draws, the shards that take the row (repeats: taken more than once).
+def decide(rows: DataFrame, names: list[str], shards: int = 16, most: float = 3.0, seed: int = 0) -> DataFrame:
+    """names, source, size, source_size, target and draws, the shards that take the row (repeats: taken more than once).
 
-    rows has the identity columns, source and size, a row for each document; equal rows get draws each.
+    rows has the columns that tell rows apart, source and size, a row for each document; equal rows get draws each.
     """
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    counted = materialize(rows.groupBy(*identity, "source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    counted = materialize(rows.groupBy(*names, "source", "size").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     sources = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"), F.sum("_n").alias("rows"))
     plan = materialize(targets(sources, most), "targets").withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(int(most)), F.floor(F.col("target") / F.col("source_size") + 1e-9))).otherwise(0).cast("int"))
     plan = plan.withColumn("part", F.when(F.col("passes") < most, F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))).otherwise(0.0))
-    single = counted.select(*identity, "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i")).alias("r")
+    single = numbered(counted, F.lit(1).cast("long"), "_n", "_i").select(*names, "source", "size", "_i")
     named = plan.withColumnRenamed("source", "_source")
     single = single.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    single = single.withColumn("draw", F.xxhash64(F.lit(seed), *identity, "_i")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("blocks")))
+    single = single.withColumn("draw", F.xxhash64(F.lit(seed), *names, "_i")).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("blocks")))
 
     sums = single.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("part").alias("part"))
     order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,24 +93,24 @@ def decide(rows: DataFrame, identity: list[str], shards: int = 16, most: float =
 
     # The one block of each source that fits in part: documents in hashed order, then what still fits.
     edge = sums.filter("edge").select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("left").alias("room"), F.col("words"))
-    tried = single.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).select(*identity, "source", "size", "_i", "draw", "room", "words")
+    tried = single.join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).select(*names, "source", "size", "_i", "draw", "room", "words")
     # If more than half of the block goes in, what stays out is chosen: there is then more left to choose from.
     tried = tried.withColumn("turned", F.col("room") * 2 > F.col("words"))
     tried = tried.withColumns({"room": F.when(F.col("turned"), F.col("words") - F.col("room")).otherwise(F.col("room")), "picked": F.lit(False)})
     for turn in range(PASSES):
         fits = ~F.col("picked") & (F.col("size") <= F.col("room"))
         first = [F.xxhash64(F.lit(turn), "draw")] if turn == 0 else [F.desc("size")]
-        by_turn = Window.partitionBy("source").orderBy(*first, "draw", *identity, "_i").rowsBetween(Window.unboundedPreceding, 0)
+        by_turn = Window.partitionBy("source").orderBy(*first, "draw", *names, "_i").rowsBetween(Window.unboundedPreceding, 0)
         tried = tried.withColumn("_sum", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(by_turn))
         tried = tried.withColumn("_new", fits & (F.col("_sum") <= F.col("room")))
         used = F.sum(F.when(F.col("_new"), F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
         tried = tried.withColumn("room", F.col("room") - used).withColumn("picked", F.col("picked") | F.col("_new"))
     # Last, the document that comes nearest to the words still missing, if that is nearer than none.
-    nearest = Window.partitionBy("source").orderBy("picked", F.abs(F.col("size") - F.col("room")), "draw", *identity, "_i")
+    nearest = Window.partitionBy("source").orderBy("picked", F.abs(F.col("size") - F.col("room")), "draw", *names, "_i")
     tried = tried.withColumn("_near", F.row_number().over(nearest))
     tried = tried.withColumn("picked", F.col("picked") | ((F.col("_near") == 1) & (F.col("size") < F.col("room") * 2)))
     tried = tried.withColumn("in", F.col("picked") != F.col("turned"))
-    chosen = tried.filter("in").select(*[F.col(c).alias("_" + c) for c in identity], F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_i").alias("_j"), F.lit(True).alias("in"))
+    chosen = tried.filter("in").select(*[F.col(c).alias("_" + c) for c in names], F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("_i").alias("_j"), F.lit(True).alias("in"))
 
     last = F.when(F.col("whole") | F.col("edge"), F.array(F.col("passes") + 1)).otherwise(F.array().cast("array<int>"))
     numbers = F.concat(F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(F.array().cast("array<int>")), last)
@@ -122,12 +122,12 @@ def decide(rows: DataFrame, identity: list[str], shards: int = 16, most: float =
     ).select(F.col("source").alias("_source"), F.col("block").alias("_block"), "sure", "maybe")
     out = single.join(given, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_i") == F.col("_j"))
-    for c in identity:
+    for c in names:
         same = same & F.col(c).eqNullSafe(F.col("_" + c))
     out = out.join(chosen, same, "left")
     none = F.array().cast("array<int>")
     draws = F.concat(F.coalesce("sure", none), F.when(F.col("in"), F.array("maybe")).otherwise(none))
-    return out.select(*identity, "source", "size", "source_size", "target", draws.alias("draws"))
+    return out.select(*names, "source", "size", "source_size", "target", draws.alias("draws"))
 
 
 def mix_report(docs: DataFrame, shards: int = 16, most: float = 3.0, seed: int = 0) -> DataFrame:
@@ -138,16 +138,21 @@ def mix_report(docs: DataFrame, shards: int = 16, most: float = 3.0, seed: int =
 
 
 def mixed(docs: DataFrame, shards: int = 16, most: float = 3.0, seed: int = 0, shard: str = "shard", place: str = "place") -> DataFrame:
-    """The mix: rows of docs, as often as they are drawn, with their shard and hashed place in it."""
-    own = fresh_name(docs, "_row")
-    keyed = docs.withColumn(own, F.xxhash64(*docs.columns))
-    rows = keyed.select(F.col(own).alias("row"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
-    plan = decide(rows, ["row"], shards, most, seed).select("row", F.explode("draws").alias("s"))
+    """The mix: rows of docs, as often as they are drawn, with their shard and hashed place in it.
+
+    The columns of docs may have any names but those of the two new ones, or ValueError is raised.
+    """
+    taken = {c.lower() for c in docs.columns} & {shard.lower(), place.lower()}
+    if taken:
+        raise ValueError(f"column {', '.join(sorted(taken))} exists already")
+    # Rows are told apart by all their columns, nulls included, and travel as one column.
+    own = identity(*docs.columns)
+    rows = docs.select(own.alias("own"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    plan = decide(rows, ["own"], shards, most, seed).select("own", F.explode("draws").alias("s"))
     # Repeated rows are one row with the sum of their draws; at most `shards` entries each.
-    plan = plan.groupBy("row", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("taken"))
-    first = F.row_number().over(Window.partitionBy(own).orderBy(own)) == 1
-    number = fresh_name(docs, "_first")
-    kept = keyed.withColumn(number, first).filter(number).join(plan, F.col(own) == F.col("row"))
-    drawn = kept.select(*[F.col(c) for c in docs.columns], F.col(own), F.explode("taken").alias("_taken"))
-    drawn = drawn.select(*docs.columns, own, F.col("_taken.s").alias(shard), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_taken.n"))).alias("_copy"))
-    return drawn.select(*docs.columns, shard, F.xxhash64(F.lit(seed), shard, own, "_copy").alias(place))
+    plan = plan.groupBy("own", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("own").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("taken"))
+    keyed = docs.select(own.alias("own"), F.struct("*").alias("row"))
+    kept = keyed.join(plan, "own").withColumn("first", F.row_number().over(Window.partitionBy("own").orderBy("own"))).filter("first = 1")
+    drawn = kept.select("row", "own", F.explode("taken").alias("t")).select("row", "own", F.col("t.s").alias("s"), F.col("t.n").alias("n"))
+    drawn = numbered(drawn, F.lit(1).cast("long"), "n", "copy")
+    return drawn.select("row.*", F.col("s").alias(shard), F.xxhash64(F.lit(seed), "s", "own", "copy").alias(place))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kindred.llm.common import numbered
+
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     """Index of the shard that wins key; ties go to the lower index."""
@@ -44,7 +46,7 @@ def number_slots(df: DataFrame, shard: str, columns: Sequence[str], out: str = "
     """Rows of df (columns and shard only) with gapless places from 0 within each shard.
 
     Equal rows are counted before any shuffle and numbered as one run, so a group of copies of any
-    size is one row until it is written. The rest is numbered in hashed cells of each shard: the cells'
+    size is one row until it is written, and then made in ranges of 4,096. The rest is numbered in hashed cells of each shard: the cells'
     totals (shards x cells rows at most) give each cell's first place, and only a cell is sorted as a whole.
     """
     columns = list(columns)
@@ -58,10 +60,7 @@ def number_slots(df: DataFrame, shard: str, columns: Sequence[str], out: str = "
     within = Window.partitionBy(shard, "_cell").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     placed = runs.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
     joined = placed.join(F.broadcast(firsts), (F.col(shard) == F.col("_shard")) & (F.col("_cell") == F.col("_of")))
-    start = F.col("_first") + F.col("_at")
-    return joined.select(
-        shard, *columns, F.explode(F.sequence(start, start + F.col("_n") - 1)).alias(out)
-    )
+    return numbered(joined, F.col("_first") + F.col("_at"), "_n", out).select(shard, *columns, out)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:

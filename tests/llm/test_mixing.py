@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kindred.llm import mixing
 
@@ -81,3 +82,50 @@ def test_mix_has_the_rows_of_the_plan(spark):
     assert len({(r.shard, r.place) for r in out}) == len(out)
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mix_report(df.limit(0)).count() == 0
+
+
+def test_rows_that_differ_in_nulls_alone_stay_apart(spark):
+    rows = [(i, "w " * 5, *pair) for i in range(40) for pair in (("en", None), (None, "en"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = [tuple(r)[:4] for r in mixing.mixed(df, most=1.0).collect()]
+    assert Counter(out) == Counter(rows)
+
+
+def test_clashing_names(spark):
+    names = ["row", "taken", "_copy", "own", "draw", "_n", "_i", "block", "part", "passes", "size", "target", "s", "n"]
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], *range(len(names))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "shard", "place"] and set(tuple(r)[:-2] for r in out.collect()) <= set(rows)
+    assert mixing.mix_report(df).count() == 60
+    with pytest.raises(ValueError):
+        mixing.mixed(out)
+
+
+def test_many_copies_are_numbered_in_ranges(spark):
+    df = spark.createDataFrame([("a", 9000), ("b", 1), ("c", 4096), ("d", 4097)], "k string, n long")
+    got = mixing.numbered(df, F.lit(5).cast("long"), "n", "at").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.k, []).append(r["at"])
+    assert {k: sorted(v) for k, v in by.items()} == {k: list(range(5, 5 + n)) for k, n in (("a", 9000), ("b", 1), ("c", 4096), ("d", 4097))}
+
+
+def test_draws_as_brute_force(spark):
+    """Whole passes and blocks: what each document is drawn, from the plan's own hashes."""
+    rows = [(i, "w " * (1 + i * 7 % 13), "abc"[i % 3] if i % 11 else "d") for i in range(900)]
+    got = {r.doc_id: r for r in mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for s in sizes:
+        own = [(got[i], len(t.split())) for i, t, x in rows if x == s]
+        passes = min(3, int(want[s] // sizes[s] + 1e-9))
+        draws = [len(r.draws) for r, _ in own]
+        assert set(draws) <= {passes, passes + 1} and max(draws) <= 3  # whole passes take all, the part pass some
+        extra = sum(n for (r, n), d in zip(own, draws, strict=True) if d > passes)
+        assert abs(extra - (want[s] - passes * sizes[s])) <= max(n for _, n in own) / 2 + 1
+    # The tree deals every pass over the shards as evenly as a draw without replacement.
+    per = Counter(x for r in got.values() for x in r.draws)
+    assert set(per) <= set(range(16)) and sum(per.values()) == sum(len(r.draws) for r in got.values())

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -31,3 +32,13 @@ def test_weights(spark):
     assert abs(n[1] / 20000 - 0.25) < 0.02 and abs(n[2] / 20000 - 0.625) < 0.02
     both = sharding.assign_shards(sharding.assign_shards(keys, "key", [1.0, 2.0, 5.0]), "key", [1.0, 2.0, 5.0, 3.0], out="grown")
     assert both.filter((F.col("shard") != F.col("grown")) & (F.col("grown") != 3)).count() == 0
+
+
+def test_draws_as_brute_force(spark):
+    """Each record's shard is that with the least -ln(u) / weight, recomputed from the hash alone."""
+    weights = [1.0, 2.5, 0.5, 4.0]
+    df = spark.range(300).select(F.when(F.col("id") % 50 == 7, None).otherwise(F.col("id")).alias("key"))
+    hashes = [F.xxhash64(F.lit(9), F.lit(k), "key").alias(f"h{k}") for k in range(len(weights))]
+    for r in sharding.assign_shards(df, "key", weights, seed=9).select("key", "shard", *hashes).collect():
+        u = [(((r[f"h{k}"] & (2**64 - 1)) >> 11) + 0.5) / 2**53 for k in range(len(weights))]
+        assert r.shard == min(range(len(weights)), key=lambda k: -math.log(u[k]) / weights[k])
