@@ -1,7 +1,7 @@
 """Chat formatting: conversations that are snapshots of longer ones collapse, the rest are rendered.
 
-Turns of a conversation are ordered by turn. A rolling hash of the turns so far (role and text, as two
-61-bit polynomials in the turn's rank) stands for each prefix, so a conversation is a snapshot if the hash
+Turns of a conversation are ordered by turn. A rolling hash of the turns so far (two sums modulo 2^61 - 1
+of hashes of each turn's role, text and rank) stands for each prefix, so a conversation is a snapshot if the hash
 of all its turns is the hash of a proper prefix of another. Full hashes are matched with the distinct
 prefix hashes by a left anti-join; of equal conversations the least conv_id stays.
 

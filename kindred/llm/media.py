@@ -2,8 +2,8 @@
 
 Each stream is decoded from its stored bytes alone (Rice residuals, constant, verbatim, fixed and
 linear predictors), header and frame checksums and the MD5 of the samples are verified, and PCM is
-handed out in blocks that carry the place of their first sample, so a reader can seek to any sample
-with one comparison on (stream, first_sample).
+handed out in blocks that carry the place of their first sample (`pcm_blocks`), and can be written so
+(`write_blocks`): a reader finds any sample with one comparison on (stream, first_sample) (`read_samples`).
 
 Rows are independent: there is no shuffle and no group. Work goes in slices of a few MB whatever the
 batch is; one row is held whole. Null or empty text makes a stream of padding; a null stream gives no
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import flac
@@ -90,6 +90,22 @@ def pcm_blocks(streams: DataFrame, key: str, media: str = "media", samples: int
     return rows.mapInArrow(run, kinds).withColumnRenamed("key", key)
 
 
+def write_blocks(streams: DataFrame, key: str, path: str, media: str = "media", samples: int = BLOCK_SAMPLES) -> None:
+    """The PCM blocks of all streams as Parquet at path."""
+    pcm_blocks(streams, key, media, samples).write.parquet(path)
+
+
+def read_samples(spark: SparkSession, path: str, key: str, stream: int, first: int, count: int) -> bytes:
+    """PCM of samples first .. first + count of one written stream; only the blocks that hold them are read."""
+    blocks = spark.read.parquet(path).filter((F.col(key) == stream) & (F.col("first_sample") < first + count) & (F.col("first_sample") + F.col("n_samples") > first))
+    out = b""
+    for row in blocks.orderBy("first_sample").toLocalIterator():  # a block at a time
+        width = len(row.pcm) // row.n_samples
+        a, z = max(0, first - row.first_sample), first + count - row.first_sample
+        out += bytes(row.pcm[a * width : z * width])
+    return out
+
+
 def feature(pcm: bytes) -> str:
     """Mean, root mean square, peak and zero crossings of 8-bit samples."""
     x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int32) - 128

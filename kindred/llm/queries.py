@@ -29,6 +29,7 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 def op5_flac_media(spark, sf_dir):
+    # All that follows comes from the stored form's bytes, the binary column; see README.md for writing it as a table.
     return media.digest(media.encode_text(load(spark, sf_dir, "documents")))
 
 

@@ -122,3 +122,15 @@ def test_operator(spark):
     assert b"".join(b.pcm for b in blocks) == media.pad(texts[5].encode())
     assert [b.first_sample for b in blocks] == [i * 50_000 for i in range(len(blocks))] and len(blocks) > 3
     assert media.digest(media.encode_text(df.limit(0))).count() == 0
+
+
+def test_written_blocks_can_be_sought(spark, tmp_path):
+    texts = ["".join(random.Random(k).choices("some words é ", k=n)) for k, n in enumerate((0, 10, 5000))]
+    streams = media.encode_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    path = str(tmp_path / "blocks")
+    media.write_blocks(streams, "doc_id", path, samples=300)
+    for k, text in enumerate(texts):
+        whole = media.pad(text.encode())
+        assert media.read_samples(spark, path, "doc_id", k, 0, len(whole)) == whole
+        for first, count in ((0, 1), (150, 7), (299, 2), (len(whole) - 3, 3), (250, 1000)):
+            assert media.read_samples(spark, path, "doc_id", k, first, count) == whole[first : first + count]
