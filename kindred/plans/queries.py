@@ -40,6 +40,12 @@ def _records(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [fn.enrich(testrecords.records(spark, d, n)) for n in names]
 
 
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """Source 1, the targets by name, and the targets as one table; all enriched."""
+    s1, s2, s3 = _records(spark, d, "s1", "s2", "s3")
+    return s1, {"S2": s2, "S3": s3}, s2.unionByName(s3)
+
+
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     return truth_pairs(testrecords.truth(spark, d))
 
@@ -104,13 +110,16 @@ def strip_domain(spark, d):
 
 # Blocking -----------------------------------------------------------------------------------------
 
+_ALL = "SELECT *, 'S2' AS target_source FROM p2 UNION ALL SELECT *, 'S3' FROM p3"
+
+
 def _block_query(name: str, passes: tuple[str, ...]) -> None:
     def run(spark, d):
-        s1, s2 = _records(spark, d, "s1", "s2")
-        return blocking.candidate_pairs(s1, s2, passes)
+        s1, targets, _ = _both(spark, d)
+        return blocking.all_candidates(s1, targets, passes=passes)
 
     run.__name__ = name
-    query(sql.over("SELECT * FROM p", "s1", "s2", more=sql.pairs("s2", passes, "p")))(run)
+    query(sql.over(_ALL, "s1", "s2", "s3", more=[*sql.pairs("s2", passes, "p2"), *sql.pairs("s3", passes, "p3")]))(run)
 
 
 _block_query("block_token_concat", ("token",))
@@ -120,7 +129,9 @@ _block_query("block_number", ("number",))
 _block_query("block_rare_addr", ("address",))
 
 _BOTH = [*sql.pairs("s2", blocking.PASSES, "p2"), *sql.pairs("s3", blocking.PASSES, "p3")]
-_ALL = "SELECT *, 'S2' AS target_source FROM p2 UNION ALL SELECT *, 'S3' FROM p3"
+_TARGETS = "t_e AS (SELECT * FROM s2_e UNION ALL SELECT * FROM s3_e)"
+_PAIRS = [*_BOTH, "pa AS (SELECT * FROM p2 UNION ALL SELECT * FROM p3)", _TARGETS]
+_SOURCES = ("s1", "s2", "s3")
 
 
 @query(sql.over(_ALL, "s1", "s2", "s3", more=_BOTH))
@@ -129,21 +140,21 @@ def block_all(spark, d):
     return blocking.all_candidates(s1, {"S2": s2, "S3": s3})
 
 
-# Similarities and features: over all true pairs with S3, whose names have their words in another order ------
+# Similarities and features: over all true pairs; in S3 names have their words in another order ------
 
-_TRUE3 = "SELECT t.source1_entity_id, t.target_entity_id, x.business_name_normalized AS a, y.business_name_normalized AS b, x.business_name_core AS ac, y.business_name_core AS bc, x.business_name_tokens AS ta, y.business_name_tokens AS tb FROM truth_e t JOIN s1_e x ON x.entity_id = t.source1_entity_id JOIN s3_e y ON y.entity_id = t.target_entity_id"
+_TRUE = "SELECT t.source1_entity_id, t.target_entity_id, x.business_name_normalized AS a, y.business_name_normalized AS b, x.business_name_core AS ac, y.business_name_core AS bc, x.business_name_tokens AS ta, y.business_name_tokens AS tb FROM truth_e t JOIN s1_e x ON x.entity_id = t.source1_entity_id JOIN t_e y ON y.entity_id = t.target_entity_id"
 
 
 def _sim_query(name: str, expression: str, column) -> None:
     def run(spark, d):
-        s1, s3 = _records(spark, d, "s1", "s3")
+        s1, _, targets = _both(spark, d)
         left = s1.select(F.col("entity_id").alias("source1_entity_id"), *[F.col(f"business_name_{c}").alias(n) for c, n in (("normalized", "a"), ("core", "ac"), ("tokens", "ta"))])
-        right = s3.select(F.col("entity_id").alias("target_entity_id"), *[F.col(f"business_name_{c}").alias(n) for c, n in (("normalized", "b"), ("core", "bc"), ("tokens", "tb"))])
+        right = targets.select(F.col("entity_id").alias("target_entity_id"), *[F.col(f"business_name_{c}").alias(n) for c, n in (("normalized", "b"), ("core", "bc"), ("tokens", "tb"))])
         pairs = _truth(spark, d).join(left, "source1_entity_id").join(right, "target_entity_id")
         return pairs.select("source1_entity_id", "target_entity_id", F.round(column(), 6).alias("similarity"))
 
     run.__name__ = name
-    query(sql.over(f"SELECT source1_entity_id, target_entity_id, round({expression}, 6) AS similarity FROM j", "s1", "s3", more=[f"j AS ({_TRUE3})"], truth=True))(run)
+    query(sql.over(f"SELECT source1_entity_id, target_entity_id, round({expression}, 6) AS similarity FROM j", *_SOURCES, more=[_TARGETS, f"j AS ({_TRUE})"], truth=True))(run)
 
 
 _c = F.col
@@ -163,7 +174,7 @@ def _token_set_sql(pairs: str) -> str:
 
 
 _sim_query("sim_token_set", "0", lambda: sim.token_set_ratio(_c("ac"), _c("bc")))
-ORACLES["sim_token_set"] = sql.over(_token_set_sql("j"), "s1", "s3", more=[f"j AS ({_TRUE3})"], truth=True)
+ORACLES["sim_token_set"] = sql.over(_token_set_sql("j"), *_SOURCES, more=[_TARGETS, f"j AS ({_TRUE})"], truth=True)
 
 _FEATURES_SQL = f"""
   SELECT p.source1_entity_id, p.candidate_entity_id,
@@ -179,17 +190,17 @@ _FEATURES_SQL = f"""
     CASE WHEN list_has_any(x.address_numbers, y.address_numbers) THEN 1.0 ELSE 0.0 END::DOUBLE AS address_number_match,
     CASE WHEN x.country_normalized = y.country_normalized AND x.country_normalized <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS country_match,
     CASE WHEN m THEN 1.0 ELSE 0.0 END::DOUBLE AS is_address_missing
-  FROM (SELECT p2.*, x.business_address_normalized = '' OR y.business_address_normalized = '' AS m FROM p2 JOIN s1_e x ON x.entity_id = source1_entity_id JOIN s2_e y ON y.entity_id = candidate_entity_id) p
-  JOIN s1_e x ON x.entity_id = p.source1_entity_id JOIN s2_e y ON y.entity_id = p.candidate_entity_id
+  FROM (SELECT pa.*, x.business_address_normalized = '' OR y.business_address_normalized = '' AS m FROM pa JOIN s1_e x ON x.entity_id = source1_entity_id JOIN t_e y ON y.entity_id = candidate_entity_id) p
+  JOIN s1_e x ON x.entity_id = p.source1_entity_id JOIN t_e y ON y.entity_id = p.candidate_entity_id
   JOIN ts ON ts.source1_entity_id = p.source1_entity_id AND ts.target_entity_id = p.candidate_entity_id
 """
-_CORES = "c2 AS (SELECT p2.source1_entity_id, p2.candidate_entity_id AS target_entity_id, x.business_name_core AS ac, y.business_name_core AS bc FROM p2 JOIN s1_e x ON x.entity_id = p2.source1_entity_id JOIN s2_e y ON y.entity_id = p2.candidate_entity_id)"
+_CORES = "c2 AS (SELECT pa.source1_entity_id, pa.candidate_entity_id AS target_entity_id, x.business_name_core AS ac, y.business_name_core AS bc FROM pa JOIN s1_e x ON x.entity_id = pa.source1_entity_id JOIN t_e y ON y.entity_id = pa.candidate_entity_id)"
 
 
-@query(sql.over(_FEATURES_SQL, "s1", "s2", more=[*sql.pairs("s2", blocking.PASSES, "p2"), _CORES, f"ts AS ({_token_set_sql('c2')})"]))
+@query(sql.over(_FEATURES_SQL, *_SOURCES, more=[*_PAIRS, _CORES, f"ts AS ({_token_set_sql('c2')})"]))
 def pair_feature_vector(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    out = pair_features(blocking.candidate_pairs(s1, s2), s1, s2)
+    s1, targets, t = _both(spark, d)
+    out = pair_features(blocking.all_candidates(s1, targets), s1, t)
     return out.select("source1_entity_id", "candidate_entity_id", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
@@ -200,10 +211,10 @@ def truth_explode(spark, d):
     return _truth(spark, d)
 
 
-@query(sql.over("SELECT t.* FROM truth_e t WHERE target_entity_id IN (SELECT entity_id FROM s2_e)", "s2", truth=True))
+@query(sql.over("SELECT t.* FROM truth_e t WHERE target_entity_id IN (SELECT entity_id FROM t_e)", "s2", "s3", more=[_TARGETS], truth=True))
 def positive_pairs(spark, d):
-    s1, s2 = (testrecords.records(spark, d, s) for s in ("s1", "s2"))
-    return training.positives(_truth(spark, d), s1, s2)
+    s1, s2, s3 = (testrecords.records(spark, d, s) for s in _SOURCES)
+    return training.positives(_truth(spark, d), s1, s2.unionByName(s3))
 
 
 _LABELLED = """lab AS (SELECT coalesce(p.source1_entity_id, t.source1_entity_id) AS source1_entity_id, coalesce(p.candidate_entity_id, t.target_entity_id) AS target_entity_id,
@@ -215,19 +226,19 @@ def _labelled(pairs: str, prefix: str, out: str) -> str:
     return _LABELLED.replace("lab AS", f"{out} AS").replace("FROM p2 p", f"FROM {pairs} p").replace("'S2%'", f"'{prefix}%'")
 
 
-_PAIRS2 = sql.pairs("s2", blocking.PASSES, "p2")
+_LAB = [*_PAIRS, _labelled("pa", "S", "lab")]
 
 
-@query(sql.over("SELECT * FROM lab", "s1", "s2", more=[*_PAIRS2, _LABELLED], truth=True))
+@query(sql.over("SELECT * FROM lab", *_SOURCES, more=_LAB, truth=True))
 def label_pairs(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return training.labelled(blocking.candidate_pairs(s1, s2), training.positives(_truth(spark, d), s1, s2))
+    s1, targets, t = _both(spark, d)
+    return training.labelled(blocking.all_candidates(s1, targets), training.positives(_truth(spark, d), s1, t))
 
 
 _HARD = """SELECT source1_entity_id, target_entity_id, label FROM (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, label ORDER BY md5(concat_ws('|', source1_entity_id, target_entity_id, '42')), target_entity_id) AS n FROM lab) WHERE label = 1 OR n <= 2"""
 
 
-@query(sql.over(_HARD, "s1", "s2", more=[*_PAIRS2, _LABELLED], truth=True))
+@query(sql.over(_HARD, *_SOURCES, more=_LAB, truth=True))
 def hard_negatives(spark, d):
     return training.cap_negatives(label_pairs(spark, d), 2)
 
@@ -273,53 +284,49 @@ def target_sample(spark, d):
 
 # Thresholds, matches, evaluation ------------------------------------------------------------------
 
-_PRED = [*_PAIRS2, sql.predictions("p2", "s2", "pred"), "truth2 AS (SELECT * FROM truth_e WHERE target_entity_id LIKE 'S2%')"]
+_PRED = [*_PAIRS, sql.predictions("pa", "t", "pred")]
 _GRID = f"""grid AS (SELECT unnest(range(10, 96)) / 100.0 AS threshold), cells AS (
   SELECT threshold, source1_entity_id, count(*) FILTER (WHERE ok) AS n_predicted, count(*) FILTER (WHERE ok AND hit) AS n_hit FROM (
     SELECT g.threshold, p.source1_entity_id, p.prediction_probability >= g.threshold AS ok, t.target_entity_id IS NOT NULL AS hit
-    FROM grid g CROSS JOIN pred p LEFT JOIN truth2 t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.target_entity_id) GROUP BY ALL
-), sized AS (SELECT c.*, (SELECT count(*) FROM truth2 t WHERE t.source1_entity_id = c.source1_entity_id) AS n_true FROM cells c),
+    FROM grid g CROSS JOIN pred p LEFT JOIN truth_e t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.target_entity_id) GROUP BY ALL
+), sized AS (SELECT c.*, (SELECT count(*) FROM truth_e t WHERE t.source1_entity_id = c.source1_entity_id) AS n_true FROM cells c),
 sweep AS (SELECT threshold::DOUBLE AS threshold, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f05) AS macro_f05 FROM (SELECT threshold, {sql.scores('n_true', 'n_predicted', 'n_hit')} FROM sized) GROUP BY threshold)"""
 _ROUNDED = "threshold, round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall, round(macro_f05, 6) AS macro_f05"
 
 
 def _predictions(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return rule_predictions(blocking.candidate_pairs(s1, s2), s1, s2)
-
-
-def _truth2(spark, d):
-    return _truth(spark, d).filter(F.col("target_entity_id").startswith("S2"))
+    s1, targets, t = _both(spark, d)
+    return rule_predictions(blocking.all_candidates(s1, targets), s1, t)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if kind == "double" and c != "threshold" else F.col(c) for c, kind in df.dtypes])
 
 
-@query(sql.over("SELECT * FROM pred", "s1", "s2", more=_PRED, truth=True))
+@query(sql.over("SELECT * FROM pred", *_SOURCES, more=_PRED, truth=True))
 def rule_scores(spark, d):
     return _predictions(spark, d)
 
 
-@query(sql.over(f"SELECT {_ROUNDED} FROM sweep", "s1", "s2", more=[*_PRED, _GRID], truth=True))
+@query(sql.over(f"SELECT {_ROUNDED} FROM sweep", *_SOURCES, more=[*_PRED, _GRID], truth=True))
 def threshold_sweep(spark, d):
-    return _rounded(threshold.sweep(_predictions(spark, d), _truth2(spark, d)))
+    return _rounded(threshold.sweep(_predictions(spark, d), _truth(spark, d)))
 
 
-@query(sql.over(f"SELECT {_ROUNDED} FROM sweep ORDER BY round(sweep.macro_f05, 12) DESC, threshold DESC LIMIT 1", "s1", "s2", more=[*_PRED, _GRID], truth=True))
+@query(sql.over(f"SELECT {_ROUNDED} FROM sweep ORDER BY round(sweep.macro_f05, 12) DESC, threshold DESC LIMIT 1", *_SOURCES, more=[*_PRED, _GRID], truth=True))
 def best_threshold(spark, d):
-    return _rounded(threshold.best(threshold.sweep(_predictions(spark, d), _truth2(spark, d))))
+    return _rounded(threshold.best(threshold.sweep(_predictions(spark, d), _truth(spark, d))))
 
 
 _ENTITY = f"""SELECT source1_entity_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f05, 6) AS f05 FROM (SELECT e.entity_id AS source1_entity_id, {sql.scores('n_true', 'n_predicted', 'n_hit')} FROM (
-  SELECT entity_id, (SELECT count(*) FROM truth2 t WHERE t.source1_entity_id = entity_id) AS n_true, (SELECT count(*) FROM pred p WHERE p.source1_entity_id = entity_id AND prediction_probability >= {LEAST}) AS n_predicted,
-  (SELECT count(*) FROM pred p JOIN truth2 t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.target_entity_id WHERE p.source1_entity_id = entity_id AND prediction_probability >= {LEAST}) AS n_hit FROM s1_e) e)"""
+  SELECT entity_id, (SELECT count(*) FROM truth_e t WHERE t.source1_entity_id = entity_id) AS n_true, (SELECT count(*) FROM pred p WHERE p.source1_entity_id = entity_id AND prediction_probability >= {LEAST}) AS n_predicted,
+  (SELECT count(*) FROM pred p JOIN truth_e t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.target_entity_id WHERE p.source1_entity_id = entity_id AND prediction_probability >= {LEAST}) AS n_hit FROM s1_e) e)"""
 
 
-@query(sql.over(_ENTITY, "s1", "s2", more=_PRED, truth=True))
+@query(sql.over(_ENTITY, *_SOURCES, more=_PRED, truth=True))
 def entity_f05(spark, d):
     said = matching.accepted(_predictions(spark, d), LEAST)
-    return _rounded(threshold.entity_f05(said, _truth2(spark, d), testrecords.records(spark, d, "s1").select("entity_id")))
+    return _rounded(threshold.entity_f05(said, _truth(spark, d), testrecords.records(spark, d, "s1").select("entity_id")))
 
 
 _LISTS = f"""lists AS (SELECT e.entity_id AS source1_entity_id, coalesce((SELECT string_agg(DISTINCT q.target_entity_id, ',' ORDER BY q.target_entity_id) FROM (SELECT * FROM pred2 UNION ALL SELECT * FROM pred3) q
@@ -339,36 +346,36 @@ def match_stats(spark, d):
     return matching.statistics(matching_results(spark, d))
 
 
-@query(sql.over("SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(p.candidate_entity_id, ',' ORDER BY p.candidate_entity_id), '') AS candidate_entity_ids FROM s1_e e LEFT JOIN p2 p ON p.source1_entity_id = e.entity_id GROUP BY e.entity_id", "s1", "s2", more=_PAIRS2))
+@query(sql.over("SELECT e.entity_id AS source1_entity_id, coalesce(string_agg(p.candidate_entity_id, ',' ORDER BY p.candidate_entity_id), '') AS candidate_entity_ids FROM s1_e e LEFT JOIN pa p ON p.source1_entity_id = e.entity_id GROUP BY e.entity_id", *_SOURCES, more=_PAIRS))
 def candidate_lists(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return matching.lists(s1, blocking.candidate_pairs(s1, s2), "candidate_entity_ids", "candidate_entity_id")
+    s1, targets, _ = _both(spark, d)
+    return matching.lists(s1, blocking.all_candidates(s1, targets), "candidate_entity_ids", "candidate_entity_id")
 
 
 _OWNER = "SELECT source1_entity_id, target_entity_id, prediction_probability FROM (SELECT *, row_number() OVER (PARTITION BY target_entity_id ORDER BY prediction_probability DESC, source1_entity_id) AS n FROM pred) WHERE n = 1"
 
 
-@query(sql.over(_OWNER, "s1", "s2", more=_PRED, truth=True))
+@query(sql.over(_OWNER, *_SOURCES, more=_PRED, truth=True))
 def one_owner(spark, d):
     return matching.one_owner(_predictions(spark, d))
 
 
-_FOUND = "(SELECT count(*) FROM p2 p JOIN truth2 t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.candidate_entity_id)"
+_FOUND = "(SELECT count(*) FROM pa p JOIN truth_e t ON t.source1_entity_id = p.source1_entity_id AND t.target_entity_id = p.candidate_entity_id)"
 
 
-@query(sql.over(f"SELECT (SELECT count(*) FROM truth2) AS n_truth, {_FOUND} AS n_found, round({_FOUND} * 1.0 / (SELECT count(*) FROM truth2), 6) AS recall, (SELECT count(*) FROM p2) AS n_candidates, round((SELECT count(*) FROM p2) * 1.0 / (SELECT count(*) FROM s1_e), 6) AS candidates_per_entity", "s1", "s2", more=_PRED, truth=True))
+@query(sql.over(f"SELECT (SELECT count(*) FROM truth_e) AS n_truth, {_FOUND} AS n_found, round({_FOUND} * 1.0 / (SELECT count(*) FROM truth_e), 6) AS recall, (SELECT count(*) FROM pa) AS n_candidates, round((SELECT count(*) FROM pa) * 1.0 / (SELECT count(*) FROM s1_e), 6) AS candidates_per_entity", *_SOURCES, more=_PRED, truth=True))
 def blocking_recall(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return _rounded(evaluate.blocking_recall(blocking.candidate_pairs(s1, s2), _truth2(spark, d), s1))
+    s1, targets, _ = _both(spark, d)
+    return _rounded(evaluate.blocking_recall(blocking.all_candidates(s1, targets), _truth(spark, d), s1))
 
 
 @query(sql.over("""SELECT t.source1_entity_id, t.target_entity_id, x.business_name AS source1_name, x.business_address AS source1_address, y.business_name AS target_name, y.business_address AS target_address
-  FROM truth2 t JOIN s1_e x ON x.entity_id = t.source1_entity_id JOIN s2_e y ON y.entity_id = t.target_entity_id
-  WHERE NOT EXISTS (SELECT 1 FROM pz p WHERE p.source1_entity_id = t.source1_entity_id AND p.candidate_entity_id = t.target_entity_id)""", "s1", "s2", more=[*sql.pairs("s2", ("postal",), "pz"), "truth2 AS (SELECT * FROM truth_e WHERE target_entity_id LIKE 'S2%')"], truth=True))
+  FROM truth_e t JOIN s1_e x ON x.entity_id = t.source1_entity_id JOIN t_e y ON y.entity_id = t.target_entity_id
+  WHERE NOT EXISTS (SELECT 1 FROM pz p WHERE p.source1_entity_id = t.source1_entity_id AND p.candidate_entity_id = t.target_entity_id)""", *_SOURCES, more=[*sql.pairs("s2", ("postal",), "y2"), *sql.pairs("s3", ("postal",), "y3"), "pz AS (SELECT * FROM y2 UNION ALL SELECT * FROM y3)", _TARGETS], truth=True))
 def missed_pairs(spark, d):
     """What the postal pass alone would miss."""
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return evaluate.missed_report(blocking.candidate_pairs(s1, s2, ("postal",)), _truth2(spark, d), s1, s2)
+    s1, targets, t = _both(spark, d)
+    return evaluate.missed_report(blocking.all_candidates(s1, targets, passes=("postal",)), _truth(spark, d), s1, t)
 
 
 _COUNTERS = {
@@ -377,15 +384,15 @@ _COUNTERS = {
 }
 
 
-@query(sql.over("SELECT count(*) AS n_records, " + ", ".join(f"count(*) FILTER (WHERE {v}) AS {k}, round(count(*) FILTER (WHERE {v}) * 100.0 / count(*), 6) AS {k}_percent" for k, v in _COUNTERS.items()) + " FROM s2_e", "s2"))
+@query(sql.over("SELECT count(*) AS n_records, " + ", ".join(f"count(*) FILTER (WHERE {v}) AS {k}, round(count(*) FILTER (WHERE {v}) * 100.0 / count(*), 6) AS {k}_percent" for k, v in _COUNTERS.items()) + " FROM t_e", "s2", "s3", more=[_TARGETS]))
 def norm_audit(spark, d):
-    return _rounded(evaluate.audit(_records(spark, d, "s2")[0]))
+    return _rounded(evaluate.audit(_both(spark, d)[2]))
 
 
 @query(sql.over("""SELECT count(*) AS n_records, count(DISTINCT entity_id) AS n_ids, count(DISTINCT business_name) AS n_names, count(DISTINCT business_address) AS n_addresses, count(*) FILTER (WHERE trim(business_address) = '') AS missing_addresses,
-  min(length(business_name)) AS min_name, max(length(business_name)) AS max_name, round(avg(length(business_name)), 6) AS avg_name FROM s2_e""", "s2"))
+  min(length(business_name)) AS min_name, max(length(business_name)) AS max_name, round(avg(length(business_name)), 6) AS avg_name FROM t_e""", "s2", "s3", more=[_TARGETS]))
 def profile_missing(spark, d):
-    return _rounded(evaluate.profile(testrecords.records(spark, d, "s2")))
+    return _rounded(evaluate.profile(testrecords.records(spark, d, "s2").unionByName(testrecords.records(spark, d, "s3"))))
 
 
 @query("SELECT p_name AS value, count(*) AS n FROM part GROUP BY p_name ORDER BY n DESC, value LIMIT 20")
@@ -504,8 +511,8 @@ def average_precision(spark, d):
 
 
 def _trained(spark, d):
-    s1, s2 = _records(spark, d, "s1", "s2")
-    return train_and_match(s1, {"S2": s2}, _truth2(spark, d), trees=20, rate=0.1, depth=5, min_rows=5)
+    s1, targets, _ = _both(spark, d)
+    return train_and_match(s1, targets, _truth(spark, d), trees=20, rate=0.1, depth=5, min_rows=5)
 
 
 @query()
@@ -514,11 +521,11 @@ def gbt_score(spark, d):
     return _trained(spark, d)[0]
 
 
-@query(sql.over("SELECT (SELECT count(*) FROM p2) AS n_scored, true AS auc_at_least_95, true AS f05_at_least_90", "s1", "s2", more=_PAIRS2))
+@query(sql.over("SELECT (SELECT count(*) FROM pa) AS n_scored, true AS auc_at_least_95, true AS f05_at_least_90", *_SOURCES, more=_PAIRS))
 def gbt_quality(spark, d):
     """What holds of any good trees: all candidates scored, the truth ranked first, the best threshold worth it."""
     scored, best, _ = _trained(spark, d)
-    marked = scored.join(_truth2(spark, d).withColumn("label", F.lit(1)), ["source1_entity_id", "target_entity_id"], "left").na.fill(0, ["label"])
+    marked = scored.join(_truth(spark, d).withColumn("label", F.lit(1)), ["source1_entity_id", "target_entity_id"], "left").na.fill(0, ["label"])
     marked = written(marked.select("label", "prediction_probability"), "scored")
     total = marked.agg(F.count(F.lit(1)).alias("n_scored"))
     return total.join(F.broadcast(model.roc_auc(marked)), F.lit(True)).select("n_scored", (F.col("auc") >= 0.95).alias("auc_at_least_95"), F.lit(best["macro_f05"] >= 0.9).alias("f05_at_least_90"))
