@@ -188,7 +188,8 @@ def _candidates(kinds: DataFrame, items: DataFrame, radius: int) -> DataFrame:
     """key, item_id, differing_bits of all windows and items of a size within radius. kinds: key, n, fp; items: item_id, item, n, item_fp."""
     left = kinds.select("key", "n", "fp", F.explode(_block_values(F.col("fp"))).alias("b")).select("key", "n", "fp", "b.block", "b.value")
     right = items.select("item_id", "item", "n", "item_fp", F.explode(_block_values(F.col("item_fp"), radius // BLOCKS)).alias("b"))
-    met = left.join(right.select("item_id", "item", "n", "item_fp", "b.block", "b.value"), ["n", "block", "value"])
+    # The index has thousands of rows an item, which size estimates do not see: it is never broadcast.
+    met = left.join(right.select("item_id", "item", "n", "item_fp", "b.block", "b.value").hint("merge"), ["n", "block", "value"])
     bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
     return met.select("key", "item_id", "item", bits.alias("differing_bits")).filter(F.col("differing_bits") <= radius).distinct()
 
