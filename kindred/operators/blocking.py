@@ -64,9 +64,9 @@ def keyed(records: DataFrame, passes=PASSES) -> DataFrame:
 
 def _celled(side: DataFrame, marks: DataFrame, own: str, other: str, dealt: str, copied: str) -> DataFrame:
     """side with the cell of each row: by hash over its own cells, and once in each cell of the other side."""
-    out = side.join(marks, KEY, "left").filter(~F.coalesce("common", F.lit(False)))
+    out = side.join(F.broadcast(marks), KEY, "left")
     out = out.withColumn(dealt, F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1).cast("long"))))
-    return out.withColumn(copied, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1))).drop(own, other, "common")
+    return out.withColumn(copied, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1).cast("long")) - 1))).drop(own, other)
 
 
 def candidate_pairs(
@@ -87,7 +87,10 @@ def candidate_pairs(
     for kind, most in limits.items():
         common = common | ((F.col("kind") == kind) & (F.col("r") > most))
     cells = lambda n: F.ceil(F.col(n) / F.lit(hot)).cast("long")
-    marks = counts.select(*KEY, common.alias("common"), F.greatest(cells("l"), F.lit(1)).alias("lc"), F.greatest(cells("r"), F.lit(1)).alias("rc")).filter("common or lc > 1 or rc > 1")
+    # One key in `hot` rows at most, so that it can be broadcast: 24 bytes and the key for each.
+    marks = counts.filter((F.col("l") > hot) | (F.col("r") > hot)).select(*KEY, F.greatest(cells("l"), F.lit(1)).alias("lc"), F.greatest(cells("r"), F.lit(1)).alias("rc"))
+    if limits:
+        right = right.join(counts.filter(common).select(*KEY), KEY, "left_anti")
     if address_counts is not None:
         known = address_counts.filter(F.col("n") > max_df).select("country", F.lit("address").alias("kind"), "key")
         right = right.join(known, KEY, "left_anti")
