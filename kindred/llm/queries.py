@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kindred.llm import chat, line_dedup, lm_score, media, quality, tokens
+from kindred.llm import chat, filter_audit, line_dedup, lm_score, media, panes, quality, tokens
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.decontaminate import contaminated
@@ -67,9 +67,13 @@ QUERIES = {
     "op7_line_chunk_dedup": op7_line_chunk_dedup,
     "op8_rendezvous_sharding": op8_rendezvous_sharding,
     "op10_repair_token_ids": op10_repair_token_ids,
+    "op11_pane_revisions": panes.op11_pane_revisions,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op3_snapshot_collapse": chat.ORACLE,
     "op7_line_chunk_dedup": line_dedup.ORACLE,
+    "op11_pane_revisions": panes.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
