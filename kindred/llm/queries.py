@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from kindred.llm import chat, filter_audit, line_dedup, lm_score, media, panes, quality, tokens
+from kindred.llm import chat, filter_audit, line_dedup, lm_score, media, panes, quality, tokens, url_filter
 from kindred.llm.common import load, scratch_path
 from kindred.llm.simhash import near_duplicates
 from kindred.llm.decontaminate import contaminated
@@ -69,6 +69,7 @@ QUERIES = {
     "op10_repair_token_ids": op10_repair_token_ids,
     "op11_pane_revisions": panes.op11_pane_revisions,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_url_cascade": url_filter.op13_url_cascade,
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +77,5 @@ ORACLES: dict[str, str] = {
     "op7_line_chunk_dedup": line_dedup.ORACLE,
     "op11_pane_revisions": panes.ORACLE,
     "op12_filter_audit": filter_audit.ORACLE,
+    "op13_url_cascade": url_filter.ORACLE,
 }
