@@ -9,7 +9,7 @@ an empty batch run; the last batch's sentinel lies beyond every event, so that o
 panes that were never published come out as `final`.
 
 Scale: a batch's rows are summed per pane within each map task before the shuffle, so a pane with a third of all rows
-reaches its state as one row a task. Late rows have no state to meet and are dealt over `spread` keys. The driver sees
+reaches its state as one row a task. Late rows have no state to meet and are dealt over `spread` keys of their own. The driver sees
 one number a batch, the greatest event time, which tells map tasks what to leave unsummed; the state decides by Spark's
 own watermark and stops the query if the two disagree. State lives in the state store (RocksDB), files and output below
 spark.checkpoint.dir in a new folder a call. A repeated micro-batch overwrites its own output folder.
@@ -40,7 +40,7 @@ SHIFT = 1_000_000 * DAY
 #: After every time that a timestamp can hold, shifted.
 BEYOND = 4 * 10**17
 RECORD = "hour long, click_id long, n_rows long, cents long, record string, kind string"
-_PARTIAL = "kind string, hour long, part int, click_id long, n long, cents long"
+_PARTIAL = "pane_kind string, pane_hour long, part int, kind string, hour long, click_id long, n long, cents long"
 #: Panes that a map task holds before it hands them on.
 HELD = 50_000
 
@@ -72,8 +72,11 @@ def cut(clicks: DataFrame, batches: int = 12) -> DataFrame:
 
 def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums per pane of a task's rows with part 0; other rows as they are."""
-    names = ["kind", "hour", "part", "click_id", "n", "cents"]
-    schema = pa.schema([("kind", pa.string()), ("hour", pa.int64()), ("part", pa.int32()), ("click_id", pa.int64()), ("n", pa.int64()), ("cents", pa.int64())])
+    schema = pa.schema([
+        ("pane_kind", pa.string()), ("pane_hour", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("hour", pa.int64()),
+        ("click_id", pa.int64()), ("n", pa.int64()), ("cents", pa.int64()),
+    ])
+    names, pane_key = schema.names, ["pane_kind", "pane_hour", "part", "kind", "hour"]
     held = None
 
     def handed(table: pa.Table) -> list[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from handed(whole)
         rows = table.filter(pane)
         rows = rows if held is None else pa.concat_tables([held, rows.cast(schema)])
-        sums = rows.group_by(["kind", "hour", "part"]).aggregate([("click_id", "max"), ("n", "sum"), ("cents", "sum")])
+        sums = rows.group_by(pane_key).aggregate([("click_id", "max"), ("n", "sum"), ("cents", "sum")])
         held = sums.rename_columns({"click_id_max": "click_id", "n_sum": "n", "cents_sum": "cents"}).select(names).cast(schema)
         if held.num_rows > HELD:
             yield from handed(held)
@@ -119,18 +122,17 @@ class Panes(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         kind, hour, part = key
-        if part < 0:  # the sentinel
-            for _ in rows:
-                pass
-            return
-        closed = timerValues.getCurrentWatermarkInMs() >= self.at(hour, self.hold)
-        if closed != (part > 0):
-            raise RuntimeError(f"pane {kind} {hour}: the batch's watermark and the query's disagree")
-        if closed:
+        now = timerValues.getCurrentWatermarkInMs()
+        if part:  # the sentinel, or late rows, which have no pane
             for late in rows:
-                late = late[["hour", "click_id", "n", "cents", "kind"]].rename(columns={"n": "n_rows"})
-                yield late.assign(record="late")[["hour", "click_id", "n_rows", "cents", "record", "kind"]]
+                if part > 0 and now < self.at(int(late["hour"].max()), self.hold):
+                    raise RuntimeError("a row is late by the batch's watermark and not by the query's")
+                if part > 0:
+                    late = late[["hour", "click_id", "n", "cents", "kind"]].rename(columns={"n": "n_rows"})
+                    yield late.assign(record="late")[["hour", "click_id", "n_rows", "cents", "record", "kind"]]
             return
+        if now >= self.at(hour, self.hold):
+            raise RuntimeError(f"pane {kind} {hour} is closed by the query's watermark and not by the batch's")
         n = cents = 0
         for some in rows:
             n, cents = n + int(some["n"].sum()), cents + int(some["cents"].sum())
@@ -175,7 +177,7 @@ def _session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def revisions(clicks: DataFrame, batches: int = 12, grace: int = 2, close: int = 72, spread: int = 256) -> DataFrame:
+def revisions(clicks: DataFrame, batches: int = 12, grace: int = 2, close: int = 72, spread: int = 128) -> DataFrame:
     """batch, hour, click_id, n_rows, cents, record, kind: what each batch writes; see the module."""
     spark = clicks.sparkSession
     table = materialize(cut(clicks, batches), "clicks")
@@ -205,9 +207,10 @@ def _feed(session: SparkSession, path: str, folder: str, stored: str, watermark:
     late = F.lit(False) if watermark is None else F.col("hour") <= watermark // HOUR - 1 - close
     part = F.when(F.col("kind").isNull(), -1).when(late, 1 + F.pmod(F.xxhash64("click_id"), F.lit(spread))).otherwise(0).cast("int")
     rows = session.readStream.schema(stored).parquet(path).withColumn("at", F.timestamp_micros(F.col("event") + SHIFT)).withWatermark("at", "0 seconds")
-    rows = rows.select("kind", "hour", part.alias("part"), "click_id", F.lit(1).cast("long").alias("n"), "cents")
-    rows = rows.mapInArrow(summed, _PARTIAL)
-    panes = rows.groupBy("kind", "hour", "part").transformWithStateInPandas(Panes(grace, close), RECORD, "Update", "EventTime")
+    rows = rows.withColumn("part", part)
+    own = [F.when(F.col("part") == 0, F.col(c)).alias(f"pane_{c}") for c in ("kind", "hour")]
+    rows = rows.select(*own, "part", "kind", "hour", "click_id", F.lit(1).cast("long").alias("n"), "cents").mapInArrow(summed, _PARTIAL)
+    panes = rows.groupBy("pane_kind", "pane_hour", "part").transformWithStateInPandas(Panes(grace, close), RECORD, "Update", "EventTime")
 
     def put(found: DataFrame, run: int) -> None:
         found.write.mode("overwrite").parquet(f"{folder}/out/run={run}")
