@@ -208,7 +208,7 @@ def _feed(session: SparkSession, path: str, folder: str, stored: str, watermark:
     part = F.when(F.col("kind").isNull(), -1).when(late, 1 + F.pmod(F.xxhash64("click_id"), F.lit(spread))).otherwise(0).cast("int")
     rows = session.readStream.schema(stored).parquet(path).withColumn("at", F.timestamp_micros(F.col("event") + SHIFT)).withWatermark("at", "0 seconds")
     rows = rows.withColumn("part", part)
-    own = [F.when(F.col("part") == 0, F.col(c)).alias(f"pane_{c}") for c in ("kind", "hour")]
+    own = [F.when(F.col("part") == 0, F.col(c)).otherwise(none).alias(f"pane_{c}") for c, none in (("kind", ""), ("hour", 0))]
     rows = rows.select(*own, "part", "kind", "hour", "click_id", F.lit(1).cast("long").alias("n"), "cents").mapInArrow(summed, _PARTIAL)
     panes = rows.groupBy("pane_kind", "pane_hour", "part").transformWithStateInPandas(Panes(grace, close), RECORD, "Update", "EventTime")
 
