@@ -2,16 +2,19 @@
 
 Both empty: 1; one empty: 0; equal: 1. Jaccard is 0 if either side is empty. The edit similarities
 have no builtin (levenshtein() counts a substitution as one edit, these count two) and are Arrow UDFs;
-each batch works on its distinct pairs only. Token forms are built by column functions around them.
+each batch works on its distinct pairs only, all at once (see batched.py). Token forms are built by column functions around them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from kindred.functions import batched
+
 
 def longest_common_subsequence(a: str, b: str) -> int:
     """Length, with one machine-wide integer a row (Hyyroe's bit-parallel recurrence)."""
@@ -69,19 +72,64 @@ def token_set(a: str, b: str) -> float:
     return max(best, indel(shared, whole[0]), indel(shared, whole[1])) if shared else best
 
 
-def _over_pairs(score):
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        pairs = list(zip(a.to_pylist(), b.to_pylist(), strict=True))
-        known = {p: score(p[0] or "", p[1] or "") for p in set(pairs)}
-        return pa.array([known[p] for p in pairs], pa.float64())
-
+def indels(a: list[str], b: list[str]) -> np.ndarray:
+    """indel of each pair, all together."""
+    out = np.array([1.0 if x == y else 0.0 for x, y in zip(a, b, strict=True)])
+    todo = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y and x and y]
+    long = [i for i in todo if min(len(a[i]), len(b[i])) > batched.LONG]
+    for i in long:
+        out[i] = indel(a[i], b[i])
+    todo = sorted(set(todo) - set(long)) if long else todo
+    x, y = [a[i] for i in todo], [b[i] for i in todo]
+    sizes = np.fromiter((len(p) + len(q) for p, q in zip(x, y, strict=True)), np.int64, len(todo))
+    out[todo] = 2 * batched.common_subsequence(x, y) / sizes
+    return out
+
+
+def jaro_winklers(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler of each pair, all together."""
+    out = np.array([1.0 if x == y else 0.0 for x, y in zip(a, b, strict=True)])
+    todo = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y and x and y]
+    out[todo] = batched.jaro_winkler([a[i] for i in todo], [b[i] for i in todo])
+    return out
+
+
+def token_sets(a: list[str], b: list[str]) -> np.ndarray:
+    """token_set of each pair, all together: what is shared starts both wholes, so only the wholes need comparing."""
+    out, at, left, right = np.zeros(len(a)), [], [], []
+    for i, (p, q) in enumerate(zip(a, b, strict=True)):
+        x, y = set(p.split()), set(q.split())
+        shared = x & y
+        if not x or not y:
+            out[i] = float(p == q)
+        elif shared and (len(shared) == len(x) or len(shared) == len(y)):
+            out[i] = 1.0
+        else:
+            start = " ".join(sorted(shared))
+            wholes = [f"{start} {rest}" if start else rest for rest in (" ".join(sorted(x - y)), " ".join(sorted(y - x)))]
+            if start:
+                out[i] = max(2 * len(start) / (len(start) + len(w)) for w in wholes)
+            at.append(i)
+            left.append(wholes[0])
+            right.append(wholes[1])
+    out[at] = np.maximum(out[at], indels(left, right))
+    return out
+
+
+def _over_pairs(scores):
     def batch(a: pa.Array, b: pa.Array) -> pa.Array:
-        return run(a, b)
+        place: dict[tuple[str, str], int] = {}
+        at = [place.setdefault((x or "", y or ""), len(place)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        found = scores([p[0] for p in place], [p[1] for p in place])
+        return pa.array(found[at] if at else [], pa.float64())
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return batch(a, b)
 
-    return F.arrow_udf(batch, DoubleType())
+    return F.arrow_udf(run, DoubleType())
 
 
-_indel, _jaro_winkler, _token_set = _over_pairs(indel), _over_pairs(jaro_winkler), _over_pairs(token_set)
+_indel, _jaro_winkler, _token_set = _over_pairs(indels), _over_pairs(jaro_winklers), _over_pairs(token_sets)
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:

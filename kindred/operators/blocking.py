@@ -5,7 +5,8 @@ hashes on all three, so a country is no unit of work. What a pass asks beyond it
 the joined rows, and one aggregate per pair unites the passes and counts shared address words. One
 aggregate counts each key on both sides. A key with more than HOT_KEY rows of a side is cut: that side's
 rows are dealt over as many cells as it takes, the other side's rows go to each of them, so that no task
-joins more than HOT_KEY by HOT_KEY rows of a key. max_token_df, off by default, drops name words that more
+joins more than HOT_KEY by HOT_KEY rows of a key. Keys are written once a side (key_index), as counting and joining
+read them several times: each source is normalised once, and one index serves any number of targets. max_token_df, off by default, drops name words that more
 target records than that share.
 
 kinds: token (a name word, or all name words run together), core, postal, number (first of the address), address.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from kindred.functions.constants import ADDRESS_NOISE, NAME_NOISE
 from kindred.functions.similarity import overlap
 from kindred.functions.text import enriched, strip_web_domain
+from kindred.sources.scratch import written
 
 PASSES = ("token", "core", "postal", "number", "address")
 HOT_KEY = 10_000
@@ -62,6 +64,15 @@ def keyed(records: DataFrame, passes=PASSES) -> DataFrame:
     )
 
 
+def key_index(records: DataFrame, passes=PASSES) -> DataFrame:
+    """The stored keys of a side, to be given to candidate_pairs in place of its records any number of times."""
+    return records if is_key_index(records) else written(keyed(records, passes), "keys")
+
+
+def is_key_index(df: DataFrame) -> bool:
+    return {"id", "country", "kind", "key", "numbers", "addresses", "names"} == set(df.columns)
+
+
 def _celled(side: DataFrame, marks: DataFrame, own: str, other: str, dealt: str, copied: str) -> DataFrame:
     """side with the cell of each row: by hash over its own cells, and once in each cell of the other side."""
     out = side.join(F.broadcast(marks), KEY, "left")
@@ -77,8 +88,9 @@ def candidate_pairs(
 
     Address words that more than max_df target records of the country have are no keys; the count is over the whole
     of target, or is taken from address_counts (country, key, n), where target is only a part of a larger table.
+    Either side may be a key_index, of which the keys of other passes are not used.
     """
-    left, right = keyed(source1, passes), keyed(target, passes)
+    left, right = (key_index(side, passes).filter(F.col("kind").isin(*passes)) for side in (source1, target))
     side = lambda df, l, r: df.select(*KEY, F.lit(l).alias("l"), F.lit(r).alias("r"))
     counts = side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     limits = {"token": max_token_df} if max_token_df is not None else {}
@@ -114,8 +126,8 @@ def candidate_pairs(
 
 
 def all_candidates(source1: DataFrame, targets: dict[str, DataFrame], **options) -> DataFrame:
-    """Candidates of several target tables, marked with target_source."""
-    out = None
+    """Candidates of several target tables, marked with target_source; the keys of source 1 are made once."""
+    out, source1 = None, key_index(source1, options.get("passes", PASSES))
     for name, target in targets.items():
         own = candidate_pairs(source1, target, target_source=name, **options)
         out = own if out is None else out.unionByName(own)

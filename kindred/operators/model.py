@@ -103,9 +103,9 @@ def _running(grouped: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, label: str = "label", score_col: str = "prediction_probability") -> DataFrame:
-    """One row, auc: the chance that a positive scores above a negative, ties counting half."""
+    """One row, auc: the chance that a positive scores above a negative, ties counting half; null without either."""
     area = F.sum(F.col("n") * (F.col("tp") + F.col("p") / 2.0))
-    return _running(_by_score(df, label, score_col)).agg((area / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return _running(_by_score(df, label, score_col)).agg(F.try_divide(area, F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, label: str = "label", score_col: str = "prediction_probability") -> DataFrame:

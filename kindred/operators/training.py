@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.operators.blocking import candidate_pairs
+from kindred.operators.blocking import candidate_pairs, key_index
 from kindred.operators.features import pair_features
 from kindred.operators.validate import require
 
@@ -72,11 +72,12 @@ def cap_negatives(pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED) ->
     return pairs.withColumn("_at", F.row_number().over(order)).filter((F.col("label") == 1) | (F.col("_at") <= most)).drop("_at")
 
 
-def training_pairs(source1: DataFrame, targets: dict[str, DataFrame], truth_pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED) -> DataFrame:
-    """PAIR, label, source of every target table."""
-    out = None
+def training_pairs(source1: DataFrame, targets: dict[str, DataFrame], truth_pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED, candidates: dict[str, DataFrame] | None = None) -> DataFrame:
+    """PAIR, label, source of every target table; candidates: those of each target, where they are there already."""
+    out, index = None, None if candidates else key_index(source1)
     for name, target in targets.items():
-        pairs = labelled(candidate_pairs(source1, target), positives(truth_pairs, source1, target))
+        found = candidates[name] if candidates else candidate_pairs(index, target)
+        pairs = labelled(found, positives(truth_pairs, source1, target))
         own = cap_negatives(pairs, most, seed).withColumn("source", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return out
@@ -97,6 +98,15 @@ def composition(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct(PAIR[0]).alias("n_entities"))
 
 
+def check_split(rows: DataFrame, group: str = PAIR[0]) -> DataFrame:
+    """rows, or ValueError if an entity is on both sides of is_validation."""
+    both = rows.groupBy(group).agg(F.bool_or("is_validation").alias("a"), F.bool_and("is_validation").alias("b")).filter("a and not b")
+    found = [r[0] for r in both.select(group).orderBy(group).limit(5).collect()]
+    if found:
+        raise ValueError(f"entities on both sides of the split: {', '.join(map(str, found))}")
+    return rows
+
+
 def grouped_split(pairs: DataFrame, percent: int = 20, seed: int = SEED, group: str = PAIR[0]) -> DataFrame:
     """pairs with is_validation, the same for all rows of an entity."""
     bucket = F.conv(F.substring(draw(F.col(group), seed=seed), 1, 8), 16, 10).cast("long") % 100

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions.text import enriched
 from kindred.operators import matching, model, threshold, training
-from kindred.operators.blocking import PASSES, all_candidates
+from kindred.operators.blocking import PASSES, all_candidates, key_index
 from kindred.operators.features import pair_features
 from kindred.sources.scratch import written
 
@@ -26,11 +26,11 @@ def rule_predictions(pairs: DataFrame, source1: DataFrame, target: DataFrame) ->
 
 def match_by_rule(source1: DataFrame, targets: dict[str, DataFrame], least: float, passes=PASSES) -> DataFrame:
     """Result lists of all of source 1, by the rule."""
-    source1 = enriched(source1)
-    out = None
+    source1 = written(enriched(source1), "source1")
+    out, index = None, key_index(source1, passes)
     for name, target in targets.items():
-        target = enriched(target)
-        own = rule_predictions(all_candidates(source1, {name: target}, passes=passes), source1, target)
+        target = written(enriched(target), name)
+        own = rule_predictions(all_candidates(index, {name: target}, passes=passes), source1, target)
         out = own if out is None else out.unionByName(own)
     return matching.lists(source1, matching.accepted(out, least))
 
@@ -40,11 +40,14 @@ def train_and_match(source1: DataFrame, targets: dict[str, DataFrame], truth: Da
 
     The model is fitted on the training side of a split by entity; the threshold is chosen on the other side.
     """
-    source1 = enriched(source1)
-    targets = {k: enriched(v) for k, v in targets.items()}
-    pairs = training.training_pairs(source1, targets, truth)
+    # Normalised records and keys are read for fitting and again for scoring: they are written once, in shared storage.
+    source1 = written(enriched(source1), "source1")
+    targets = {k: written(enriched(v), k) for k, v in targets.items()}
+    candidates = {k: written(all_candidates(key_index(source1), {k: v}), "candidates") for k, v in targets.items()}
+    pairs = training.training_pairs(source1, targets, truth, candidates=candidates)
     # Fitting passes over the rows once a tree: they are written once, in shared storage.
     rows = written(training.grouped_split(training.training_features(pairs, source1, targets)), "training-rows")
+    training.check_split(rows)
     config = model.TreeConfig(**options)
     fitted = model.train(rows, config)
     held = model.score(fitted, rows.filter("is_validation"))
@@ -53,7 +56,7 @@ def train_and_match(source1: DataFrame, targets: dict[str, DataFrame], truth: Da
         model.save(fitted, path, best, config)
     scored = None
     for name, target in targets.items():
-        features = pair_features(all_candidates(source1, {name: target}), source1, target)
+        features = pair_features(candidates[name], source1, target)
         own = model.score(fitted, features).select("source1_entity_id", F.col("candidate_entity_id").alias("target_entity_id"), "target_source", "prediction_probability")
         scored = own if scored is None else scored.unionByName(own)
     return scored, best, fitted

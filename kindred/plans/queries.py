@@ -9,7 +9,7 @@ from kindred.functions import similarity as sim
 from kindred.functions import text as fn
 from kindred.functions.constants import DERIVED, FEATURES, RECORD
 from kindred.functions.postal import postal_code
-from kindred.operators import blocking, evaluate, matching, model, threshold, training, validate
+from kindred.operators import blocking, boosting, evaluate, matching, model, threshold, training, validate
 from kindred.operators.features import pair_features
 from kindred.plans import sql
 from kindred.plans.linkage import match_by_rule, rule_predictions, train_and_match
@@ -529,3 +529,15 @@ def gbt_quality(spark, d):
     marked = written(marked.select("label", "prediction_probability"), "scored")
     total = marked.agg(F.count(F.lit(1)).alias("n_scored"))
     return total.join(F.broadcast(model.roc_auc(marked)), F.lit(True)).select("n_scored", (F.col("auc") >= 0.95).alias("auc_at_least_95"), F.lit(best["macro_f05"] >= 0.9).alias("f05_at_least_90"))
+
+
+@query(sql.over("SELECT count(*) AS n_pairs, sum(label)::BIGINT AS n_positive, true AS auc_at_least_95 FROM lab", *_SOURCES, more=_LAB, truth=True))
+def leafwise_quality(spark, d):
+    """What holds of regularised leaf-wise trees, trained on one side of a split by entity: every labelled pair scored, held-out truth ranked first."""
+    s1, targets, _ = _both(spark, d)
+    pairs = training.training_pairs(s1, targets, _truth(spark, d), most=1 << 30)
+    rows = written(training.grouped_split(training.training_features(pairs, s1, targets)), "leafwise")
+    fitted = boosting.train(rows, trees=8, rate=0.3, leaves=8, min_rows=20, patience=4)
+    scored = written(boosting.score(fitted, rows).select("label", "is_validation", "prediction_probability"), "scored")
+    total = scored.agg(F.count("prediction_probability").alias("n_pairs"), F.sum(F.col("label").cast("long")).alias("n_positive"))
+    return total.join(F.broadcast(model.roc_auc(scored.filter("is_validation"))), F.lit(True)).select("n_pairs", "n_positive", (F.col("auc") >= 0.95).alias("auc_at_least_95"))

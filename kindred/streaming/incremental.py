@@ -7,8 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kindred.functions.text import enriched
 from kindred.operators import matching
-from kindred.operators.blocking import candidate_pairs
+from kindred.operators.blocking import candidate_pairs, key_index
 from kindred.plans.linkage import rule_predictions
+from kindred.sources.scratch import written
 
 
 def match_stream(source1: DataFrame, target_stream: DataFrame, out_path: str, checkpoint: str, least: float, address_counts: DataFrame | None = None, **trigger) -> StreamingQuery:
@@ -18,11 +19,12 @@ def match_stream(source1: DataFrame, target_stream: DataFrame, out_path: str, ch
     frequent address words counts the records of a batch; with address_counts (country, key, n; see
     blocking.address_word_counts) it counts what that table counted, so that a target gives the same pairs however it is cut.
     """
-    fixed = enriched(source1).persist()
+    fixed = written(enriched(source1), "source1")
+    index = key_index(fixed)
 
     def run(batch: DataFrame, number: int) -> None:
-        target = enriched(batch)
-        found = rule_predictions(candidate_pairs(fixed, target, address_counts=address_counts), fixed, target)
+        target = written(enriched(batch), "batch")
+        found = rule_predictions(candidate_pairs(index, target, address_counts=address_counts), fixed, target)
         matching.accepted(found, least).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return target_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
