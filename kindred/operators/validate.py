@@ -1,12 +1,12 @@
-"""Checks of result files: rows (issue, n, examples), up to five examples each, from one pass a rule."""
+"""Checks of result files: rows (issue, n, examples), up to five examples each, all rules from one pass over the result."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from kindred.sources.scratch import written
 from kindred.sources.tsv import split_ids
 
 MATCHES, CANDIDATES = "matched_entity_ids", "candidate_entity_ids"
@@ -38,41 +38,61 @@ def read_result(spark: SparkSession, path: str, column: str) -> DataFrame:
     return parse_lines(lines.filter(F.col("value") != want), column)
 
 
-def _issue(name: str, rows: DataFrame, example: Column) -> DataFrame:
-    """One row; the examples are the five least, kept by an aggregate that holds five values a task."""
-    few = rows.select(example.cast("string").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c"))
-    total = few.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"))
-    least = few.orderBy("e").limit(5).agg(F.array_join(F.array_sort(F.collect_list("e")), ";").alias("examples"))
-    return total.join(F.broadcast(least), F.lit(True)).select(F.lit(name).alias("issue"), "n", "examples")
+def _report(found: DataFrame, names: list[str]) -> DataFrame:
+    """issue, n, examples of rows (issue, example), for every name; each task keeps five examples an issue."""
+    counts = written(found.groupBy("issue", "example").agg(F.count(F.lit(1)).alias("c")), "issues")
+    totals = counts.groupBy("issue").agg(F.sum("c").alias("n"))
+    order = Window.partitionBy("issue").orderBy("example")
+    least = counts.withColumn("at", F.row_number().over(order)).filter("at <= 5").groupBy("issue").agg(F.array_join(F.array_sort(F.collect_list("example")), ";").alias("examples"))
+    every = found.sparkSession.createDataFrame([(n,) for n in names], "issue string")
+    out = every.join(F.broadcast(totals.join(least, "issue")), "issue", "left")
+    return out.select("issue", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def issues(result: DataFrame, required: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None, column: str = MATCHES) -> DataFrame:
     """All issues of a result: result has source1_entity_id, the id list and, if parsed, malformed.
 
-    required and known hold ids in their first column; candidates is a result with candidate_entity_ids.
+    required and known hold ids in their first column; candidates is a result with candidate_entity_ids. The result is
+    read once: a row for each id of each list, the first of a list speaking for its row too, and a row for each required
+    entity go to one table, from which all rules are told.
     """
-    good = result.filter(~F.col("malformed")) if "malformed" in result.columns else result
     s1 = F.col("source1_entity_id")
+    malformed = F.col("malformed") if "malformed" in result.columns else F.lit(False)
     raw = F.filter(F.transform(F.split(column, ","), lambda i: F.trim(i)), lambda i: i != "")
-    listed = good.select(s1, raw.alias("ids"))
-    pairs = listed.select(s1, F.explode("ids").alias("id"))
-    need = required.select(F.col(required.columns[0]).alias("source1_entity_id")).distinct()
-    found = []
-    if "malformed" in result.columns:
-        found.append(_issue("malformed row", result.filter("malformed"), s1))
-    found += [
-        _issue("duplicate entity", good.groupBy(s1).count().filter("count > 1"), s1),
-        _issue("duplicate id in list", listed.filter(F.size("ids") != F.size(F.array_distinct("ids"))), s1),
-        _issue("match within source 1", pairs.filter(F.col("id").startswith("S1-")), F.concat_ws(">", s1, "id")),
-        _issue("wrong prefix", pairs.filter(~F.col("id").rlike("^S[123]-")), F.concat_ws(">", s1, "id")),
-        _issue("missing entity", need.join(good.select(s1), "source1_entity_id", "left_anti"), s1),
-        _issue("extra entity", good.select(s1).distinct().join(need, "source1_entity_id", "left_anti"), s1),
-        _issue("empty list", listed.filter(F.size("ids") == 0), s1),
-    ]
+    rows = result.select(s1, malformed.alias("malformed"), raw.alias("ids"))
+    rows = rows.withColumns({"twice": F.size("ids") != F.size(F.array_distinct("ids")), "none": F.size("ids") == 0})
+    rows = rows.withColumn("ids", F.when(~F.col("malformed"), F.col("ids")))
+    rows = rows.select(s1, "malformed", "twice", "none", F.posexplode_outer("ids").alias("at", "id")).withColumn("leads", F.coalesce(F.col("at") == 0, F.lit(True)))
+    names = (["malformed row"] if "malformed" in result.columns else []) + ["duplicate entity", "duplicate id in list", "match within source 1", "wrong prefix", "missing entity", "extra entity", "empty list"]
+    rows = rows.withColumns({"known": F.lit(True), "offered": F.lit(True)})
     if known is not None:
-        have = known.select(F.col(known.columns[0]).alias("id")).distinct()
-        found.append(_issue("unknown id", pairs.join(have, "id", "left_anti"), F.concat_ws(">", s1, "id")))
+        names.append("unknown id")
+        have = known.select(F.col(known.columns[0]).alias("id")).distinct().withColumn("have", F.lit(True))
+        rows = rows.join(have, "id", "left").withColumn("known", F.coalesce("have", F.lit(False))).drop("have")
     if candidates is not None:
-        offered = candidates.select(s1, F.explode(split_ids(F.col(CANDIDATES))).alias("id"))
-        found.append(_issue("match is no candidate", pairs.join(offered, ["source1_entity_id", "id"], "left_anti"), F.concat_ws(">", s1, "id")))
-    return functools.reduce(DataFrame.unionByName, found)
+        names.append("match is no candidate")
+        had = candidates.select(s1, F.explode(split_ids(F.col(CANDIDATES))).alias("id")).distinct().withColumn("had", F.lit(True))
+        rows = rows.join(had, ["source1_entity_id", "id"], "left").withColumn("offered", F.coalesce("had", F.lit(False))).drop("had")
+    need = required.select(F.col(required.columns[0]).alias("source1_entity_id")).distinct()
+    # One row stands for a list and its ids, so a list's own rules are told by its first.
+    rows = rows.withColumn("required", F.lit(False)).unionByName(need.withColumn("required", F.lit(True)), allowMissingColumns=True)
+    rows = written(rows, "checked")
+    good, pair, link = F.col("leads") & ~F.col("malformed"), F.col("id").isNotNull(), F.concat_ws(">", s1, "id")
+    told = {
+        "malformed row": (F.col("leads") & F.col("malformed"), s1),
+        "duplicate id in list": (good & F.col("twice"), s1),
+        "empty list": (good & F.col("none"), s1),
+        "match within source 1": (pair & F.col("id").startswith("S1-"), link),
+        "wrong prefix": (pair & ~F.col("id").rlike("^S[123]-"), link),
+        "unknown id": (pair & ~F.col("known"), link),
+        "match is no candidate": (pair & ~F.col("offered"), link),
+    }
+    own = F.array(*[F.when(c, F.struct(F.lit(n).alias("issue"), e.cast("string").alias("example"))) for n, (c, e) in told.items() if n in names])
+    found = rows.filter(~F.col("required")).select(F.explode(F.filter(own, lambda i: i.isNotNull())).alias("i")).select("i.issue", "i.example")
+    entities = rows.groupBy(s1).agg(F.count_if(good).alias("lists"), F.bool_or("required").alias("need"))
+    lists = F.col("lists")
+    whole = F.array(
+        F.when(lists > 1, F.lit("duplicate entity")), F.when(F.col("need") & (lists == 0), F.lit("missing entity")), F.when(~F.col("need") & (lists > 0), F.lit("extra entity"))
+    )
+    found = found.unionByName(entities.select(F.explode(F.filter(whole, lambda i: i.isNotNull())).alias("issue"), s1.cast("string").alias("example")))
+    return _report(found, names)

@@ -9,7 +9,7 @@ from kindred.functions import similarity as sim
 from kindred.functions import text as fn
 from kindred.functions.constants import DERIVED, FEATURES, RECORD
 from kindred.functions.postal import postal_code
-from kindred.operators import blocking, boosting, evaluate, matching, model, threshold, training, validate
+from kindred.operators import blocking, boosting, evaluate, matching, model, neighbours, qgrams, threshold, training, validate
 from kindred.operators.features import pair_features
 from kindred.plans import sql
 from kindred.plans.linkage import match_by_rule, rule_predictions, train_and_match
@@ -541,3 +541,30 @@ def leafwise_quality(spark, d):
     scored = written(boosting.score(fitted, rows).select("label", "is_validation", "prediction_probability"), "scored")
     total = scored.agg(F.count("prediction_probability").alias("n_pairs"), F.sum(F.col("label").cast("long")).alias("n_positive"))
     return total.join(F.broadcast(model.roc_auc(scored.filter("is_validation"))), F.lit(True)).select("n_pairs", "n_positive", (F.col("auc") >= 0.95).alias("auc_at_least_95"))
+
+
+_ORDERED = """ordered AS (SELECT *, row_number() OVER (ORDER BY country, key, side, id) AS pos FROM (
+  SELECT country_normalized AS country, business_name_core AS key, 1 AS side, entity_id AS id FROM s1_e
+  UNION ALL SELECT country_normalized, business_name_core, 2, entity_id FROM t_e))"""
+
+
+@query(sql.over("SELECT DISTINCT a.id AS source1_entity_id, b.id AS candidate_entity_id FROM ordered a JOIN ordered b ON abs(a.pos - b.pos) < 10 AND a.country = b.country WHERE a.side = 1 AND b.side = 2", *_SOURCES, more=[_TARGETS, _ORDERED]))
+def block_neighbours(spark, d):
+    """Sorted neighbourhood by core name, a window of 10."""
+    s1, _, targets = _both(spark, d)
+    return neighbours.neighbour_pairs(s1, targets, 10)
+
+
+def _grams(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(1, length({x}) - 2) + 1), lambda i: substr({x}, i, 3)))"
+
+
+_GRAMS = [f"g{n} AS (SELECT entity_id, country_normalized AS c, {_grams('business_name_normalized')} AS g FROM {side} WHERE business_name_normalized <> '')" for n, side in ((1, "s1_e"), (2, "t_e"))]
+
+
+@query(sql.over("""SELECT a.entity_id AS source1_entity_id, b.entity_id AS candidate_entity_id FROM g1 a JOIN g2 b ON a.c = b.c AND len(a.g) >= 0.6 * len(b.g) - 0.001 AND len(b.g) >= 0.6 * len(a.g) - 0.001
+  WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE >= 0.6""", *_SOURCES, more=[_TARGETS, *_GRAMS]))
+def block_qgrams(spark, d):
+    """Names with a Jaccard similarity of 0.6 over 3-grams."""
+    s1, _, targets = _both(spark, d)
+    return qgrams.qgram_pairs(s1, targets, 0.6, 3)
