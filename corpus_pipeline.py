@@ -5,7 +5,7 @@ files' order of doc_id. The stages hold fitted models and hashes that SQL has no
 no oracle; tests hold them against brute force.
 
 Every stage but the last returns whole rows of its input, with all their columns, whatever their names. Nulls:
-a null text is an empty one for the classifier, has fingerprint zero, holds no benchmark passage, has size 0 and
+a null text is an empty one for the classifier, is a copy of other texts without words, holds no benchmark passage, has size 0 and
 the end id alone as its ids; rows with a null doc_id are rows like others, a null source is a source of its own.
 Repeated rows share the classifier's and the decontamination's decision, the near-dedup keeps one of them. Ties
 go to the least doc_id, then to the least hash. Of a very long text each stage works on some part at a time, save
@@ -20,7 +20,7 @@ from kindred.llm import quality, tokens
 from kindred.llm.common import fresh_name, load, materialize, scratch_path
 from kindred.llm.decontaminate import clean_documents
 from kindred.llm.mixing import mixed
-from kindred.llm.simhash import deduplicate
+from kindred.llm.near_dedup import deduplicate
 
 
 def quality_classifier(spark, docs, sf_dir):
@@ -29,10 +29,7 @@ def quality_classifier(spark, docs, sf_dir):
 
 
 def simhash_near_dedup(spark, docs, sf_dir):
-    """One document, that with the least doc_id, of each group within 4 bits over 4-word shingles.
-
-    Most pairs at a Jaccard similarity of 0.8 over five words differ in more bits and stay; see README.md.
-    """
+    """One document, that with the least doc_id, of each group linked at a Jaccard similarity of 0.8 over 5-word shingles."""
     return deduplicate(docs)
 
 
