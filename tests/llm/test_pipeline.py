@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
 import test_decontaminate
 import test_mixing
-import test_simhash
+import test_near_dedup
 
 from kindred.llm import quality
 from kindred.llm.common import materialize
@@ -35,12 +35,10 @@ def test_stages_as_brute_force(spark):
     good = [r for r in before if model.score(*quality.features((r[1] or "").encode(), r[4], model.bits)) >= 0.3]
     assert Counter(rated) == Counter(good) and len(rated) < len(before)
 
-    fps = [test_simhash.brute_fingerprint(r[1]) for r in rated]
-    label = test_simhash.brute_components(fps)
-    first = {}
-    for r, c in zip(rated, label, strict=True):
-        first[c] = min(first.get(c, r), r, key=lambda x: x[0])
-    assert Counter(unique) == Counter(first.values()) and len(unique) < len(rated)
+    # SimHash candidates miss a pair now and then; what is not similar is never dropped.
+    first = Counter(test_near_dedup.brute_kept(rated))
+    assert not first - Counter(unique) and len(first) < len(rated)
+    assert len(rated) - len(unique) >= 0.9 * (len(rated) - sum(first.values()))
 
     bad = {d for d, _ in test_decontaminate.brute([r[:2] for r in unique], bench)}
     assert Counter(clean) == Counter(r for r in unique if r[0] not in bad)
