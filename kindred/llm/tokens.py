@@ -13,7 +13,7 @@ Shards are rows of a Parquet dataset: a driver and executors need no other share
 is written again, and a partial write is never read.
 
 Tokens are those of the tokenizers library. Texts are cut into words in Arrow, and its BPE model gets each
-new word once, many at a time. Up to `CACHE_WORDS` words are kept with their ids; when there are more, the
+new word once, many at a time. Up to `cache_words` words are kept with their ids; when there are more, the
 half that was used last stays. A text goes to the library as a whole if it holds code points or special tokens for which cutting it here might
 differ from the library's own cut.
 
@@ -76,6 +76,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.cache_words = CACHE_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if size > 65536:
@@ -121,8 +122,8 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the words used last, half as many as may be held."""
         self.turn += 1
-        if len(self.known) > CACHE_WORDS:
-            keep = np.sort(np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2])
+        if len(self.known) > self.cache_words:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: self.cache_words // 2])
             self.flat = _gather(self.flat, self.start[keep], self.size[keep])
             self.known, self.size, self.used = self.known.take(pa.array(keep)), self.size[keep], self.used[keep]
             self.start = np.cumsum(self.size, dtype=np.int32) - self.size
@@ -202,10 +203,11 @@ def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
     """The process's encoder for a file; a worker that runs more tasks keeps the words it knows."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].cache_words = cache_words
     return _ENCODERS[path]
 
 
@@ -377,7 +379,7 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 FIELDS = "part int, seq int, before long, within long, n_ids long, open boolean, doc_ids binary, known binary, blob binary"
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS, cache_words: int = CACHE_WORDS) -> None:
     """Write the ids of all documents to path, in ascending doc_id order of (part, seq) and within a shard."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -389,7 +391,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FIELDS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer, cache_words), TaskContext.get().partitionId()
         vocabulary = encoder.tokenizer.get_vocab_size(with_added_tokens=True)
         end = np.array([end_id], dtype=np.uint16)
         ids: list[np.ndarray] = []
