@@ -22,6 +22,9 @@ from kindred.llm.decontaminate import clean_documents
 from kindred.llm.mixing import mixed
 from kindred.llm.near_dedup import deduplicate
 
+#: Words whose ids the token stage keeps in a task: executors hold what earlier stages grew to.
+CACHE_WORDS = 300_000
+
 
 def quality_classifier(spark, docs, sf_dir):
     """Documents that the classifier does not reject."""
@@ -46,7 +49,7 @@ def source_mixing(spark, docs, sf_dir):
 def token_ids(spark, docs, sf_dir):
     """Token-ID files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_path(spark, "ids")
-    tokens.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    tokens.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), cache_words=CACHE_WORDS)
     return tokens.read_documents(spark, path)
 
 
