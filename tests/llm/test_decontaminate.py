@@ -26,7 +26,14 @@ def brute(docs, bench):
                 continue
             width = min(5, len(iw))
             b = shingles(iw, width)
+            # A window shares no more with the item than it has places whose shingle the item has.
+            held = [0]
+            for s in range(len(w) - width + 1):
+                held.append(held[-1] + (next(iter(shingles(w[s : s + width], width))) in b))
+            places = len(iw) - width + 1
             for s in range(len(w) - len(iw) + 1):
+                if 1.8 * (held[s + places] - held[s]) < 1.6 * places - 1e-6:
+                    continue
                 a = shingles(w[s : s + len(iw)], width)
                 sim = sum((a & b).values()) / sum((a | b).values())
                 if sim >= 0.8 - 1e-9:
