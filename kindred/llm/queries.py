@@ -73,6 +73,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_cross_entropy_difference": lm_score.ORACLE,
     "op3_snapshot_collapse": chat.ORACLE,
     "op7_line_chunk_dedup": line_dedup.ORACLE,
     "op11_pane_revisions": panes.ORACLE,
