@@ -42,7 +42,8 @@ from kindred.llm.common import materialize
 
 TOP = 1 << 16
 PAIRS = 1 << 22
-SLICE = 1 << 24
+#: Bytes of text that a task counts, or scores, at a time: counts of more text are fewer rows, scores take more memory.
+SLICE, SCORED = 1 << 24, 1 << 22
 #: Labelled ids up to this number are broadcast (8 MB), more are joined by a shuffle.
 IDS = 1 << 20
 UNIT = 1_000_000
@@ -50,10 +51,10 @@ UNIT = 1_000_000
 BITS, BIT_ROW, BY_FIRST, BY_SECOND = 268_435_399, 32_768, 2_654_435_761, 2_246_822_519
 
 
-def _slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """A batch's rows, some million bytes of text at a time."""
+def _slices(batch: pa.RecordBatch, text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch's rows, about most bytes of text at a time."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // SLICE
+    part = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, z in zip(edges, edges[1:], strict=False):
         if z > a:
@@ -87,7 +88,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     """word, n, t: how often each word stands in all texts, and in those of the target."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, SLICE):
                 row, number, words = _words(part.column(1))
                 good = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 n = np.bincount(number, minlength=len(words))
@@ -110,7 +111,7 @@ def _pair_counts(rows: DataFrame, known: pa.Array) -> DataFrame:
     """code (first << 32 | second), n, t of the pairs of neighbouring classes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, SLICE):
                 row, number, words = _words(part.column(1))
                 good = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 first, own = _classes(words, known, row, number)
@@ -247,7 +248,7 @@ def score(rows: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in _slices(batch, 1, SCORED):
                 row, number, words = _words(part.column(1))
                 length = np.bincount(row, minlength=part.num_rows)
                 ends = np.cumsum(length)
