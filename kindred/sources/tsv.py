@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,18 +50,18 @@ def truth_pairs(truth: DataFrame, ids: str = "matched_entity_ids") -> DataFrame:
     return truth.select("source1_entity_id", F.explode(split_ids(F.col(ids))).alias("target_entity_id"))
 
 
-def read_threshold(path: str, default: float = DEFAULT_THRESHOLD) -> float:
-    """best_threshold of a metadata file on the driver, or the default if it can't be read."""
+def read_threshold(spark: SparkSession, path: str, default: float = DEFAULT_THRESHOLD) -> float:
+    """best_threshold of a JSON file, or of what write_threshold wrote, on any file system that Spark reads; the default if there is none."""
     try:
-        with open(path, encoding="utf-8") as f:
-            return float(json.load(f)["best_threshold"])
-    except (OSError, ValueError, KeyError, TypeError):
+        return float(json.loads(spark.read.text(path, wholetext=True).first().value)["best_threshold"])
+    except (AnalysisException, AttributeError, ValueError, KeyError, TypeError):
         return default
 
 
-def write_threshold(path: str, best: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"best_threshold": best["threshold"], **best}, f, indent=2)
+def write_threshold(spark: SparkSession, path: str, best: dict) -> None:
+    """A folder with one JSON file."""
+    text = json.dumps({"best_threshold": best["threshold"], **best}, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def best_in_table(results: DataFrame) -> float:

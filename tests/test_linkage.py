@@ -162,9 +162,9 @@ def test_tsv_round_trip(spark, tmp_path):
     text = spark.read.text(out).collect()
     assert sorted(r.value for r in text) == ["S1-1\tS2-3,S3-2", "S1-2\t", "source1_entity_id\tmatched_entity_ids"]
     meta = str(tmp_path / "t.json")
-    assert tsv.read_threshold(meta) == 0.78
-    tsv.write_threshold(meta, {"threshold": 0.61, "macro_f05": 0.9})
-    assert tsv.read_threshold(meta) == 0.61 and json.load(open(meta))["macro_f05"] == 0.9
+    assert tsv.read_threshold(spark, meta) == 0.78
+    tsv.write_threshold(spark, meta, {"threshold": 0.61, "macro_f05": 0.9})
+    assert tsv.read_threshold(spark, meta) == 0.61 and json.loads(spark.read.text(meta, wholetext=True).first().value)["macro_f05"] == 0.9
 
 
 def test_training_sets(spark):
