@@ -4,8 +4,8 @@ What a rule asks of the text around a code is a look-around of its expression. M
 that reads like a street, unit or phone number: one behind a unit word, one that begins an address which
 goes on, and one with a street word among the next five words. The rules are:
 
-1. ZIP+4; 2. a code behind a label (pin code, postal code, zip), of any shape, not refused for its
-neighbours; 3. Canadian; 4. British; 5. six digits behind a dash or comma, or at the end, or before the
+1. ZIP+4; 2. a code behind a label (pin code, postal code, zip, as a word of its own), of any shape,
+not refused for its neighbours; 3. Canadian; 4. British; 5. six digits behind a dash or comma, or at the end, or before the
 country; 6. five digits behind a state, comma or dash, at the end, before the country or before a plain
 word; 7. five digits at the very end behind two letters, a comma or a dash. Rules 1 to 4 look at the first
 number of their shape only, the others at all. Blanks between a code and what a rule looks at behind it
@@ -67,7 +67,8 @@ _ZIP_INSIDE = _guarded(
     after=RIGHT + rf"(?:{_country('USA?|United States|US')}|(?={BLANK}*[.,;]*\p{{L}}+[.,;]*(?:{BLANK}|$)))",
 )
 _ZIP_LAST = _guarded(rf"(?!00){ZIP}", before=rf"(?<=(?:[A-Za-z]{{2}}|[-,]){BLANK}{{0,99}})", after="$")
-_LABELLED = rf"(?i){LEFT}(?:{LABELS}){BLANK}*[:#-]?{BLANK}*([A-Za-z0-9\s-]{{3,10}}){EDGE}"
+#: No code begins with three letters, so a word that goes on with them is no label, though it begins like one.
+_LABELLED = rf"(?i){LEFT}(?:{LABELS})(?!\p{{L}}{{3}}){BLANK}*[:#-]?{BLANK}*([A-Za-z0-9\s-]{{3,10}}){EDGE}"
 
 
 def postal_code(address: Column) -> Column:
@@ -75,12 +76,15 @@ def postal_code(address: Column) -> Column:
     text = F.regexp_replace(F.coalesce(address, F.lit("")), rf"^{BLANK}+|{BLANK}+$", "")
     found = lambda pattern: F.regexp_extract(text, pattern, 1)
     compact = lambda code: F.upper(F.replace(code, F.lit(" "), F.lit("")))
-    label = F.trim(F.regexp_replace(found(_LABELLED), BLANK, " "))
-    labelled = (
-        F.when(label.rlike(f"^(?:{ZIP}(?:-[0-9]{{4}})?|{PIN})$"), label)
-        .when(label.rlike(f"^{CANADIAN}$"), compact(label))
-        .when(label.rlike(f"^{LOOSE_BRITISH}$"), F.upper(label))
-        .otherwise("")
-    )
+    def code_of(label: Column) -> Column:
+        return (
+            F.when(label.rlike(f"^(?:{ZIP}(?:-[0-9]{{4}})?|{PIN})$"), label)
+            .when(label.rlike(f"^{CANADIAN}$"), compact(label))
+            .when(label.rlike(f"^{LOOSE_BRITISH}$"), F.upper(label))
+            .otherwise("")
+        )
+
+    # A lambda's variable: the search is done once, whatever the number of shapes it is held against.
+    labelled = F.get(F.transform(F.array(F.trim(F.regexp_replace(found(_LABELLED), BLANK, " "))), code_of), F.lit(0))
     rules = [found(_first(ZIP4)), labelled, compact(found(_first(CANADIAN))), F.upper(found(_first(BRITISH))), found(_PIN), found(_ZIP_INSIDE), found(_ZIP_LAST)]
     return F.coalesce(*[F.nullif(code, F.lit("")) for code in rules], F.lit(""))

@@ -74,6 +74,12 @@ def test_postal_codes(spark):
     assert {a: got[i] for i, (a, _) in enumerate(CODES)} == dict(CODES)
 
 
+def test_a_word_that_begins_like_a_label_is_none(spark):
+    codes = {"pinfnbb near tower, pin code: 983487 Nation": "983487", "pinfdhc zip 42886, Road": "42886", "x, PIN600001": "600001", "x zipK1A 0B1": "K1A0B1", "pinned, zip ab1 2cd": "AB1 2CD", "pinned 12345 zip": ""}
+    df = spark.createDataFrame([(a,) for a in codes], "a string")
+    assert {r.a: r.code for r in df.select("a", postal_code(F.col("a")).alias("code")).collect()} == codes
+
+
 def test_core_name_takes_all_legal_forms(spark):
     names = {"acme" + " ltd inc" * 12: "acme", "llc acme" + " pvt ltd co" * 9: "acme", "x holding company company": "x holding", "ltd ltd": "ltd"}
     df = spark.createDataFrame([(n,) for n in names], "n string")
