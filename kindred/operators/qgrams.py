@@ -1,9 +1,12 @@
 """q-gram blocking: pairs of records of one country whose names share enough q-grams (Jaccard similarity).
 
-A join on all shared q-grams would meet on the frequent ones. Each name's q-grams are put in one order, rarest first;
-names that are similar enough share one of their first n - ceil(t n) + 1 (prefix filter), and the shorter has at least
-the share t of the longer's (length filter). What meets is compared exactly. Only distinct names are joined, so equal
-names cost one row whatever their number, and records come in at the end.
+A join on all shared q-grams would meet on the frequent ones. Each name's q-grams are put in one order, rarest first; a
+name of n q-grams shares ceil(t n) at least with a similar one, so the first two that they share stand among the first
+n - ceil(t n) + 2 of both (prefix filter). Names meet by two q-grams at once: by one, what meets grows with the number of
+names times that of names with the q-gram, hundreds for each. What meets goes no further where the lengths (the shorter has
+at least the share t of the longer's) or 64 bits of either side tell that too many q-grams differ: bits that differ never
+outnumber them. What is left is compared exactly. Only distinct names are joined, so equal names cost one row whatever
+their number, and records come in at the end.
 
 Frequencies are a table joined by q-gram; nothing is broadcast that grows. A name without characters has no q-grams and
 no pair; one shorter than q has itself as its only one.
@@ -30,27 +33,43 @@ def similar_names(left: DataFrame, right: DataFrame, least: float = 0.6, q: int
         raise ValueError("least must be above 0 and at most 1")
     both = left.select("country", "name", F.lit(1).alias("side")).unionByName(right.select("country", "name", F.lit(2).alias("side")))
     both = both.filter(F.col("name").isNotNull() & (F.col("name") != "")).groupBy("country", "name").agg(F.bool_or(F.col("side") == 1).alias("l"), F.bool_or(F.col("side") == 2).alias("r"))
-    names = written(both.withColumn("grams", qgrams(F.col("name"), q)), "names")
-    grams = names.select("country", "name", F.explode("grams").alias("gram"))
+    # Names and q-grams go by number: what is sorted, exploded and met is numbers, never texts.
+    names = written(both.withColumn("grams", qgrams(F.col("name"), q)).withColumn("name_id", F.monotonically_increasing_id()), "names")
+    grams = names.select("name_id", "country", F.explode("grams").alias("gram"))
     frequency = grams.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = grams.join(frequency, ["country", "gram"]).groupBy("country", "name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
-    size = F.size("ranked")
-    first = size - F.ceil(size * least - 1e-9) + 1
-    heads = ranked.select("country", "name", size.alias("size"), F.slice("ranked", F.lit(1), first.cast("int")).alias("heads"))
-    heads = names.select("country", "name", "l", "r").join(heads, ["country", "name"]).select("country", "name", "l", "r", "size", F.explode("heads.gram").alias("gram"))
-    heads = written(heads, "heads")
-    mine = heads.filter("l").select("country", "gram", F.col("name").alias("left_name"), F.col("size").alias("left_size"))
-    theirs = heads.filter("r").select("country", "gram", F.col("name").alias("right_name"), F.col("size").alias("right_size"))
-    met = mine.join(theirs, ["country", "gram"])
+    frequency = written(frequency.withColumn("gram_id", F.monotonically_increasing_id()), "grams")
+    ranked = grams.join(frequency, ["country", "gram"]).groupBy("name_id").agg(F.array_sort(F.collect_list(F.struct("n", "gram_id"))).alias("ranked"))
+    ids, size = F.col("ranked.gram_id"), F.size("ranked")
+    ranked = ranked.select("name_id", ids.alias("ids"), size.alias("size"), F.ceil(size * least - 1e-9).cast("int").alias("shared"))
+    heads = written(names.select("name_id", "l", "r").join(ranked.select("name_id", "size", head_keys().alias("keys"), bit_set().alias("bits")), "name_id"), "heads")
+    mine = heads.filter("l").select(F.explode("keys").alias("key"), F.col("name_id").alias("left_id"), F.col("size").alias("left_size"), F.col("bits").alias("left_bits"))
+    theirs = heads.filter("r").select(F.explode("keys").alias("key"), F.col("name_id").alias("right_id"), F.col("size").alias("right_size"), F.col("bits").alias("right_bits"))
+    met = mine.join(theirs, "key")
     shorter, longer = F.least("left_size", "right_size"), F.greatest("left_size", "right_size")
-    met = met.filter(shorter >= longer * least - 1e-9).select("country", "left_name", "right_name").distinct()
+    apart = F.bit_count(F.col("left_bits").bitwiseXOR(F.col("right_bits")))
+    near = (shorter >= longer * least - 1e-9) & (apart <= (F.col("left_size") + F.col("right_size")) * ((1 - least) / (1 + least)) + 1e-9)
+    met = met.filter(near).select("left_id", "right_id").distinct()
     for side in ("left", "right"):
-        met = met.join(names.select("country", F.col("name").alias(f"{side}_name"), F.col("grams").alias(f"{side}_grams")), ["country", f"{side}_name"])
+        more = ["country"] if side == "left" else []
+        met = met.join(names.select(*more, F.col("name_id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"), F.col("grams").alias(f"{side}_grams")), f"{side}_id")
     shared = F.size(F.array_intersect("left_grams", "right_grams"))
     met = met.withColumn("similarity", shared / (F.size("left_grams") + F.size("right_grams") - shared))
     return met.filter(F.col("similarity") >= least).select("country", "left_name", "right_name", "similarity")
 
 
+def head_keys() -> Column:
+    """Keys of a name by its ids, rarest first, and the number it must share: all twos of its first size - shared + 2; for
+    a name that need share one only, its first size - shared + 1 too."""
+    twos = "flatten(transform(slice(ids, 1, size - shared + 2), (x, i) -> transform(slice(ids, i + 2, greatest(0, size - shared + 1 - i)), y -> xxhash64(x, y))))"
+    ones = "transform(slice(ids, 1, size - shared + 1), x -> xxhash64(x))"
+    return F.expr(f"array_distinct(if(shared < 2, concat({twos}, {ones}), {twos}))")
+
+
+def bit_set() -> Column:
+    """64 bits, one set for each id by its hash."""
+    return F.expr("aggregate(ids, 0L, (a, g) -> a | shiftleft(1L, cast(pmod(xxhash64(g), 64) as int)))")
+
+
 def qgram_pairs(source1: DataFrame, target: DataFrame, least: float = 0.6, q: int = 3, column: str = "business_name_normalized") -> DataFrame:
     """source1_entity_id, candidate_entity_id of records of one country with similar names."""
 

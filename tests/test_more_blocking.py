@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import enrich
 from kindred.operators.blocking import candidate_pairs, key_index
 from kindred.operators.neighbours import neighbour_pairs
-from kindred.operators.qgrams import qgram_pairs, similar_names
+from kindred.operators.qgrams import head_keys, qgram_pairs, qgrams, similar_names
 
 SCHEMA = "entity_id string, business_name string, business_address string, country string"
 
@@ -50,6 +50,22 @@ def test_qgrams_equal_brute_force(spark):
     assert similar_names(names, names, 1.0).filter("left_name <> right_name and similarity < 1").count() == 0
 
 
+def test_qgrams_that_meet_are_few(spark):
+    """Random names that share single q-grams only are not brought together; short names of one q-gram are."""
+    draw = random.Random(7)
+    names = [("Peru", "".join(draw.choices("abcdefgh", k=14))) for _ in range(1500)] + [("Peru", "ab"), ("Peru", "abc"), ("Peru", "abcd")]
+    table = spark.createDataFrame(names, "country string, name string")
+    keys = table.withColumn("ids", F.transform(qgrams(F.col("name"), 3), lambda g: F.xxhash64(g))).withColumn("size", F.size("ids")).withColumn("shared", F.ceil(F.col("size") * 0.6).cast("int"))
+    once = keys.select("name", F.explode(head_keys()).alias("key"))
+    by_one = keys.select("name", F.explode(F.slice("ids", F.lit(1), F.col("size") - F.col("shared") + 1)).alias("key"))
+    assert once.join(once.withColumnRenamed("name", "other"), "key").count() < by_one.join(by_one.withColumnRenamed("name", "other"), "key").count() / 2
+    got = {(r.left_name, r.right_name) for r in similar_names(table, table, 0.6, 3).collect()}
+    grams = lambda s: {s[i : i + 3] for i in range(max(1, len(s) - 2))}
+    sets = [(n, grams(n)) for _, n in names]
+    assert got == {(x, y) for x, g in sets for y, h in sets if len(g & h) / len(g | h) >= 0.6}
+    assert got >= {("ab", "ab"), ("abc", "abc")}
+
+
 def test_each_source_is_normalised_once(spark):
     """What is counted, cut and joined reads stored keys: no plan folds text, and an index serves several targets."""
     plain = lambda prefix: spark.createDataFrame([(f"{prefix}-{i}", f"name {i % 7} é", "5 Low Road", "Peru") for i in range(40)], SCHEMA)
