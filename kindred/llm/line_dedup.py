@@ -12,9 +12,9 @@ words begins one in it.
 Units that occur more than once are removed everywhere but at their first place (least doc_id, then line).
 A line goes if any removed unit holds it; the first place of a unit stays, less what repeats an earlier one.
 
-Units are found by 128-bit hashes of their lines' hashes; the lines of repeated units are then compared byte
-by byte, all texts of a line's hash in one aggregate, and a unit with a line whose hash stands for two
-texts is left in place. Nothing but hashes and places is shuffled for all rows; a unit with very many places
+Units are found by 128-bit hashes of their lines' hashes; the texts of repeated units, at the first place and at
+all others, are then compared byte by byte in one aggregate, and a unit whose hash stands for two texts is left in
+place. Nothing but hashes and places is shuffled for all rows; a unit with very many places
 is one row after partial aggregation, and what is joined with it is not shuffled.
 
 Only DataFrame functions are used. A null text stays null and has no lines; a null doc_id sorts first.
@@ -105,17 +105,12 @@ def units_of(text: str, long_line: int) -> Column:
     return _let(F.split(F.col(text), "\n"), found)
 
 
-def _doubtful(rows: DataFrame, later: DataFrame) -> DataFrame:
-    """key of repeated units with a line whose hash stands for more than one text: none, if hashes are good."""
-    held = later.groupBy("who").agg(F.collect_list(F.struct("start", "n", "key")).alias("held"))
-    lines = rows.join(held, "who").select(F.explode(F.split("text", "\n")).alias("line"))
-    texts = lines.groupBy(line_digest(F.col("line")).alias("digest")).agg(F.min("line").alias("least"), F.max("line").alias("most"))
-    wrong = materialize(texts.filter("least <> most").select("digest"), "doubtful")
-    if not wrong.limit(1).count():
-        return later.select("key").limit(0)
-    own = rows.join(held, "who").select(F.explode("held").alias("u"), F.split("text", "\n").alias("lines"))
-    each = own.select("u.key", F.explode(F.transform(F.slice("lines", F.col("u.start") + 1, F.col("u.n")), line_digest)).alias("digest"))
-    return each.join(wrong, "digest", "left_semi").select("key").distinct()
+def _doubtful(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """key of units whose places, the first among them, do not hold one text: none, if hashes are good."""
+    held = held.groupBy("who").agg(F.collect_list(F.struct("start", "n", "key")).alias("held"))
+    own = rows.select("who", "text").join(held, "who").select(F.explode("held").alias("u"), F.split("text", "\n").alias("lines"))
+    texts = own.select("u.key", F.array_join(F.slice("lines", F.col("u.start") + 1, F.col("u.n")), "\n").alias("unit"))
+    return texts.groupBy("key").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).filter("least <> most").select("key")
 
 
 def repeated_units(docs: DataFrame, long_line: int = 50) -> DataFrame:
@@ -127,11 +122,12 @@ def repeated_units(docs: DataFrame, long_line: int = 50) -> DataFrame:
     place = F.struct("doc_id", "who", "start")
     groups = places.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times")).filter("first <> last")
     groups = materialize(groups.select("key", "first", "times"), "repeats")
-    later = join_groups(places, groups, "key", "times", places.count())
-    later = materialize(later.filter(place != F.col("first")).select("who", "doc_id", "start", "n", "key").distinct(), "later")
+    met = join_groups(places, groups, "key", "times", places.count())
+    met = materialize(met.select("who", "doc_id", "start", "n", "key", (place != F.col("first")).alias("later")).distinct(), "later")
     discard(places)
     discard(groups)
-    return later.join(_doubtful(rows, later), "key", "left_anti").select("who", "doc_id", "start", "n")
+    wrong = materialize(_doubtful(rows, met), "doubtful")
+    return met.filter("later").join(wrong, "key", "left_anti").select("who", "doc_id", "start", "n")
 
 
 def remove_repeats(docs: DataFrame, long_line: int = 50, removed: str = "removed_lines") -> DataFrame:

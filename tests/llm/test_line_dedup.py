@@ -101,6 +101,15 @@ def test_equal_hashes_are_not_equal_lines(spark, monkeypatch):
     assert got == {1: "one\ntwo", 2: "other\ntree", 3: "one\ntwo", 4: "ax\nbx", 5: ""}
 
 
+def test_a_first_place_is_compared_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "line_digest", lambda line: F.md5(F.substring(line, 1, 1).cast("binary")))
+    rows = [(1, "one\ntwo"), (2, "other\ntree"), (4, "ax\nbx"), (5, "ax\nbx")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "one\ntwo", 2: "other\ntree", 4: "ax\nbx", 5: ""}
+
+
 def test_a_passage_spread_over_blank_lines(spark):
     spread = "\n\n\n".join(f"w{i}" for i in range(51))
     few = "\n\n\n".join(f"v{i}" for i in range(50))
