@@ -37,7 +37,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
-    return [fn.enrich(testrecords.records(spark, d, n)) for n in names]
+    """Enriched records; written, as keys, rules, features and reports each read them."""
+    return [written(fn.enrich(testrecords.records(spark, d, n)), n) for n in names]
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:

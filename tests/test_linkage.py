@@ -225,3 +225,15 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(s2.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     match_stream(s1, stream, str(tmp_path / "out"), str(tmp_path / "ck"), 0.5).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() > 50
+
+
+def test_records_are_made_by_many_tasks_and_once(spark):
+    """A table of one row group does not make one task of all that is computed from it, and nothing is normalised twice."""
+    from kindred.plans import queries
+    from kindred.sources import testrecords
+
+    d = "/root/testdata/sf0.001"
+    assert all(testrecords.records(spark, d, s).rdd.getNumPartitions() >= 4 for s in ("s1", "s2", "s3"))
+    for name in ("block_postal", "rule_scores", "missed_pairs", "norm_audit"):
+        plan = queries.QUERIES[name](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ArrowEval" not in plan and "md5" not in plan.split("Join")[0], name
