@@ -9,8 +9,11 @@ last test is on all 256 bits. What is left is compared exactly; only pairs at 0.
 
 Two rounds keep dense groups cheap. The first takes, of each run of close fingerprints, neighbours in Gray order only: a
 group of copies costs a chain. The second takes all candidates between texts that the first has not yet joined, and
-passes over nodes of the index that lie within one component. Nothing is capped: a group of many texts that are all
-near in bits, and below 0.8 to each other, is compared pair by pair.
+passes over nodes of the index that lie within one component. Texts that have such a candidate are given a parity map:
+each shingle turns one of about twice as many bits as the text has shingles. Two maps differ in no more bits than the
+sets differ in shingles, so a pair whose maps differ too much is below 0.8, without doubt, and is dropped within its group,
+before it is a row. Nothing is capped: the maps of a group of many texts that are all near in bits are compared pair by
+pair, some hundred thousand at a time.
 
 Texts are told apart by 128 bits of their word sequence. Nulls: a null text is an empty one; texts without words are
 alike. Rows equal in key and text are copies. An empty table gives an empty one. A text's words are held at once.
@@ -39,6 +42,8 @@ DIFFERING, MEETING = 0.17, 0.97
 #: Most differing bits of a candidate: of all 256, of the first 64, and of the first 64 in the first round.
 RADIUS, RADIUS_FIRST, RADIUS_CLOSE = 60, 21, 6
 BROADCAST_ROWS = 500_000
+#: Least and most bits of a parity map, as powers of two, and the bytes of maps compared at once.
+MAP_LEAST, MAP_MOST, MAP_BYTES = 8, 14, 1 << 24
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 _WORDS = ["w0", "w1", "w2", "w3"]
@@ -101,8 +106,36 @@ def tables_for(count: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - MEETING) / math.log(1 - (1 - DIFFERING) ** bits))
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Bits that are one where an odd number of the shingles falls: a power of two, twice as many as shingles or more."""
+    bits = 1 << min(MAP_MOST, max(MAP_LEAST, (2 * len(hashes) - 1).bit_length()))
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def maps_allow(sizes: np.ndarray, maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of places, False where the maps prove a similarity below the least: a larger map is folded first.
+
+    At 0.8 or more two sets differ in a ninth of their sizes' sum at most, and the smaller has four fifths of the larger.
+    """
+    both = sizes[i] + sizes[j]
+    out = 10 * np.minimum(sizes[i], sizes[j]) >= 8 * np.maximum(sizes[i], sizes[j])
+    width = np.fromiter(map(len, maps), np.int64, len(maps))
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least[out]).tolist():
+        at = np.flatnonzero(out & (least == w))
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        table = np.zeros((len(used), w // 8), np.uint64)
+        for row, u in enumerate(used.tolist()):
+            table[row] = np.bitwise_xor.reduce(np.frombuffer(maps[u], np.uint64).reshape(-1, w // 8), axis=0)
+        left, right = place[: len(at)], place[len(at) :]
+        for start in range(0, len(at), step := max(1, MAP_BYTES // w)):
+            part = slice(start, start + step)
+            out[at[part]] = 9 * _distance(table, left[part], right[part]) <= both[at[part]]
+    return out
+
+
 def _banded(prints: DataFrame, count: int) -> DataFrame:
-    """t, band and the columns of prints (node, label, w0 .. w3), a row for each table."""
+    """t, band and the columns of prints (node, label, w0 .. w3, others), a row for each table."""
     bits, tables = tables_for(count)
     draw = np.random.default_rng(20)
     chosen = [draw.choice(256, bits, replace=False) for _ in range(tables)]
@@ -116,7 +149,7 @@ def _banded(prints: DataFrame, count: int) -> DataFrame:
                     band = band << np.uint64(1) | words[p >> 6] >> np.uint64(p & 63) & np.uint64(1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(band.view(np.int64)), *batch.columns], ["t", "band", *batch.schema.names])
 
-    return prints.mapInArrow(run, "t int, band long, node binary, label binary, w0 long, w1 long, w2 long, w3 long")
+    return prints.mapInArrow(run, "t int, band long, " + ", ".join(f"{c} {kind}" for c, kind in prints.dtypes))
 
 
 def _distance(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -134,13 +167,13 @@ def close_chains(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.n
     return i[near], j[near]
 
 
-def apart_pairs(group: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a group within the radius whose labels differ, by the Gray-order hierarchical index."""
+def apart_pairs(group: np.ndarray, words: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a group within the radius whose labels differ, by the Gray-order hierarchical index, part by part."""
     order = np.lexsort((gray_rank(words[:, 0]), group))
     group, words, label = group[order], words[order], label[order]
-    n, found = len(order), []
+    n = len(order)
     if not n:
-        return order, order
+        return
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     levels, starts, ends = [], edges, np.append(edges[1:], n)
     ones = ands = words[:, 0]
@@ -182,27 +215,20 @@ def apart_pairs(group: np.ndarray, words: np.ndarray, label: np.ndarray) -> tupl
             ahead = (left < right) & (label[left] != label[right])
             left, right = left[ahead], right[ahead]
             near = _distance(words, left, right) <= RADIUS
-            found.append((left[near], right[near]))
-    if not found:
-        return order[:0], order[:0]
-    return order[np.concatenate([f[0] for f in found])], order[np.concatenate([f[1] for f in found])]
+            yield order[left[near]], order[right[near]]
+
 
+def _grouped(prints: DataFrame, count: int, of_groups, schema: str) -> DataFrame:
+    """What of_groups gives for whole groups: group numbers, words, and the rows as an Arrow table."""
 
-def _candidates(prints: DataFrame, count: int, first: bool) -> DataFrame:
-    """a, b: candidate pairs of nodes, the lesser first."""
+    most = ROWS_AT_ONCE // (32 if "map" in prints.columns else 4)
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         t, band = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in range(2))
         words = np.stack([rows.column(w).combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64) for w in _WORDS], 1)
         group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (band[1:] != band[:-1])]))
-        if first:
-            i, j = close_chains(group, words)
-        else:
-            code = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            i, j = apart_pairs(group, words, code)
-        node = rows.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
+        return of_groups(group, words, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -211,7 +237,7 @@ def _candidates(prints: DataFrame, count: int, first: bool) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size > ROWS_AT_ONCE // 4:
+            if size > most:
                 t, band = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
                 edges = np.flatnonzero((t[1:] != t[:-1]) | (band[1:] != band[:-1])) + 1
                 if len(edges):
@@ -222,14 +248,70 @@ def _candidates(prints: DataFrame, count: int, first: bool) -> DataFrame:
             yield pairs(held)
 
     rows = _banded(prints, count).repartition("t", "band").sortWithinPartitions("t", "band")
-    found = rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(run, schema)
+
+
+def _chained(prints: DataFrame, count: int) -> DataFrame:
+    """a, b: neighbours in Gray order, the candidates of the first round."""
+
+    def of_groups(group, words, rows):
+        i, j = close_chains(group, words)
+        node = rows.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
+
+    found = _grouped(prints, count, of_groups, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _labels(rows: pa.Table) -> np.ndarray:
+    return rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _with_candidates(labelled: DataFrame, count: int) -> DataFrame:
+    """node: texts that have a candidate in another component; a row a text, however many it has."""
+
+    def of_groups(group, words, rows):
+        has = np.zeros(len(group), bool)
+        for i, j in apart_pairs(group, words, _labels(rows)):
+            has[i] = has[j] = True
+        return pa.RecordBatch.from_arrays([rows.column("node").combine_chunks().take(pa.array(np.flatnonzero(has)))], ["node"])
+
+    return _grouped(labelled, count, of_groups, "node binary").distinct()
+
+
+def _apart(mapped: DataFrame, count: int) -> DataFrame:
+    """a, b: candidates in different components that their parity maps allow to be similar enough."""
+
+    def of_groups(group, words, rows):
+        sizes, maps = rows.column("size").to_numpy(), rows.column("map").to_pylist()
+        found = [(group[:0], group[:0])]
+        for i, j in apart_pairs(group, words, _labels(rows)):
+            kept = maps_allow(sizes, maps, i, j)
+            found.append((i[kept], j[kept]))
+        node = rows.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate([f[k] for f in found]))) for k in (0, 1)], ["a", "b"])
+
+    found = _grouped(mapped, count, of_groups, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar enough; rows: who and text, owners: each node and the who of one row with its text."""
-    pairs = materialize(pairs, "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _with_maps(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of labelled that have a set, with its size and its parity map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, maps = [], []
+            for shingles in batch.column("shingles"):
+                hashes = shingles.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                sizes.append(len(hashes))
+                maps.append(parity_map(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], ["node", "size", "map"])
+
+    return labelled.join(sets.mapInArrow(run, "node binary, size long, map binary"), "node")
+
+
+def _sets(nodes: DataFrame, rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """node, shingles of the nodes; rows: who and text, owners: each node and the who of one row with its text."""
     wanted = materialize(owners.join(nodes, "node", "left_semi"), "wanted")
     # 48 bytes a row; where there are more rows, texts are shuffled to them.
     near = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -243,12 +325,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, owners: DataFrame) -> DataFrame
 
     texts = rows.join(near, "who").select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     sets = materialize(texts.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+    discard(wanted)
+    return sets
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
     met = pairs.join(sets.withColumnRenamed("node", "a").withColumnRenamed("shingles", "x"), "a").join(sets.withColumnRenamed("node", "b").withColumnRenamed("shingles", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    linked = materialize(met.filter(shared >= (F.size("x") + F.size("y") - shared) * F.lit(SIMILARITY) - 1e-9).select("a", "b"), "linked")
-    for table in (sets, wanted, pairs):
-        discard(table)
-    return linked
+    return materialize(met.filter(shared >= (F.size("x") + F.size("y") - shared) * F.lit(SIMILARITY) - 1e-9).select("a", "b"), "linked")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,10 +349,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     count = distinct.count()
     owners, texts = distinct.select("node", F.col("own.who").alias("who")), rows.select("who", "text")
     alone = distinct.select("node", F.col("node").alias("label"), *_WORDS)
-    first = _verified(_candidates(alone, count, True), texts, owners)
+    chained = materialize(_chained(alone, count), "candidates")
+    sets = _sets(chained.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, owners)
+    first = _linked(chained, sets)
+    for table in (sets, chained):
+        discard(table)
     roots = components(first, name="close")
     labelled = materialize(distinct.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), *_WORDS), "labelled")
-    second = _verified(_candidates(labelled, count, False), texts, owners)
+    sets = _sets(_with_candidates(labelled, count), texts, owners)
+    second = _linked(_apart(_with_maps(labelled, sets), count), sets)
+    discard(sets)
     roots = components(first.unionByName(second), name="near")
     rooted = materialize(distinct.join(roots, "node", "left").select("own", F.coalesce("root", "node").alias("root")), "rooted")
     kept = rooted.groupBy("root").agg(F.min("own").alias("best")).select(F.col("best.who").alias("who"))

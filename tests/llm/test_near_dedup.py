@@ -1,7 +1,10 @@
 import itertools
 import random
 
-from kindred.llm.near_dedup import deduplicate
+import numpy as np
+
+from kindred.llm import near_dedup
+from kindred.llm.near_dedup import deduplicate, maps_allow, parity_map
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,31 @@ def test_recall_and_no_false_link_on_the_tables(spark):
     got = {r[0] for r in deduplicate(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id").collect()}
     want = {d[0] for d in brute_kept(docs)}
     assert want <= got and len(docs) - len(got) >= 0.9 * (len(docs) - len(want)) and len(want) < len(docs)
+
+
+def test_parity_maps_drop_no_similar_pair_and_most_others():
+    draw = np.random.default_rng(5)
+    sets = [np.zeros(0, np.uint64)]
+    for size in (1, 5, 30, 130, 700, 3000, 20_000):
+        whole = draw.integers(0, 1 << 63, size, np.uint64)
+        for share in (0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.2, 0.4):
+            own = whole.copy()
+            own[: int(share * size)] = draw.integers(0, 1 << 63, int(share * size), np.uint64)
+            sets.append(np.unique(own[int(share * size / 5) :]))
+    i, j = map(np.array, zip(*itertools.combinations(range(len(sets)), 2)))
+    allowed = maps_allow(np.array([len(s) for s in sets]), [parity_map(s) for s in sets], i, j)
+    shared = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)]
+    alike = np.array([10 * s >= 8 * (len(sets[a]) + len(sets[b]) - s) for s, a, b in zip(shared, i, j)])
+    assert alike.any() and allowed[alike].all() and (allowed & ~alike).sum() < 0.02 * (~alike).sum() + 5
+
+
+def test_a_group_of_near_texts_below_the_similarity_gives_few_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):  # one edit in about 19 words: two texts share about 0.6
+        rows.append((i, " ".join(f"x{i}-{k}" if draw.random() < 0.05 else w for k, w in enumerate(base))))
+    seen, linked = [], near_dedup._linked
+    monkeypatch.setattr(near_dedup, "_linked", lambda pairs, sets: seen.append(pairs.count()) or linked(pairs, sets))
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(brute_kept(rows)) and max(seen) < 10 * len(rows)
