@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kindred.functions.constants import STREET_WORDS, UNIT_WORDS
+from kindred.functions.once import once
 
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 SOLID = r"[^\s\x1c-\x1f\x85\p{Z}]"
@@ -73,9 +74,14 @@ _LABELLED = rf"(?i){LEFT}(?:{LABELS})(?!\p{{L}}{{3}}){BLANK}*[:#-]?{BLANK}*([A-Z
 
 def postal_code(address: Column) -> Column:
     """The address's postal code, empty if there is none."""
-    text = F.regexp_replace(F.coalesce(address, F.lit("")), rf"^{BLANK}+|{BLANK}+$", "")
+    return once(F.regexp_replace(F.coalesce(address, F.lit("")), rf"^{BLANK}+|{BLANK}+$", ""), _code)
+
+
+def _code(text: Column) -> Column:
+    """The code of a text without blanks at its ends. No rule searches more than once, nor behind one that found."""
     found = lambda pattern: F.regexp_extract(text, pattern, 1)
     compact = lambda code: F.upper(F.replace(code, F.lit(" "), F.lit("")))
+
     def code_of(label: Column) -> Column:
         return (
             F.when(label.rlike(f"^(?:{ZIP}(?:-[0-9]{{4}})?|{PIN})$"), label)
@@ -84,7 +90,6 @@ def postal_code(address: Column) -> Column:
             .otherwise("")
         )
 
-    # A lambda's variable: the search is done once, whatever the number of shapes it is held against.
-    labelled = F.get(F.transform(F.array(F.trim(F.regexp_replace(found(_LABELLED), BLANK, " "))), code_of), F.lit(0))
+    labelled = once(F.trim(F.regexp_replace(found(_LABELLED), BLANK, " ")), code_of)
     rules = [found(_first(ZIP4)), labelled, compact(found(_first(CANADIAN))), F.upper(found(_first(BRITISH))), found(_PIN), found(_ZIP_INSIDE), found(_ZIP_LAST)]
-    return F.coalesce(*[F.nullif(code, F.lit("")) for code in rules], F.lit(""))
+    return F.coalesce(*[once(code, lambda c: F.when(c != "", c)) for code in rules], F.lit(""))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kindred.functions.constants import DERIVED, LEGAL_PREFIXES, LEGAL_SUFFIXES, RECORD, WEB_ENDINGS
+from kindred.functions.once import once
 from kindred.functions.postal import postal_code
 
 WORD = r"\p{L}\p{N}_"
@@ -42,7 +43,8 @@ def strip_latin_diacritics(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    # Single spaces, nearly all blanks there are, stay as they are.
+    return F.trim(F.regexp_replace(text, f"[{BLANK}]{{2,}}|[{BLANK}&&[^ ]]", " "))
 
 
 def normalize_folded(folded: Column) -> Column:
@@ -51,9 +53,10 @@ def normalize_folded(folded: Column) -> Column:
     before, after = f"(?<![{WORD}])", f"(?![{WORD}])"
     # Between word characters "<null>" goes with its brackets; elsewhere only the word goes.
     null = f"(?<=[{WORD}])<(?:null|none)>(?=[{WORD}])|{before}(?:null|none){after}"
-    out = F.regexp_replace(F.lower(F.coalesce(folded, F.lit(""))), null, " ")
-    out = F.regexp_replace(out, "&", " and ")
-    out = F.regexp_replace(out, rf"(?<=[{BLANK}])\+(?=[{BLANK}])", " and ")
+    lone = rf"(?<=[{BLANK}])\+(?=[{BLANK}])"
+    # Look-behinds are tried at every place of a text: only where their word or sign is there at all.
+    out = once(F.lower(F.coalesce(folded, F.lit(""))), lambda t: F.when(t.contains("null") | t.contains("none"), F.regexp_replace(t, null, " ")).otherwise(t))
+    out = once(out, lambda t: F.when(t.contains("&") | t.contains("+"), F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), lone, " and ")).otherwise(t))
     return collapse(F.regexp_replace(out, f"^{edge}|{edge}$", " "))
 
 
@@ -63,7 +66,8 @@ def normalize_text(text: Column) -> Column:
 
 def business_name_of(normalized: Column) -> Column:
     """normalize_business_name for a normalised text."""
-    out = F.regexp_replace(normalized, rf"(?<=(?<![{WORD}])[a-zA-Z])\.(?=[a-zA-Z](?![{WORD}]))", "")
+    initial = rf"(?<=(?<![{WORD}])[a-zA-Z])\.(?=[a-zA-Z](?![{WORD}]))"
+    out = once(normalized, lambda t: F.when(t.contains("."), F.regexp_replace(t, initial, "")).otherwise(t))
     return collapse(F.regexp_replace(F.regexp_replace(out, r"[-_/\\|+]+", " "), r"[\p{P}\p{S}]", " "))
 
 
@@ -94,7 +98,7 @@ def address_of(normalized: Column) -> Column:
     out = F.regexp_replace(normalized, r"""['"`’‘\[\](){}<>#@~*^$]""", " ")
     out = F.regexp_replace(out, f"[{BLANK}]*,[{BLANK}]*", ", ")
     out = F.regexp_replace(out, f"(?:,[{BLANK}]*)+,", ",")
-    out = F.regexp_replace(out, "(?<![a-zA-Z0-9])-|-(?![a-zA-Z0-9])", " ")
+    out = once(out, lambda t: F.when(t.contains("-"), F.regexp_replace(t, "(?<![a-zA-Z0-9])-|-(?![a-zA-Z0-9])", " ")).otherwise(t))
     out = F.regexp_replace(out, f"[^{WORD}{BLANK},/-]", " ")
     return collapse(F.regexp_replace(out, f"^[{BLANK},]+|[{BLANK},]+$", ""))
 
@@ -123,7 +127,8 @@ def normalize_country(country: Column) -> Column:
 
 
 def strip_web_domain(token: Column) -> Column:
-    return F.regexp_replace(F.lower(token), rf"(?<=.)\.({'|'.join(WEB_ENDINGS)})$", "")
+    ending = rf"(?<=.)\.({'|'.join(WEB_ENDINGS)})$"
+    return once(F.lower(token), lambda t: F.when(t.contains("."), F.regexp_replace(t, ending, "")).otherwise(t))
 
 
 def enrich(records: DataFrame) -> DataFrame:

@@ -99,10 +99,12 @@ def candidate_pairs(
     for kind, most in limits.items():
         common = common | ((F.col("kind") == kind) & (F.col("r") > most))
     cells = lambda n: F.ceil(F.col(n) / F.lit(hot)).cast("long")
+    # All keys are counted in one pass; the few that something is done about are written, and read for marks and for limits.
+    counts = written(counts.select(*KEY, "l", "r", common.alias("common")).filter((F.col("l") > hot) | (F.col("r") > hot) | F.col("common")), "counts")
     # One key in `hot` rows at most, so that it can be broadcast: 24 bytes and the key for each.
     marks = counts.filter((F.col("l") > hot) | (F.col("r") > hot)).select(*KEY, F.greatest(cells("l"), F.lit(1)).alias("lc"), F.greatest(cells("r"), F.lit(1)).alias("rc"))
     if limits:
-        right = right.join(counts.filter(common).select(*KEY), KEY, "left_anti")
+        right = right.join(counts.filter("common").select(*KEY), KEY, "left_anti")
     if address_counts is not None:
         known = address_counts.filter(F.col("n") > max_df).select("country", F.lit("address").alias("kind"), "key")
         right = right.join(known, KEY, "left_anti")

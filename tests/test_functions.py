@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions import text as fn
 from kindred.functions.postal import postal_code
+from kindred.operators import blocking
 
 NAMES = [  # raw, normalised, core
     ("QRS PVT. LTD.", "qrs pvt ltd", "qrs"), ("Qrs  Pvt Ltd", "qrs pvt ltd", "qrs"), ("  LUNA   CORPORATION ", "luna corporation", "luna"),
@@ -127,3 +128,19 @@ def test_similarities():
     assert sim.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
     assert sim.jaro_winkler("abcdxyz", "abcqrst") == pytest.approx(0.619048, abs=1e-6)
     assert sim.token_set("a b c", "c a") == 1.0 and sim.token_set("", "") == 1.0 and sim.token_set("", "a") == 0.0
+
+
+def test_keys_are_counted_before_they_are_joined(spark):
+    rows = spark.createDataFrame([("a", "Luna Works", "12 Fir Road, CA 12345", "US")], "entity_id string, business_name string, business_address string, country string")
+    pairs = blocking.candidate_pairs(rows, rows)
+    assert "sum(l" not in pairs._jdf.queryExecution().optimizedPlan().toString() and pairs.count() == 1
+
+
+def test_gated_rules_see_what_they_are_for(spark):
+    texts = ["none", "a<null>b", "x & y + z+", "a.b.c  d", "-a -b c-d- e", "\t a   b c d", "shop.com", "com", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    t = F.col("t")
+    rows = df.select(fn.normalize_text(t), fn.normalize_business_name(t), fn.normalize_address(t), fn.strip_web_domain(t)).collect()
+    assert [r[0] for r in rows] == ["", "a b", "x and y and z", "a.b.c d", "a -b c-d- e", "a b c d", "shop.com", "com", ""]
+    assert [r[1] for r in rows][2:5] == ["x and y and z", "abc d", "a b c d e"]
+    assert [r[2] for r in rows][4] == "a b c-d e" and [r[3] for r in rows][6:] == ["shop", "com", None]
