@@ -78,7 +78,7 @@ def postal_code(address: Column) -> Column:
 
 
 def _code(text: Column) -> Column:
-    """The code of a text without blanks at its ends. No rule searches more than once, nor behind one that found."""
+    """The code of a text without blanks at its ends."""
     found = lambda pattern: F.regexp_extract(text, pattern, 1)
     compact = lambda code: F.upper(F.replace(code, F.lit(" "), F.lit("")))
 
