@@ -17,13 +17,14 @@ from __future__ import annotations
 import public_tokenizers
 
 from kindred.llm import quality, tokens
-from kindred.llm.common import fresh_name, load, materialize, scratch_path
+from kindred.llm.common import fresh_name, load, materialize, scratch_path, small_batches
 from kindred.llm.decontaminate import clean_documents
 from kindred.llm.mixing import mixed
 from kindred.llm.near_dedup import deduplicate
 
-#: Words whose ids the token stage keeps in a task: executors hold what earlier stages grew to.
-CACHE_WORDS = 300_000
+#: Words whose ids the token stage keeps in a task, texts of its Arrow batches, and code points it cuts at once: executors
+#: hold what earlier stages grew to.
+CACHE_WORDS, TEXTS, AT_ONCE = 300_000, 500, 1 << 20
 
 
 def quality_classifier(spark, docs, sf_dir):
@@ -49,7 +50,8 @@ def source_mixing(spark, docs, sf_dir):
 def token_ids(spark, docs, sf_dir):
     """Token-ID files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_path(spark, "ids")
-    tokens.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), cache_words=CACHE_WORDS)
+    with small_batches(spark, TEXTS):
+        tokens.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), cache_words=CACHE_WORDS, at_once=AT_ONCE)
     return tokens.read_documents(spark, path)
 
 

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import discard, identity, materialize
+from kindred.llm.common import discard, identity, materialize, small_batches
 from kindred.llm.components import components
-from kindred.llm.simhash import FAN, LEAF, PAIRS_AT_ONCE, ROWS_AT_ONCE, _levels, gray_rank, link_groups
+from kindred.llm.simhash import FAN, LEAF, _levels, gray_rank, link_groups
 
 WIDTH, SIMILARITY = 5, 0.8
 #: The share of bits in which a pair at the similarity differs, and the chance to meet that tables are made for.
@@ -42,8 +42,10 @@ DIFFERING, MEETING = 0.17, 0.97
 #: Most differing bits of a candidate: of all 256, of the first 64, and of the first 64 in the first round.
 RADIUS, RADIUS_FIRST, RADIUS_CLOSE = 60, 21, 6
 BROADCAST_ROWS = 500_000
+#: What a task holds: texts of an Arrow batch, rows of whole groups without and with maps (one group at least), pairs compared at once.
+TEXTS_AT_ONCE, ROWS_AT_ONCE, MAPS_AT_ONCE, PAIRS_AT_ONCE = 500, 1 << 16, 1 << 13, 1 << 17
 #: Least and most bits of a parity map, as powers of two, and the bytes of maps compared at once.
-MAP_LEAST, MAP_MOST, MAP_BYTES = 8, 14, 1 << 24
+MAP_LEAST, MAP_MOST, MAP_BYTES = 8, 14, 1 << 22
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 _WORDS = ["w0", "w1", "w2", "w3"]
@@ -153,7 +155,10 @@ def _banded(prints: DataFrame, count: int) -> DataFrame:
 
 
 def _distance(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
+    out = np.zeros(len(i), np.int64)
+    for column in words.T:
+        out += np.bitwise_count(column[i] ^ column[j])
+    return out
 
 
 def close_chains(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +226,7 @@ def apart_pairs(group: np.ndarray, words: np.ndarray, label: np.ndarray) -> Iter
 def _grouped(prints: DataFrame, count: int, of_groups, schema: str) -> DataFrame:
     """What of_groups gives for whole groups: group numbers, words, and the rows as an Arrow table."""
 
-    most = ROWS_AT_ONCE // (32 if "map" in prints.columns else 4)
+    most = MAPS_AT_ONCE if "map" in prints.columns else ROWS_AT_ONCE
 
     def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
@@ -318,13 +323,12 @@ def _sets(nodes: DataFrame, rows: DataFrame, owners: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingle_hashes(words_of(t.as_buffer().to_pybytes())).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            sets = [shingle_hashes(words_of(t.as_buffer().to_pybytes())).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = rows.join(near, "who").select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    sets = materialize(texts.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
+    with small_batches(rows.sparkSession, TEXTS_AT_ONCE):
+        sets = materialize(texts.mapInArrow(run, "node binary, shingles array<bigint>").dropDuplicates(["node"]), "shingles")
     discard(wanted)
     return sets
 
@@ -342,7 +346,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Of rows equal in key and text that with the least identity of all columns stays. Columns may have any names.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), identity(key, text).alias("who"), F.col(text).alias("text"))
-    prints = materialize(_prints(rows), "prints")
+    with small_batches(docs.sparkSession, TEXTS_AT_ONCE):
+        prints = materialize(_prints(rows), "prints")
     best = F.struct(F.col("key").isNull().alias("none"), "key", "who")
     distinct = prints.groupBy("node").agg(F.min(best).alias("own"), *[F.min(w).alias(w) for w in _WORDS])
     distinct = materialize(distinct, "texts")

@@ -341,13 +341,13 @@ class Shard:
         return self._expand(self.symbols[a : z + 1])[start - before : start - before + count]
 
 
-def _encoded(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+def _encoded(encoder: Encoder, batch: pa.RecordBatch, most: int = SLICE) -> Iterator[tuple[int | None, np.ndarray]]:
     """Keys and ids of a batch's texts, some texts at a time."""
     keys, texts = batch.column(0).to_pylist(), batch.column(1)
     at = 0
     while at < len(keys):
         group, size = [], 0
-        while at + len(group) < len(keys) and size < SLICE:
+        while at + len(group) < len(keys) and size < most:
             group.append(texts[at + len(group)].as_py())
             size += len(group[-1])
         yield from zip(keys[at : at + len(group)], encoder.encode_batch(group), strict=True)
@@ -379,8 +379,11 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
 FIELDS = "part int, seq int, before long, within long, n_ids long, open boolean, doc_ids binary, known binary, blob binary"
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS, cache_words: int = CACHE_WORDS) -> None:
-    """Write the ids of all documents to path, in ascending doc_id order of (part, seq) and within a shard."""
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS, cache_words: int = CACHE_WORDS, at_once: int = SLICE) -> None:
+    """Write the ids of all documents to path, in ascending doc_id order of (part, seq) and within a shard.
+
+    at_once: texts of so many code points in all, or one text, are cut into words together.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -407,7 +410,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for key, own in _encoded(encoder, batch):
+            for key, own in _encoded(encoder, batch, at_once):
                 own = np.concatenate([own, end])
                 if ids and held + len(own) > shard_ids:
                     yield flush(False)
@@ -423,6 +426,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard
                 held += len(own) - done
         if ids:
             yield flush(False)
+        # The worker may serve other steps next.
+        pa.default_memory_pool().release_unused()
 
     rows.mapInArrow(run, FIELDS).write.parquet(path)
 

@@ -95,3 +95,14 @@ def test_a_group_of_near_texts_below_the_similarity_gives_few_pairs(spark, monke
     monkeypatch.setattr(near_dedup, "_linked", lambda pairs, sets: seen.append(pairs.count()) or linked(pairs, sets))
     got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(brute_kept(rows)) and max(seen) < 10 * len(rows)
+
+
+def test_texts_reach_python_a_few_at_a_time_and_the_setting_comes_back(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), {}
+    written = near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, table: seen.setdefault(table, spark.conf.get(name)) and written(df, table))
+    rows = [(i, " ".join(f"w{i // 2}-{k}" for k in range(60)) + " end" * (i % 2)) for i in range(40)]
+    got = deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(brute_kept(rows)) == 20 and spark.conf.get(name) == before
+    assert int(seen["prints"]) <= 500 and int(seen["shingles"]) <= 500

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -92,3 +93,18 @@ def test_clashing_columns_and_null_rows(spark):
     tokens.write_ids(spark.createDataFrame(rows, "doc_id long, text string, tie int, row int, part int"), path, PATH)
     got = sorted((r.start, r.doc_id, r.n_tokens) for r in tokens.read_documents(spark, path).collect())
     assert got == [(0, None, 1), (1, 1, 3), (4, 1, 3)]
+
+
+def test_texts_are_cut_some_at_a_time():
+    class Counting(tokens.Encoder):
+        sizes: list[int] = []
+
+        def encode_batch(self, texts):
+            self.sizes.append(sum(map(len, texts)))
+            return super().encode_batch(texts)
+
+    encoder, texts = Counting(PATH), [f"word{i} and more" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts)], ["doc_id", "text"])
+    got = [(k, ids.tolist()) for k, ids in tokens._encoded(encoder, batch, 100)]
+    assert max(encoder.sizes) < 100 + max(map(len, texts)) and len(encoder.sizes) > 5
+    assert got == [(k, ids.tolist()) for k, ids in tokens._encoded(encoder, batch)]
