@@ -48,8 +48,8 @@ _NO_STREET = rf"(?!{BLANK}*(?:{SOLID}+{BLANK}+){{0,4}}{_PUNCTUATION}(?i:{_any(ST
 
 
 def _guarded(code: str, before: str = "", after: str = "") -> str:
-    # The code is looked for first: what stands before it is looked at where there is one, not at every place.
-    return f"(?={code})" + before + _NO_UNIT + _NOT_FIRST.replace("%s", code) + f"({code})" + _NO_STREET + after
+    # The code and what must follow it are looked for first: look-behinds, which try every length, run only where these stand.
+    return f"(?={code}{after})" + before + _NO_UNIT + _NOT_FIRST.replace("%s", code) + f"({code})" + _NO_STREET + after
 
 
 def _first(code: str) -> str:

@@ -83,10 +83,13 @@ def core_name(normalized: Column, suffixes: list[str] | None = None, prefixes: l
     """A normalised name without the legal forms at its end, and one at its start; never empty."""
     ordered = sorted({s.lower().strip() for s in (LEGAL_SUFFIXES if suffixes is None else suffixes)}, key=lambda s: (-len(s), s))
     ending = "(?:" + "|".join(rf"(?: {re.escape(s)})+" for s in ordered) + ")$"
+    # Most names do not end in the last word of a form: they are not searched.
+    lasts = sorted({s.split(" ")[-1] for s in ordered})
+    shorter = lambda name: F.when(F.substring_index(name, " ", -1).isin(lasts), F.regexp_replace(name, ending, "")).otherwise(name)
     # A round takes at least one word or changes nothing, so as many rounds as words reach the end of it. What is held is
     # the name and what it was a round before: once they are equal there is nothing left to do.
     start = F.array(normalized, F.lit(None).cast("string"))
-    last = F.aggregate(F.split(normalized, " "), start, lambda a, _: F.when(F.get(a, F.lit(0)) == F.get(a, F.lit(1)), a).otherwise(F.array(F.regexp_replace(F.get(a, F.lit(0)), ending, ""), F.get(a, F.lit(0)))))
+    last = F.aggregate(F.split(normalized, " "), start, lambda a, _: F.when(F.get(a, F.lit(0)) == F.get(a, F.lit(1)), a).otherwise(F.array(shorter(F.get(a, F.lit(0))), F.get(a, F.lit(0)))))
     core = F.get(last, F.lit(0))
     starts = "|".join(map(re.escape, LEGAL_PREFIXES if prefixes is None else prefixes))
     core = F.regexp_replace(core, f"^(?:{starts}) (?=.)", "")

@@ -144,3 +144,25 @@ def test_gated_rules_see_what_they_are_for(spark):
     assert [r[0] for r in rows] == ["", "a b", "x and y and z", "a.b.c d", "a -b c-d- e", "a b c d", "shop.com", "com", ""]
     assert [r[1] for r in rows][2:5] == ["x and y and z", "abc d", "a b c d e"]
     assert [r[2] for r in rows][4] == "a b c-d e" and [r[3] for r in rows][6:] == ["shop", "com", None]
+
+
+def test_look_behinds_run_only_where_a_code_and_what_must_follow_it_stand():
+    from kindred.functions import postal
+
+    # The first condition of each rule holds what must stand behind the code, so that other numbers cost one look.
+    for rule, code in ((postal._ZIP_LAST, postal.ZIP), (postal._ZIP_INSIDE, postal.ZIP), (postal._PIN, postal.PIN)):
+        first = rule[: rule.index("(?<")]
+        assert first.startswith("(?=") and code in first and (first.count("$") or postal.RIGHT in rule[: rule.index("(?<!(?:^")])
+
+
+def test_names_without_a_form_at_the_end_keep_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from kindred.functions.text import core_name
+
+    cases = [("acme trading inc", "acme trading"), ("acme inc trading", "acme inc trading"), ("acme ltd inc ltd", "acme"), ("inc", "inc"), ("acme incx", "acme incx"), ("one two", "one two"), ("", "")]
+    rows = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(cases)], "i int, n string")
+    column = core_name(F.col("n"))
+    assert [r.c for r in rows.select("i", column.alias("c")).orderBy("i").collect()] == [c for _, c in cases]
+    # A name is searched only if its last word is that of a form.
+    assert "substring_index" in rows.select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
