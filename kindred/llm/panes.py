@@ -1,10 +1,10 @@
 """Window panes with revisions: transformWithStateInPandas per (kind, event hour).
 
 Clicks come in numbered batches, each fed to one Structured Streaming query that is started anew on the same
-checkpoint. A pane (kind, hour) keeps two values: its current totals, and the totals it has published. Two event-time
-timers drive it. The grace timer, `grace` hours after the hour's end, publishes a pane (`emit`). A published pane that
-gets rows is revised (`retract` with the old totals, `replace` with the new). The close timer, `close` hours after the
-end, forgets the pane; rows of a closed pane go straight to the output (`late`). A sentinel row in every batch lets
+checkpoint. A pane (kind, hour) keeps one value: its totals, and whether they are published. Two event-time timers
+drive it, one after the other. The grace timer, `grace` hours after the hour's end, publishes a pane (`emit`). A published
+pane that gets rows is revised at once (`retract` with the old totals, `replace` with the new). The close timer, `close`
+hours after the end, forgets the pane; rows of a closed pane go straight to the output (`late`). A sentinel row in every batch lets
 an empty batch run; the last batch's sentinel lies beyond every event, so that one closing run lets all timers fire and
 panes that were never published come out as `final`.
 
@@ -12,7 +12,9 @@ Scale: a batch's rows are summed per pane within each map task before the shuffl
 reaches its state as one row a task. Late rows have no state to meet and are dealt over `spread` keys of their own. The driver sees
 one number a batch, the greatest event time, which tells map tasks what to leave unsummed; the state decides by Spark's
 own watermark and stops the query if the two disagree. State lives in the state store (RocksDB), files and output below
-spark.checkpoint.dir in a new folder a call. A repeated micro-batch overwrites its own output folder.
+spark.checkpoint.dir in a new folder a call. A repeated micro-batch overwrites its own output folder. What a start costs
+for each state partition counts most where partitions are many: every call to the state, timers included, is a message
+between Python and Spark, and output is written by as many tasks as there are cores, not by one for each state partition.
 
 Event times are shifted by a million days, as Spark's watermark starts at 1970 and never falls below.
 
@@ -107,8 +109,7 @@ class Panes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.current = handle.getValueState("current", "n long, cents long")
-        self.published = handle.getValueState("published", "n long, cents long")
+        self.totals = handle.getValueState("totals", "n long, cents long, shown boolean")
 
     def at(self, hour: int, hours: int) -> int:
         """Milliseconds, shifted, of a time that lies hours after the hour's end."""
@@ -136,35 +137,42 @@ class Panes(StatefulProcessor):
         n = cents = 0
         for some in rows:
             n, cents = n + int(some["n"].sum()), cents + int(some["cents"].sum())
-        if self.current.exists():
-            old = self.current.get()
-            n, cents = n + old[0], cents + old[1]
-        else:
-            self.handle.registerTimer(self.at(hour, self.grace))
-            self.handle.registerTimer(self.at(hour, self.hold))
-        self.current.update((n, cents))
-        if self.published.exists():
-            old = self.published.get()
-            self.published.update((n, cents))
+        old = self.totals.get()
+        if old is None:
+            due = self.at(hour, min(self.grace, self.hold))
+            self.totals.update((n, cents, now >= due))
+            self.handle.registerTimer(self.at(hour, self.hold) if now >= due else due)
+            if now >= due:
+                yield self.frame([self.out(key, n, cents, "emit")])
+            return
+        n, cents, shown = n + old[0], cents + old[1], old[2]
+        self.totals.update((n, cents, shown))
+        if shown:
             yield self.frame([self.out(key, old[0], old[1], "retract"), self.out(key, n, cents, "replace")])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.current.exists() and not self.published.exists():
-            n, cents = self.current.get()
-            self.published.update((n, cents))
-            ended = timerValues.getCurrentWatermarkInMs() >= BEYOND // 1000
-            yield self.frame([self.out(key, n, cents, "final" if ended else "emit")])
-        if expiredTimerInfo.getExpiryTimeInMs() >= self.at(key[1], self.hold):
-            self.current.clear()
-            self.published.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        n, cents, shown = self.totals.get()
+        if not shown:
+            yield self.frame([self.out(key, n, cents, "final" if now >= BEYOND // 1000 else "emit")])
+        if now >= self.at(key[1], self.hold):
+            self.totals.clear()
+        else:
+            self.totals.update((n, cents, True))
+            self.handle.registerTimer(self.at(key[1], self.hold))
 
     def close(self) -> None:
         pass
 
 
-def _session(spark: SparkSession) -> SparkSession:
-    """A session of its own for the settings that the query needs."""
+def _session(spark: SparkSession, folder: str) -> SparkSession:
+    """A session of its own for the settings that the query needs, which writes below folder."""
     session = spark.newSession()
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        # A rename by the default manager starts processes that read links; a local rename replaces a file at once without.
+        manager = "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
+        session.conf.set("spark.sql.streaming.checkpointFileManagerClass", manager)
     for key, value in {
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -185,7 +193,7 @@ def revisions(clicks: DataFrame, batches: int = 12, grace: int = 2, close: int =
     table = materialize(cut(clicks, batches), "clicks")
     latest = {r["batch"]: r["latest"] for r in table.groupBy("batch").agg(F.max("event").alias("latest")).collect()}
     folder = scratch_path(spark, "panes")
-    session = _session(spark)
+    session = _session(spark, folder)
     stored = "click_id long, kind string, event long, cents long, hour long"
     fed = session.read.schema(table.schema).parquet(table.scratch)
     watermark = None
@@ -215,7 +223,7 @@ def _feed(session: SparkSession, path: str, folder: str, stored: str, watermark:
     panes = rows.groupBy("pane_kind", "pane_hour", "part").transformWithStateInPandas(Panes(grace, close), RECORD, "Update", "EventTime")
 
     def put(found: DataFrame, run: int) -> None:
-        found.write.mode("overwrite").parquet(f"{folder}/out/run={run}")
+        found.repartition(session.sparkContext.defaultParallelism).write.mode("overwrite").parquet(f"{folder}/out/run={run}")
 
     query = panes.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -4,7 +4,10 @@ import random
 import zlib
 from collections import defaultdict
 
-from kindred.llm.panes import revisions
+import pandas as pd
+
+from kindred.llm.panes import HOUR as PANE_HOUR
+from kindred.llm.panes import SHIFT, Panes, revisions
 
 SCHEMA = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, value double, hour string, batch int"
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -86,3 +89,82 @@ def test_revisions_equal_brute_force(spark):
 def test_an_empty_table_and_an_only_row(spark):
     assert found(spark, [], 1, 2, 72) == []
     assert found(spark, [(5, dt.datetime(2024, 1, 1, 3), dt.datetime(2024, 1, 1, 3), "view", 0.125, "x", 0)], 1, 2, 72) == [(0, 3, -1, 1, 13, "final", "view")]
+
+
+class Recorded:
+    """A state handle, its timer service and its one value, that write down what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.value = [], None
+
+    def getValueState(self, name, schema):
+        self.calls.append("state")
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timer = at
+
+
+class At:
+    """Timer values at an hour."""
+
+    def __init__(self, hour):
+        self.now = (hour * PANE_HOUR + SHIFT) // 1000
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_pane_asks_little_of_its_state():
+    handle, panes, key = Recorded(), Panes(2, 72), ("view", 5, 0)
+    rows = pd.DataFrame({"n": [1, 2], "cents": [10, 20]})
+
+    def said(frames):
+        calls, handle.calls = handle.calls, []
+        return [tuple(r[2:5]) for f in frames for r in f.itertuples(index=False)], calls
+
+    def ran(call, *args):
+        out = list(call(*args))
+        return said(out)
+
+    panes.init(handle)
+    assert said([]) == ([], ["state"])
+    assert ran(panes.handleInputRows, key, iter([rows]), At(6)) == ([], ["get", "update", "timer"])
+    assert handle.timer == At(8).now
+    assert ran(panes.handleInputRows, key, iter([rows]), At(7)) == ([], ["get", "update"])
+    assert ran(panes.handleExpiredTimer, key, At(8), None) == ([(6, 60, "emit")], ["get", "update", "timer"])
+    assert handle.timer == At(78).now
+    assert ran(panes.handleInputRows, key, iter([rows]), At(77)) == ([(6, 60, "retract"), (9, 90, "replace")], ["get", "update"])
+    assert ran(panes.handleExpiredTimer, key, At(78), None) == ([], ["get", "clear"])
+    # Due at its first rows; and never shown when it closes.
+    assert ran(panes.handleInputRows, key, iter([rows]), At(8)) == ([(3, 30, "emit")], ["get", "update", "timer"])
+    assert handle.timer == At(78).now
+    handle.value = (3, 30, False)
+    assert ran(panes.handleExpiredTimer, key, At(90), None) == ([(3, 30, "emit")], ["get", "clear"])
+
+
+def test_output_files_do_not_grow_with_state_partitions(spark):
+    clicks = [(i, dt.datetime(2024, 1, 1, i % 24), dt.datetime(2024, 1, 1, 23), "view", 1.0, "x", 0) for i in range(48)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        out = revisions(spark.createDataFrame(clicks, SCHEMA), 1)
+        files = defaultdict(int)
+        for name in out.inputFiles():
+            files[name.rsplit("/", 2)[1]] += 1
+        assert out.count() == 24 and max(files.values()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
