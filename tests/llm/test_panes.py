@@ -6,7 +6,6 @@ from collections import defaultdict
 
 import pandas as pd
 
-from kindred.llm.panes import HOUR as PANE_HOUR
 from kindred.llm.panes import SHIFT, Panes, revisions
 
 SCHEMA = "click_id long, ts timestamp_ntz, arrived_at timestamp_ntz, kind string, value double, hour string, batch int"
@@ -122,7 +121,7 @@ class At:
     """Timer values at an hour."""
 
     def __init__(self, hour):
-        self.now = (hour * PANE_HOUR + SHIFT) // 1000
+        self.now = (hour * HOUR + SHIFT) // 1000
 
     def getCurrentWatermarkInMs(self):
         return self.now
