@@ -27,14 +27,19 @@ def parse_lines(lines: DataFrame, column: str) -> DataFrame:
 
 
 def read_result(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """A result file; ValueError if it is empty or its header is wrong."""
+    """A result file, or a folder of part files; ValueError if there is no line, or if a file does not begin with the header."""
     lines = spark.read.text(path)
-    head = lines.first()
     want = f"source1_entity_id\t{column}"
-    if head is None:
+    # A file begins with the first row of its first block, and a task reads a block's rows in their order. Of several files
+    # Spark reads the largest first, so the first row of all tells nothing of the others.
+    starts = lines.filter("_metadata.file_block_start = 0").select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("at"))
+    heads = starts.groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
+    wrong = F.when(F.col("head") != want, F.struct("file_path", "head"))
+    found = heads.agg(F.count(F.lit(1)).alias("files"), F.min(wrong).alias("wrong")).first()
+    if not found.files:
         raise ValueError("the file is empty")
-    if head.value.rstrip("\r\n") != want:
-        raise ValueError(f"the header is {head.value!r}, not {want!r}")
+    if found.wrong is not None:
+        raise ValueError(f"the header is {found.wrong.head!r}, not {want!r}: {found.wrong.file_path}")
     return parse_lines(lines.filter(F.col("value") != want), column)
 
 

@@ -481,9 +481,8 @@ def validate_files(spark, d):
     """A result file with rows that lack their tab, checked against a candidate file without source 3."""
     results, offered = scratch_path(spark, "results"), scratch_path(spark, "offered")
     rows = testrecords._run(spark, d, testrecords.with_base(_WRITTEN))
-    head = spark.createDataFrame([("source1_entity_id\tmatched_entity_ids",)], "value string")
     lines = rows.select(F.concat("source1_entity_id", F.when(F.col("broken"), " ").otherwise("\t"), "matched_entity_ids").alias("value"))
-    head.unionByName(lines).coalesce(1).write.text(results)
+    tsv.write_lines(lines, f"source1_entity_id\t{validate.MATCHES}", results)
     s1 = testrecords.records(spark, d, "s1").select("entity_id")
     pairs = _truth(spark, d).filter(F.col("target_entity_id").startswith("S2"))
     tsv.write_tsv(matching.lists(s1, pairs, "candidate_entity_ids"), offered)

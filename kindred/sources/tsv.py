@@ -73,3 +73,10 @@ def best_in_table(results: DataFrame) -> float:
 def write_tsv(df: DataFrame, path: str) -> None:
     """A directory of part files with headers; fields are written as they are, empty ones as nothing."""
     df.write.mode("overwrite").options(sep="\t", header=True, quote="", emptyValue="", nullValue="").csv(path)
+
+
+def write_lines(lines: DataFrame, header: str, path: str) -> None:
+    """A directory of part files that all begin with the header; the lines (column value) are written as they are."""
+    # Spark gives every part its header. A separator that no line has leaves each line one field, which nothing quotes or trims.
+    whole = {"sep": "\u0001", "quote": "", "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.select(F.col("value").alias(header)).write.mode("overwrite").options(header=True, **whole).csv(path)

@@ -149,6 +149,35 @@ def test_result_file_checks(spark, tmp_path):
         validate.read_result(spark, path, "candidate_entity_ids")
 
 
+def test_every_part_of_a_result_begins_with_its_header(spark, tmp_path):
+    head = "source1_entity_id\tmatched_entity_ids"
+    out = tmp_path / "parts"
+    lines = [(f"S1-{i}\t",) if i % 3 else (f"  S1-{i} 'S2-\"{i}\" ",) for i in range(40)]
+    tsv.write_lines(spark.createDataFrame(lines, "value string").repartition(4), head, str(out))
+    parts = [p.read_text().splitlines() for p in sorted(out.glob("part-*"))]
+    assert len(parts) == 4 and all(p[0] == head for p in parts)
+    assert sorted(x for p in parts for x in p[1:]) == sorted(x for x, in lines)
+    assert validate.read_result(spark, str(out), "matched_entity_ids").count() == 40
+    (out / "part-9.csv").write_text("S1-99\tS2-99\n")
+    with pytest.raises(ValueError, match="S1-99.*part-9"):
+        validate.read_result(spark, str(out), "matched_entity_ids")
+    tsv.write_lines(spark.createDataFrame([], "value string"), head, str(out / "none"))
+    assert validate.read_result(spark, str(out / "none"), "matched_entity_ids").count() == 0
+
+
+def test_result_files_are_written_and_checked(spark):
+    from kindred.plans import queries
+
+    n = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()
+    broken = sum(r.c_custkey % 20 == 3 for r in n)
+    offered = sum(r.c_custkey % 3 != 0 and r.c_custkey % 20 != 3 for r in n)
+    got = {r.issue: r.n for r in queries.validate_files(spark, SF).collect()}
+    assert {k: v for k, v in got.items() if v} == {
+        "malformed row": broken, "missing entity": broken, "match is no candidate": offered,
+        "empty list": sum(r.c_custkey % 10 == 9 and r.c_custkey % 3 == 0 and r.c_custkey % 20 != 3 for r in n),
+    }
+
+
 def test_tsv_round_trip(spark, tmp_path):
     path = str(tmp_path / "in.tsv")
     with open(path, "w", encoding="utf-8") as f:
