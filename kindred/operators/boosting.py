@@ -5,11 +5,12 @@ split gains most is split next, until there are `leaves` leaves. With G and H a
 and S(G) = sign(G) max(0, |G| - l1), a leaf's worth is S(G)^2 / (H + l2), its value -S(G) / (H + l2), and a split gains
 what both sides are worth together above the whole.
 
-On Spark: rows are binned once and written, a byte a feature. A pass over them makes gradient histograms, in numpy in
-each task, summed by one aggregate over (leaf, feature, bin); the driver gets leaves x features x bins sums, whatever
-the number of rows. A pass serves every leaf that best-first growth may split next, so a tree takes about as many
-passes as it is deep, not one a split. Scores of the trees so far are written anew every `REWRITE` trees; between,
-tasks apply the few trees that are missing. Draws of rows hang on a hash of the row's values and the tree's number.
+On Spark: rows are binned once, a byte a feature, and written as distinct rows with their number, since equal rows have
+equal gradients and are drawn together. A pass over them makes gradient histograms, in numpy in each task, summed by one
+aggregate over (leaf, feature, bin); the driver gets leaves x features x bins sums, whatever the number of rows. A pass
+serves every leaf that best-first growth may split next, so a tree takes about as many passes as it is deep, not one a
+split. Scores of the trees so far are written anew every `REWRITE` trees; between, tasks apply the few trees that are
+missing. Draws of rows hang on a hash of the row's values and the tree's number.
 
 Rows with is_validation are not fitted; growth ends after `patience` trees without a smaller loss on them, and the
 trees up to the smallest loss are the model. Values that are no numbers count as 0; equal rows are drawn together;
@@ -127,8 +128,8 @@ def leaf_value(g: float, h: float, config: BoostConfig) -> float:
     return float(-_shrunk(np.float64(g), config.l1) / (h + config.l2))
 
 
-def _pass(rows: DataFrame, late: list[Tree], tree: Tree, wanted: list[int], number: int, config: BoostConfig, n_features: int) -> tuple[dict[int, np.ndarray], float, int]:
-    """Histograms of the wanted leaves of a tree, and the loss and number of held-out rows; late: trees not yet in margin."""
+def _pass(rows: DataFrame, late: list[Tree], tree: Tree, wanted: list[int], number: int, config: BoostConfig, n_features: int, lossy: bool) -> tuple[dict[int, np.ndarray], float, int]:
+    """Histograms of the wanted leaves of a tree and, if lossy, the loss and number of held-out rows; late: trees not yet in margin."""
     slot = {leaf: i for i, leaf in enumerate(wanted)}
     width, bins = n_features * config.bins, config.bins
     share = int(config.row_share * 10_000)
@@ -141,12 +142,13 @@ def _pass(rows: DataFrame, late: list[Tree], tree: Tree, wanted: list[int], numb
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, n_features)
             y, margin = batch.column("label").to_numpy(), batch.column("margin").to_numpy().copy()
+            times = batch.column("times").to_numpy()
             for t in late:
                 margin += t.score(x)
             p = 1 / (1 + np.exp(-margin))
             out = batch.column("is_validation").to_numpy(zero_copy_only=False)
             q = np.clip(np.where(y > 0, p, 1 - p)[out], 1e-15, 1)
-            loss, held = loss - np.log(q).sum(), held + int(out.sum())
+            loss, held = loss - (times[out] * np.log(q)).sum(), held + int(times[out].sum())
             use = np.flatnonzero(~out & batch.column("drawn").to_numpy(zero_copy_only=False))
             leaf = tree.leaf_of(x[use])
             place = np.full(len(tree.feature), -1)
@@ -154,14 +156,15 @@ def _pass(rows: DataFrame, late: list[Tree], tree: Tree, wanted: list[int], numb
             kept = place[leaf] >= 0
             use, at = use[kept], place[leaf[kept]]
             cells = (at[:, None] * width + np.arange(n_features) * bins + x[use]).ravel()
-            g, h = (np.repeat(v[use], n_features) for v in (p - y, p * (1 - p)))
-            for i, weights in enumerate((g, h, None)):
-                sums[i] += np.bincount(cells, weights, sums.shape[1])
+            for i, weights in enumerate((times * (p - y), times * p * (1 - p), times)):
+                sums[i] += np.bincount(cells, np.repeat(weights[use], n_features), sums.shape[1])
         some = np.flatnonzero(sums[2])
         columns = [np.append(some, -1), np.append(sums[0, some], loss), np.append(sums[1, some], 0.0), np.append(sums[2, some], held).astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "g", "h", "n"])
 
-    found = rows.withColumn("drawn", drawn).mapInArrow(summed, schema).groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("n")).toArrow()
+    rows = rows.withColumn("drawn", drawn)
+    rows = rows if lossy else rows.filter("drawn and not is_validation")
+    found = rows.mapInArrow(summed, schema).groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("n")).toArrow()
     cell, g, h, n = (c.to_numpy() for c in found.columns)
     sums = np.zeros((len(wanted) * width, 3))
     some = cell >= 0
@@ -200,7 +203,7 @@ def _grown(rows: DataFrame, late: list[Tree], number: int, config: BoostConfig,
         return [n for n in leaves if n not in known] if not make else lacking
 
     while lacking := (grow(None) if known else [0]):
-        histograms, lost, out = _pass(rows, late, explored, lacking, number, config, n_features)
+        histograms, lost, out = _pass(rows, late, explored, lacking, number, config, n_features, loss is None)
         if loss is None:
             loss, held = lost, out
         for node, histogram in histograms.items():
@@ -231,11 +234,10 @@ def train(df: DataFrame, config: BoostConfig | None = None, features: list[str]
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = model.binned([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
-            margin = np.full(batch.num_rows, model.prior)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label"), batch.column("is_validation"), pa.array(margin)], ["bins", "label", "is_validation", "margin"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("label"), batch.column("is_validation")], ["bins", "label", "is_validation"])
 
-    schema = "bins binary, label double, is_validation boolean, margin double"
-    rows = written(df.mapInArrow(binned, schema), "binned")
+    rows = df.mapInArrow(binned, "bins binary, label double, is_validation boolean").groupBy("bins", "label", "is_validation").agg(F.count(F.lit(1)).alias("times"))
+    rows = written(rows.withColumn("margin", F.lit(model.prior)), "binned")
     n_features, late = len(features), []
     for number in range(config.trees):
         tree, loss, held = _grown(rows, late, number, config, n_features)

@@ -60,6 +60,24 @@ def test_trees_equal_brute_force(spark):
     assert boosting.load(boosting.save(fitted, path := f"/tmp/kindred-model-{random.random()}") or path) == fitted
 
 
+def test_equal_rows_are_fitted_as_one_that_counts_as_many(spark, monkeypatch):
+    """Fifty copies of a table are no more work than the table, and give its trees if the limits are fifty times theirs."""
+    sizes, write = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda df, name: sizes.append((out := write(df, name)).count()) or out)
+    draw = random.Random(4)
+    rows = [(float(draw.randrange(6)), float(draw.randrange(5)), i % 4 == 0) for i in range(300)]
+    rows = [(a, b, int(a + b + draw.gauss(0, 1.5) > 5), v) for a, b, v in rows]
+    schema, names = "a double, b double, label int, is_validation boolean", ["a", "b"]
+    config = BoostConfig(trees=12, leaves=5, rate=0.3, min_rows=5, min_hessian=1e-3, l1=0.2, l2=1.0, row_share=0.7, feature_share=1.0)
+    once = boosting.train(spark.createDataFrame(rows, schema), config, names)
+    scaled = {k: 50 * getattr(config, k) for k in ("min_rows", "min_hessian", "l1", "l2")}
+    many = boosting.train(spark.createDataFrame(rows * 50, schema), config, names, **scaled)
+    assert len(many.trees) == len(once.trees) > 3 and max(sizes) <= len(set(rows))
+    for one, fifty in zip(once.trees, many.trees, strict=True):
+        assert (one.feature, one.cut) == (fifty.feature, fifty.cut) and one.value == pytest.approx(fifty.value, abs=1e-9)
+    assert many.losses == pytest.approx(once.losses, abs=1e-9)
+
+
 def test_no_worse_than_level_wise_trees(spark):
     df = spark.range(4000).withColumn("r", F.rand(5))
     df = df.select(*[F.rand(i).alias(name) for i, name in enumerate(model.FEATURES)], "r")
