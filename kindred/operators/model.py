@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 
 from kindred.functions.constants import FEATURES
 from kindred.operators.validate import require
+from kindred.sources.scratch import written
+
+#: Rows are fitted as distinct rows with weights; a weight is at most this share of all, one row at least.
+PIECES = 100_000
 
 
 def numeric(df: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
@@ -27,7 +31,8 @@ class TreeConfig:
     """How trees are grown: up to `trees`, fewer where held-out rows stop gaining by `tolerance`.
 
     Leaves have at least `min_rows` rows; a tree sees shares of the rows and, at each node, of the features. There is
-    no L1 or L2 term in these trees; min_rows, depth and rate hold them back.
+    no L1 or L2 term in these trees; min_rows, depth and rate hold them back. Of more than PIECES rows equal ones are
+    drawn together, PIECES-ths of all rows at most.
     """
 
     trees: int = 2000
@@ -44,13 +49,33 @@ def train(df: DataFrame, config: TreeConfig | None = None, **changes) -> Pipelin
     """Fit on label; where is_validation is given, those rows stop the growth and are not fitted. changes: fields of TreeConfig."""
     config = TreeConfig(**(asdict(config or TreeConfig()) | changes))
     require(df, [*FEATURES, "label"], "training rows")
+    rows, total = weighted(numeric(df).withColumn("label", F.col("label").cast("double")))
+    # Leaves are held back by the weight of their rows, which is their number; half a row less, as a share of all is no whole number.
+    # MLlib takes shares below a half. From a half on no split has two such sides.
+    share = (config.min_rows - 0.5) / max(1, total)
+    limits = {"minWeightFractionPerNode": max(0.0, share)} if share < 0.5 else {"minInstancesPerNode": (1 << 31) - 1}
     stages = [VectorAssembler(inputCols=FEATURES, outputCol="features")]
     options = {"validationIndicatorCol": "is_validation", "validationTol": config.tolerance} if "is_validation" in df.columns else {}
     stages.append(GBTClassifier(
-        featuresCol="features", labelCol="label", maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate, subsamplingRate=config.row_share,
-        featureSubsetStrategy=str(config.feature_share), minInstancesPerNode=config.min_rows, seed=config.seed, **options,
+        featuresCol="features", labelCol="label", weightCol="times", maxIter=config.trees, maxDepth=config.depth, stepSize=config.rate, subsamplingRate=config.row_share,
+        featureSubsetStrategy=str(config.feature_share), seed=config.seed, **limits, **options,
     ))
-    return Pipeline(stages=stages).fit(numeric(df).withColumn("label", F.col("label").cast("double")))
+    return Pipeline(stages=stages).fit(rows)
+
+
+def weighted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct (FEATURES, label, is_validation) with times, their number, and how many rows are fitted in all.
+
+    A distinct row with more than a PIECES-th of all rows is cut into several, so that no draw of rows hangs on a few.
+    """
+    keys = [*FEATURES, "label", *(["is_validation"] if "is_validation" in rows.columns else [])]
+    grouped = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "distinct-rows")
+    own = grouped.filter("not is_validation") if "is_validation" in keys else grouped
+    total = own.agg(F.sum("n")).first()[0] or 0
+    pieces = F.ceil(F.col("n") / F.lit(max(1.0, total / PIECES))).cast("long")
+    cut = grouped.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pieces"))))
+    times = F.expr("n div pieces") + (F.col("piece") <= F.col("n") % F.col("pieces")).cast("long")
+    return cut.select(*keys, times.cast("double").alias("times")), total
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

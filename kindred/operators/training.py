@@ -61,15 +61,25 @@ def positives(truth_pairs: DataFrame, source1: DataFrame, target: DataFrame) ->
 
 def labelled(candidates: DataFrame, positive: DataFrame) -> DataFrame:
     """Candidates and positives as PAIR and label; positives that blocking missed are put in."""
-    found = candidates.select(F.col(PAIR[0]), F.col("candidate_entity_id" if "candidate_entity_id" in candidates.columns else PAIR[1]).alias(PAIR[1]), F.lit(0).alias("label"))
-    both = found.unionByName(positive.select(*PAIR, F.lit(1).alias("label")))
-    return both.groupBy(*PAIR).agg(F.max("label").cast("tinyint").alias("label"))
+    return marked_pairs(candidates, positive).drop("offered")
+
+
+def marked_pairs(candidates: DataFrame, positive: DataFrame) -> DataFrame:
+    """labelled with offered: whether blocking found the pair."""
+    found = candidates.select(F.col(PAIR[0]), F.col("candidate_entity_id" if "candidate_entity_id" in candidates.columns else PAIR[1]).alias(PAIR[1]), F.lit(0).alias("label"), F.lit(True).alias("offered"))
+    both = found.unionByName(positive.select(*PAIR, F.lit(1).alias("label"), F.lit(False).alias("offered")))
+    return both.groupBy(*PAIR).agg(F.max("label").cast("tinyint").alias("label"), F.bool_or("offered").alias("offered"))
 
 
 def cap_negatives(pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED) -> DataFrame:
     """All positives and, for each entity, up to `most` negatives drawn uniformly."""
+    return marked_negatives(pairs, most, seed).filter("kept").drop("kept")
+
+
+def marked_negatives(pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED) -> DataFrame:
+    """pairs with kept: whether cap_negatives keeps the pair."""
     order = Window.partitionBy(PAIR[0], "label").orderBy(draw(F.col(PAIR[0]), F.col(PAIR[1]), seed=seed), PAIR[1])
-    return pairs.withColumn("_at", F.row_number().over(order)).filter((F.col("label") == 1) | (F.col("_at") <= most)).drop("_at")
+    return pairs.withColumn("_at", F.row_number().over(order)).withColumn("kept", (F.col("label") == 1) | (F.col("_at") <= most)).drop("_at")
 
 
 def training_pairs(source1: DataFrame, targets: dict[str, DataFrame], truth_pairs: DataFrame, most: int = NEGATIVES, seed: int = SEED, candidates: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions.text import enriched
 from kindred.operators import matching, model, threshold, training
-from kindred.operators.blocking import PASSES, all_candidates, key_index
+from kindred.operators.blocking import PASSES, all_candidates, candidate_pairs, key_index
 from kindred.operators.features import pair_features
 from kindred.sources.scratch import written
 
@@ -40,23 +40,21 @@ def train_and_match(source1: DataFrame, targets: dict[str, DataFrame], truth: Da
 
     The model is fitted on the training side of a split by entity; the threshold is chosen on the other side.
     """
-    # Normalised records and keys are read for fitting and again for scoring: they are written once, in shared storage.
+    # Normalised records, keys and features are read for fitting and again for scoring: they are written once, in shared storage.
     source1 = written(enriched(source1), "source1")
-    targets = {k: written(enriched(v), k) for k, v in targets.items()}
-    candidates = {k: written(all_candidates(key_index(source1), {k: v}), "candidates") for k, v in targets.items()}
-    pairs = training.training_pairs(source1, targets, truth, candidates=candidates)
-    # Fitting passes over the rows once a tree: they are written once, in shared storage.
-    rows = written(training.grouped_split(training.training_features(pairs, source1, targets)), "training-rows")
-    training.check_split(rows)
+    index, featured = key_index(source1), None
+    for name, target in targets.items():
+        target = written(enriched(target), name)
+        pairs = training.marked_pairs(candidate_pairs(index, target), training.positives(truth, source1, target))
+        pairs = training.grouped_split(training.marked_negatives(pairs).withColumn("source", F.lit(name)))
+        own = written(pair_features(pairs, source1, target), "features")
+        featured = own if featured is None else featured.unionByName(own)
+    rows = training.check_split(featured.filter("kept").drop("kept", "offered"))
     config = model.TreeConfig(**options)
     fitted = model.train(rows, config)
     held = model.score(fitted, rows.filter("is_validation"))
     best = threshold.best(threshold.sweep(held, truth)).first().asDict()
     if path:
         model.save(fitted, path, best, config)
-    scored = None
-    for name, target in targets.items():
-        features = pair_features(candidates[name], source1, target)
-        own = model.score(fitted, features).select("source1_entity_id", F.col("candidate_entity_id").alias("target_entity_id"), "target_source", "prediction_probability")
-        scored = own if scored is None else scored.unionByName(own)
-    return scored, best, fitted
+    scored = model.score(fitted, featured.filter("offered"))
+    return scored.select("source1_entity_id", "target_entity_id", F.col("source").alias("target_source"), "prediction_probability"), best, fitted

@@ -511,8 +511,8 @@ def average_precision(spark, d):
 
 
 def _trained(spark, d):
-    s1, targets, _ = _both(spark, d)
-    return train_and_match(s1, targets, _truth(spark, d), trees=20, rate=0.1, depth=5, min_rows=5)
+    s1, s2, s3 = (testrecords.records(spark, d, s) for s in ("s1", "s2", "s3"))
+    return train_and_match(s1, {"S2": s2, "S3": s3}, _truth(spark, d), trees=20, rate=0.1, depth=5, min_rows=5)
 
 
 @query()

@@ -221,6 +221,35 @@ def test_train_and_match_finds_the_truth(spark, tmp_path):
     assert model.score(again, features).count() == features.count()
 
 
+def test_features_are_made_once_for_fitting_and_scoring(spark, monkeypatch):
+    from kindred.operators import blocking
+    from kindred.plans import linkage
+
+    calls = []
+    for place in (linkage, training):
+        monkeypatch.setattr(place, "pair_features", lambda *a, own=place.pair_features: calls.append("features") or own(*a))
+    monkeypatch.setattr(blocking, "keyed", lambda *a, own=blocking.keyed: calls.append("keys") or own(*a))
+    s1, s2, s3 = (testrecords.records(spark, SF, s) for s in ("s1", "s2", "s3"))
+    truth = tsv.truth_pairs(testrecords.truth(spark, SF))
+    scored, best, _ = train_and_match(s1, {"S2": s2, "S3": s3}, truth, trees=2, rate=0.1, min_rows=5)
+    assert calls.count("features") == 2 and calls.count("keys") == 3
+    got = sorted((r.target_source, r.source1_entity_id, r.target_entity_id) for r in scored.collect())
+    want = sorted((n, *p) for n, t in (("S2", s2), ("S3", s3)) for p in candidate_pairs(s1, t).collect())
+    assert got == want and best["macro_f05"] > 0.8
+
+
+def test_equal_training_rows_are_fitted_as_weights(spark, monkeypatch):
+    monkeypatch.setattr(model, "PIECES", 50)
+    x = (F.col("id") % 20 >= 10).cast("double")
+    rows = spark.range(4000).select(*[(x if c == FEATURES[0] else F.lit(0.5)).alias(c) for c in FEATURES], (x + (F.col("id") % 7 == 0).cast("int") > 0).cast("int").alias("label"), (F.col("id") % 5 == 4).alias("is_validation"))
+    kept, total = model.weighted(model.numeric(rows))
+    held = kept.groupBy("is_validation").agg(F.sum("times"), F.count(F.lit(1)), F.max("times")).orderBy("is_validation").collect()
+    assert total == 3200 and [r[1] for r in held] == [3200.0, 800.0] and held[0][2] <= 50 + 4 and held[0][3] <= 3200 / 50
+    grown = lambda n: model.train(rows, trees=1, depth=1, rate=0.1, min_rows=n, row_share=1.0, feature_share=1.0).stages[-1].trees[0].numNodes
+    # One split has 1,600 rows on each side.
+    assert grown(100) == 3 and grown(1500) == 3 and grown(1700) == 1
+
+
 def test_matches_are_candidates_and_one_row_an_entity(spark):
     s1, s2, s3 = (testrecords.records(spark, SF, s) for s in ("s1", "s2", "s3"))
     out = match_by_rule(s1, {"S2": s2, "S3": s3}, 0.5).collect()
